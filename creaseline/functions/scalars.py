@@ -37,9 +37,19 @@ def ratio_percent(part: Column, whole: Column) -> Column:
 
 
 def java_hash(text: Column) -> Column:
-    """``String.hashCode`` of BMP text: h = 31*h + c in 32-bit arithmetic, as a long."""
+    """``String.hashCode``: h = 31*h + c over UTF-16 units in 32-bit arithmetic, as a long."""
+
+    def unit(h: Column, c: Column) -> Column:
+        return F.pmod(h * 31 + c, F.lit(INT_MASK))
+
+    def step(h: Column, char: Column) -> Column:
+        cp = F.ascii(char).cast("long")
+        high = F.lit(0xD800) + F.floor((cp - 0x10000) / 1024)
+        low = F.lit(0xDC00) + cp % 1024
+        return F.when(cp < 0x10000, unit(h, cp)).otherwise(unit(unit(h, high), low))
+
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    folded = F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c), F.lit(INT_MASK)))
+    folded = F.aggregate(chars, F.lit(0).cast("long"), step)
     return F.when(folded >= INT_MASK // 2, folded - INT_MASK).otherwise(folded)
 
 
@@ -48,11 +58,6 @@ def java_abs(h: Column) -> Column:
     return F.when(h == -(INT_MASK // 2), h).otherwise(F.abs(h))
 
 
-def java_mod(h: Column, n: int) -> Column:
-    """Remainder that keeps the sign of the dividend."""
-    return F.expr("1") * h % F.lit(n)
-
-
 def string_shard(text: Column, n: int) -> Column:
     return (java_abs(java_hash(text)) % F.lit(n)).cast("int")
 

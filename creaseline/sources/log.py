@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from creaseline.functions.scalars import header
 from creaseline.schemas import INSTANT, LOG_SCHEMA, WIRE, WIRE_SCHEMA
@@ -69,7 +69,7 @@ def parsed(df: DataFrame, unknown_fields: str = "poison") -> DataFrame:
     """
     body = F.from_json(
         "value",
-        WIRE_SCHEMA.add("_corrupt", "string") if "_corrupt" not in WIRE_SCHEMA.fieldNames() else WIRE_SCHEMA,
+        T.StructType([*WIRE_SCHEMA.fields, T.StructField("_corrupt", T.StringType())]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "timestampNTZFormat": INSTANT},
     )
     keys = F.json_object_keys("value")
@@ -110,6 +110,5 @@ def to_dead_letters(df: DataFrame, error_fqcn: Column, error_message: Column, to
     added = F.array(
         *[F.struct(F.lit(DLT_HEADERS[c]).alias("key"), _bytes(v).alias("value")) for c, v in extra.items()]
     )
-    return df.withColumn("headers", F.concat(F.coalesce("headers", F.array().cast(df.schema["headers"].dataType)), added)).withColumn(
-        "topic", F.lit(topic)
-    )
+    headers = F.coalesce("headers", F.array().cast(df.schema["headers"].dataType))
+    return df.withColumns({"headers": F.concat(headers, added), "topic": F.lit(topic)})
