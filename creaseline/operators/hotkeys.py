@@ -77,7 +77,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
 
 def by_time(ts: str, seconds: int = 60) -> Column:
     """Slot of a timestamp column."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.expr(f"unix_seconds(CAST({ts} AS TIMESTAMP)) div {seconds}")
 
 
 def paged_lists(
@@ -86,7 +86,7 @@ def paged_lists(
     """Ordered lists per key, in pages of ``size`` values: whole results, bounded rows."""
     ranked = running(spread_hot_keys(df, keys, slot), keys, order, {"_rank": F.lit(1)})
     return (
-        ranked.withColumn("page", F.floor((F.col("_rank") - 1) / size).cast("int"))
+        ranked.withColumn("page", F.expr(f"(_rank - 1) div {size}").cast("int"))
         .groupBy(*keys, "page")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", value.alias("v")))).alias("_items"))
         .select(*keys, "page", F.transform("_items", lambda s: s["v"]).alias(name))

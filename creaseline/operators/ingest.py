@@ -7,20 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from creaseline.functions.scalars import event_sequence
 from creaseline.schemas import WIRE
 
-# field -> (lowest, highest); None is open
-RANGES = {
-    "inning": (1, 2),
-    "over_no": (0, 19),
-    "ball": (1, 9),
-    "runs": (0, 6),
-    "extras": (0, None),
-    "total_runs": (0, None),
-    "wickets": (0, 10),
-}
+# Column, lowest, highest, message for a value out of range.
+RANGES = [
+    ("inning", 1, 2, "inning must be 1 or 2", "inning must be 1 or 2"),
+    ("over_no", 0, 19, "over must be between 0 and 19", "over must be between 0 and 19"),
+    ("ball", 1, 9, "ball must be at least 1", "ball must be at most 9 (including extras)"),
+    ("runs", 0, 6, "runs must be >= 0", "runs must be <= 6"),
+    ("extras", 0, None, "extras must be >= 0", None),
+    ("total_runs", 0, None, "totalRuns must be >= 0", None),
+    ("wickets", 0, 10, "wickets must be >= 0", "wickets must be <= 10"),
+]
 OPTIONAL = {"extras"}
 NOT_BLANK = ["match_id", "team"]
 REQUIRED = ["wicket"]
 WIRE_NAME = {col: wire for wire, col in WIRE.items()}
+ACCEPTED = "Score event accepted for publishing"
+REFUSED = "Request body validation failed with %d error(s)"
 
 
 def violation(condition: Column, field: str, message: str, rejected: Column | None = None) -> Column:
@@ -34,16 +36,17 @@ def violation(condition: Column, field: str, message: str, rejected: Column | No
 def _errors() -> list[Column]:
     found = []
     for col in NOT_BLANK:
-        blank = F.col(col).isNull() | (F.length(F.trim(col)) == 0)
-        found.append(violation(blank, WIRE_NAME[col], "must not be blank", F.col(col)))
-    for col, (low, high) in RANGES.items():
+        blank = ~F.coalesce(F.col(col), F.lit("")).rlike(r"[^\x00-\x20]")
+        found.append(violation(blank, WIRE_NAME[col], f"{WIRE_NAME[col]} must not be blank", F.col(col)))
+    for col, low, high, too_low, too_high in RANGES:
+        name = WIRE_NAME[col]
         if col not in OPTIONAL:
-            found.append(violation(F.col(col).isNull(), WIRE_NAME[col], "must not be null"))
-        found.append(violation(F.col(col) < low, WIRE_NAME[col], f"must be at least {low}", F.col(col)))
+            found.append(violation(F.col(col).isNull(), name, f"{name} must not be null"))
+        found.append(violation(F.col(col) < low, name, too_low, F.col(col)))
         if high is not None:
-            found.append(violation(F.col(col) > high, WIRE_NAME[col], f"must be at most {high}", F.col(col)))
+            found.append(violation(F.col(col) > high, name, too_high, F.col(col)))
     for col in REQUIRED:
-        found.append(violation(F.col(col).isNull(), WIRE_NAME[col], "must not be null"))
+        found.append(violation(F.col(col).isNull(), WIRE_NAME[col], f"{WIRE_NAME[col]} must not be null"))
     return found
 
 
@@ -89,12 +92,12 @@ def from_request(requests: DataFrame) -> DataFrame:
 def responses(checked: DataFrame) -> DataFrame:
     """One answer per request, from rows that carry ``errors``."""
     ok = F.size("errors") == 0
+    refused = F.format_string(REFUSED, F.size("errors"))
     return checked.select(
-        "event_id",
+        F.when(ok, F.col("event_id")).alias("event_id"),
         "match_id",
         F.when(ok, 202).otherwise(400).alias("status"),
-        F.when(ok, "Event accepted").otherwise("Validation failed").alias("message"),
-        F.size("errors").alias("n_errors"),
+        F.when(ok, ACCEPTED).otherwise(refused).alias("message"),
     )
 
 

@@ -5,6 +5,8 @@ from importlib import import_module
 FAMILIES = [
     "sources",
     "writes",
+    "scalars",
+    "filters",
 ]
 
 

@@ -243,9 +243,9 @@ def range_quarter(spark, folder):
 
 # Nation list of each named region partition; everything else goes to the default.
 REGION_LISTS = {
-    "us": ["UNITED STATES", "CANADA"],
-    "eu": ["UNITED KINGDOM", "GERMANY", "FRANCE", "ROMANIA", "RUSSIA"],
-    "asia": ["JAPAN", "CHINA", "INDIA", "INDONESIA", "VIETNAM"],
+    "us": ["NATION_0", "NATION_1"],
+    "eu": ["NATION_2", "NATION_3", "NATION_4", "NATION_5", "NATION_6"],
+    "asia": ["NATION_7", "NATION_8", "NATION_9", "NATION_10", "NATION_11"],
 }
 LIST_SQL = (
     "CASE "

@@ -47,7 +47,7 @@ def balls(events: DataFrame) -> DataFrame:
         F.col("src_id").cast("string").alias("event_id"),
         F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("match_id"),
         "inning",
-        F.floor(F.col("k") / 6).cast("int").alias("over_no"),
+        F.expr("k div 6").cast("int").alias("over_no"),
         (F.col("k") % 6 + 1).cast("int").alias("ball"),
         F.when(F.col("inning") == 1, "A").otherwise("B").alias("team"),
         "runs",
