@@ -62,7 +62,7 @@ def quantifiers(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:
         *keys,
         F.coalesce("_any", F.lit(False)).alias("any_match"),
         F.coalesce("_all", F.lit(True)).alias("all_match"),
-        ~F.coalesce("_any", F.lit(False)).alias("none_match"),
+        (~F.coalesce("_any", F.lit(False))).alias("none_match"),
     )
 
 

@@ -7,6 +7,8 @@ FAMILIES = [
     "writes",
     "scalars",
     "filters",
+    "joins",
+    "aggregates",
 ]
 
 

@@ -315,7 +315,7 @@ def variant_assignment(spark, folder):
 
 @query(
     "p22_ingest_enrichment",
-    """SELECT event_id, epoch_ms(ts) AS ms, make_timestamp_ms(epoch_ms(ts)) AS event_ts, lower(event_type || '-CITY') AS city FROM events""",
+    """SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp_ms(epoch_us(ts) // 1000) AS event_ts, lower(event_type || '-CITY') AS city FROM events""",
 )
 def ingest_enrichment(spark, folder):
     raw = table(spark, folder, "events").select(
