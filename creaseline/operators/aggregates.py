@@ -100,9 +100,9 @@ def partitioned_by(df: DataFrame, condition: Column, value: Column) -> DataFrame
 
 
 def distinct_lists(df: DataFrame, keys: list[str], value: str, size: int = 1000) -> DataFrame:
-    """Distinct values per key as ordered pages; duplicates vanish before the shuffle."""
+    """Distinct texts per key as ordered pages; duplicates vanish before the shuffle."""
     unique = df.select(*keys, value).distinct()
-    return paged_lists(unique, keys, [value], F.col(value), F.substring(F.col(value).cast("string"), 1, 4), size)
+    return paged_lists(unique, keys, [value], F.col(value), F.substring(value, 1, 4), size)
 
 
 def to_map(df: DataFrame, key: str, value: str, merge: str = "error", order: str | None = None, size: int = 1000) -> DataFrame:

@@ -9,6 +9,8 @@ FAMILIES = [
     "filters",
     "joins",
     "aggregates",
+    "windows",
+    "paging",
 ]
 
 

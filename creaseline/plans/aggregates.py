@@ -525,7 +525,6 @@ def volume_trend(spark, folder):
 )
 def experiment_result(spark, folder):
     _, variant = sharding.variant(F.col("user_id").cast("string"), "exp-1", 1.0)
-    # one row per user and outcome would do, but variants are cheap enough to compute per event
     rows = table(spark, folder, "events").select(variant.alias("variant"), (F.col("event_type") == "purchase").alias("hit"))
     return agg.experiment_result(rows, F.col("variant"), F.col("hit"))
 
