@@ -11,6 +11,7 @@ FAMILIES = [
     "aggregates",
     "windows",
     "paging",
+    "search",
 ]
 
 
