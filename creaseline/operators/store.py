@@ -39,7 +39,7 @@ def accept(
     return accepted, duplicates
 
 
-def stored_rows(df: DataFrame) -> DataFrame:
+def stored_rows(df: DataFrame, *extra: str) -> DataFrame:
     """Columns of the stored event, with its expiry time."""
     return df.select(
         "match_id",
@@ -56,6 +56,7 @@ def stored_rows(df: DataFrame) -> DataFrame:
         "wickets",
         F.col("ts").alias("event_ts"),
         ttl(F.col("ts")).alias("ttl"),
+        *extra,
     )
 
 

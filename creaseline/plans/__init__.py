@@ -12,6 +12,7 @@ FAMILIES = [
     "windows",
     "paging",
     "search",
+    "streams",
 ]
 
 

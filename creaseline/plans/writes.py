@@ -12,6 +12,7 @@ from creaseline.plans import inputs
 from creaseline.plans.inputs import SQL_ACCEPTED, SQL_BALLS, SQL_FEED, SQL_LOG, SQL_VIEW
 from creaseline.plans.registry import query
 from creaseline.plans.sources import CHANGES_SQL, MATCH, STORED_SQL, TTL_SQL, dead_letter_log, store
+from creaseline.streaming.ingest import notifications
 from creaseline.session import materialize, shared_folder
 from creaseline.sources import changes, log as logs
 from creaseline.sources.feed import ARRIVAL_ORDER
@@ -124,12 +125,6 @@ def dead_letter_notifications(spark, folder):
     return notifications(logs.dead_letter_rows(dead_letter_log(spark, folder)))
 
 
-def notifications(rows):
-    return rows.select(
-        F.col("key").alias("match_id"), "partition", "offset", F.col("value").alias("payload"), "error_fqcn", "error_message"
-    )
-
-
 @query(
     "k6_replay_publish",
     SQL_ACCEPTED
