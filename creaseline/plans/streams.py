@@ -50,7 +50,7 @@ def ordered_ingest_view(spark, folder):
 
 @query("st1_ordered_ingest_store", SQL_ACCEPTED + f"SELECT {STORED_SQL}, ts AS event_ts, {TTL_SQL} FROM accepted")
 def ordered_ingest_store(spark, folder):
-    return full_stream(spark, folder).store().drop("batch_id", "partition", "offset")
+    return full_stream(spark, folder).store().drop("partition", "offset")
 
 
 @query(
@@ -203,9 +203,16 @@ def consumer_lag(spark, folder):
     count(*) AS input_rows FROM feed GROUP BY 1""",
 )
 def stream_progress(spark, folder):
-    """What the stream itself reports per batch: rows read from the source by all its reads, per pass."""
-    counts = full_stream(spark, folder).counts.read()
-    return counts.select("batch_id", F.col("received").alias("input_rows"))
+    """Rows per batch as the stream reports them."""
+    root = shared_folder(spark)
+    sink = Ledger(spark, f"{root}/out", LOG_SCHEMA)
+    reported = []
+    for part in log_slices(spark, folder):
+        deliver(part, f"{root}/in", "partition")
+        stream = spark.readStream.schema(LOG_SCHEMA).parquet(f"{root}/in")
+        progress = run_available(stream, sink.write, f"{root}/checkpoint")
+        reported += [(p["batchId"], p["numInputRows"]) for p in progress if p["numInputRows"]]
+    return spark.createDataFrame(reported, "batch_id bigint, input_rows bigint")
 
 
 APPLIED_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus,

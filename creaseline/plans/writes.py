@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from creaseline.operators import retry, writes
 from creaseline.operators.replay import replay_log
 from creaseline.operators.store import accept, first_arrivals, stored_rows, to_items
+from creaseline.operators.transfers import guarded_transfers
 from creaseline.operators.view import live_view, upsert_view
 from creaseline.plans import inputs
 from creaseline.plans.inputs import SQL_ACCEPTED, SQL_BALLS, SQL_FEED, SQL_LOG, SQL_VIEW
@@ -406,6 +407,25 @@ def update_outcomes(spark, folder):
     return outcomes
 
 
+@query("k15_guarded_transfer")
+def guarded_transfer(spark, folder):
+    """Orders as transfers from their customer to one of a hundred busy accounts, in order-key order.
+
+    No SQL: the result depends on the sequence of all transfers. The tests compare with brute force.
+    """
+    accounts = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("account"), F.round(F.col("c_acctbal") * 100).cast("long").alias("balance")
+    )
+    to = F.pmod(F.col("o_custkey") * 31 + 7, F.lit(100))
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_custkey").alias("src"),
+        to.alias("dst"),
+        F.round("o_totalprice").cast("long").alias("amount"),
+    )
+    return guarded_transfers(accounts, orders.where("src <> dst"))
+
+
 @query(
     "k16_soft_delete",
     """SELECT c_custkey, c_acctbal < 0 AS deleted, CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2024-02-01' END AS deleted_at FROM customer""",

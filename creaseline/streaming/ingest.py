@@ -11,7 +11,7 @@ from creaseline.operators.view import VIEW_COLUMNS, live_view
 from creaseline.schemas import BALL_KEY, LOG_ORDER, LOG_SCHEMA
 from creaseline.session import shared_folder
 from creaseline.sources import log as logs
-from creaseline.streaming.ledger import Ledger, deliver, run_available
+from creaseline.streaming.ledger import BATCH, BUCKET, Ledger, deliver, run_available, touched
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -62,6 +62,11 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
+def stored_keys(events: Ledger, before: int, buckets: list[int]) -> DataFrame:
+    """Ball keys stored by earlier batches, read from the folders that the batch touches."""
+    return events.read(before).where(F.col(BUCKET).isin(buckets)).select(*BALL_KEY)
+
+
 class ScoreStream:
     """Event store, live view, unreadable records, processed feed and counters, one ledger each.
 
@@ -72,7 +77,7 @@ class ScoreStream:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = shared_folder(spark)
-        self.events = Ledger(spark, f"{self.root}/events", EVENT_SCHEMA)
+        self.events = Ledger(spark, f"{self.root}/events", EVENT_SCHEMA, bucket_by="match_id")
         self.views = Ledger(spark, f"{self.root}/view", VIEW_SCHEMA)
         self.poison = Ledger(spark, f"{self.root}/poison", LOG_SCHEMA)
         self.processed = Ledger(spark, f"{self.root}/processed", FEED_SCHEMA)
@@ -85,8 +90,7 @@ class ScoreStream:
         ok, poison = logs.decode(batch)
         self.poison.write(poison, batch_id)
         balls = first_arrivals(ok.withColumn("event_sequence", event_sequence()))
-        earlier = self.events.read(before=batch_id).select(*BALL_KEY)
-        accepted = balls.join(earlier, BALL_KEY, "left_anti")
+        accepted = balls.join(stored_keys(self.events, batch_id, touched(batch, "key")), BALL_KEY, "left_anti")
         self.events.write(stored_rows(accepted, *LOG_ORDER), batch_id)
 
         written = self.events.batch(batch_id)
@@ -115,7 +119,7 @@ class ScoreStream:
         return self.views.latest(["match_id"])
 
     def store(self) -> DataFrame:
-        return self.events.read()
+        return self.events.read().drop(BATCH, BUCKET)
 
 
 RETRY_ORDER = ["effective_arrival", "partition", "offset"]
@@ -131,11 +135,12 @@ class RetryStream:
         self.spark, self.failures, self.error_class = spark, failures, error_class
         self.root = shared_folder(spark)
         settled = T.StructType([*EVENT_SCHEMA.fields, T.StructField("effective_arrival", T.TimestampNTZType())])
+        clock = T.StructType([T.StructField("now", T.TimestampNTZType())])
         self.pending = Ledger(spark, f"{self.root}/pending", settled)
-        self.events = Ledger(spark, f"{self.root}/events", settled)
+        self.events = Ledger(spark, f"{self.root}/events", settled, bucket_by="match_id")
         self.views = Ledger(spark, f"{self.root}/view", VIEW_SCHEMA)
         self.dead = Ledger(spark, f"{self.root}/dead", settled)
-        self.last_batch = -1
+        self.clock = Ledger(spark, f"{self.root}/clock", clock)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         ok, _ = logs.decode(batch.withColumn("arrival", F.col("timestamp")))
@@ -146,26 +151,39 @@ class RetryStream:
 
         self.dead.write(rows(retry.exhausted(tried)), batch_id)
         self.pending.write(rows(retry.settled(tried)), batch_id)
-        now = batch.agg(F.max("timestamp")).first()[0]
-        self._apply(batch_id, now)
-        self.last_batch = batch_id
-
-    def _apply(self, batch_id: int, now) -> None:
-        """Store what is due by ``now`` and was not due before."""
-        waiting = self.pending.read(before=batch_id + 1)
-        done = self.events.read(before=batch_id).select(*BALL_KEY)
-        due = waiting if now is None else waiting.where(F.col("effective_arrival") <= F.lit(now).cast("timestamp_ntz"))
-        accepted = first_arrivals(due, order=RETRY_ORDER).join(done, BALL_KEY, "left_anti")
+        self.clock.write(batch.agg(F.max("timestamp").alias("now")), batch_id)
+        self._apply(batch_id)
+
+    def _due(self, batch_id: int) -> DataFrame:
+        """Rows of this batch that are due by its clock, and earlier ones that fell due since the last clock.
+
+        Older pending files are skipped by the range of their due times.
+        """
+        now = self.clock.batch(batch_id).select("now").scalar()
+        last = self.clock.read(before=batch_id).agg(F.max("now")).first()[0]
+        at = F.col("effective_arrival")
+        rows = self.pending.read(before=batch_id + 1)
+        if last is not None:
+            rows = rows.where((F.col(BATCH) == batch_id) | (at > F.lit(last).cast("timestamp_ntz")))
+        return rows.where(F.coalesce(at <= now, F.lit(True)))
+
+    def _apply(self, batch_id: int) -> None:
+        """Store what is due: first write wins, in order of effective arrival."""
+        due = first_arrivals(self._due(batch_id), order=RETRY_ORDER)
+        accepted = due.join(stored_keys(self.events, batch_id, touched(due, "match_id")), BALL_KEY, "left_anti")
         self.events.write(accepted, batch_id)
         written = self.events.batch(batch_id).withColumnRenamed("event_ts", "ts")
         self.views.write(live_view(written, RETRY_ORDER), batch_id)
 
     def consume(self, deliveries: list[DataFrame]) -> RetryStream:
+        """Work through the deliveries, then let the clock run out for what still waits."""
         path = f"{self.root}/in"
         for part in deliveries:
             deliver(part, path, "partition")
             run_available(logs.stream_log(self.spark, path), self.process, f"{self.root}/checkpoint")
-        self._apply(self.last_batch + 1, None)
+        end = self.clock.read().agg(F.max(BATCH)).first()[0] + 1
+        self.clock.write(self.pending.read().agg(F.max("effective_arrival").alias("now")), end)
+        self._apply(end)
         return self
 
     def view(self) -> DataFrame:

@@ -8,22 +8,50 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from creaseline.session import shared_folder
 
 BATCH = "batch_id"
 
 
+BUCKET = "bucket"
+BUCKETS_CONF = "spark.creaseline.storeBuckets"
+
+
+def bucket_of(spark: SparkSession, key: str) -> Column:
+    """Folder number of a key. A store at scale wants some thousands of them."""
+    buckets = int(spark.conf.get(BUCKETS_CONF, "8"))
+    return F.pmod(F.hash(key), F.lit(buckets)).cast("int")
+
+
+def touched(df: DataFrame, key: str) -> list[int]:
+    """Folder numbers that the keys of a batch fall into: at most the number of folders."""
+    rows = df.select(bucket_of(df.sparkSession, key).alias(BUCKET)).distinct().collect()
+    return [r[0] for r in rows]
+
+
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path = spark, path
+    """``bucket_by`` splits each batch further by a hash of that column, so that a reader who knows
+    its keys scans only their folders."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, bucket_by: str | None = None):
+        self.spark, self.path, self.bucket_by = spark, path, bucket_by
         self.columns = schema.fieldNames()
-        self.schema = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{BATCH}=-1")
+        parts = [T.StructField(BATCH, T.LongType())]
+        if bucket_by:
+            parts.append(T.StructField(BUCKET, T.IntegerType()))
+        self.schema = T.StructType([*schema.fields, *parts])
+        self.write(spark.createDataFrame([], schema), -1)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        df.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
+        rows = df.select(*self.columns)
+        target = f"{self.path}/{BATCH}={batch_id}"
+        if self.bucket_by:
+            rows = rows.withColumn(BUCKET, bucket_of(self.spark, self.bucket_by))
+            rows.write.mode("overwrite").partitionBy(BUCKET).parquet(target)
+        else:
+            rows.write.mode("overwrite").parquet(target)
 
     def read(self, before: int | None = None) -> DataFrame:
         """Rows of the batches before one, or of all; the folder filter prunes files."""

@@ -33,11 +33,8 @@ class ChangeStream:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = shared_folder(spark)
-        fields = [("op", "string"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("sequence", "int")]
-        schema = T.StructType([T.StructField("change_key", T.LongType())])
-        for name, kind in fields:
-            schema = schema.add(name, kind)
-        self.changes = Ledger(spark, f"{self.root}/changes", schema)
+        schema = "change_key bigint, op string, o_orderstatus string, o_totalprice double, sequence int"
+        self.changes = Ledger(spark, f"{self.root}/changes", T.StructType.fromDDL(schema))
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         decoded = changes.read_changes(batch).select(
@@ -92,7 +89,7 @@ def tumbling_metrics(spark: SparkSession, deliveries: list[DataFrame], period: s
         ).withColumn("period_start", F.col("window.start"))
         run_available(metrics, sink.write, f"{root}/checkpoint", "update")
 
-    log_schema = T._parse_datatype_string(EVENT_LOG)
+    log_schema = T.StructType.fromDDL(EVENT_LOG)
     casted = [d.select("event_id", F.col("ts").cast("timestamp"), "user_id", "event_type", "value") for d in deliveries]
     _drive(spark, root, log_schema, casted, step)
     return sink.latest(["period_start", "event_type"])
