@@ -4,8 +4,8 @@ A plain window puts a whole key into one task. Here a key with more than ``hot_r
 into slots that follow the sort order (a minute of time, say); each slot is a window partition of
 its own, and the totals of the earlier slots are carried in from a small (key, slot) table.
 
-Cold keys have a null slot. Without hot keys the broadcast list is empty, AQE removes every carry
-branch before it is scanned, and what remains is the plain window.
+Whether any key is hot is asked once, by a count that folds map-side and reads the key columns
+only. If none is, the frame gets no slot column and everything below is the plain window.
 """
 
 from __future__ import annotations
@@ -13,31 +13,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from creaseline.session import hot_rows
+from creaseline.session import hot_rows, materialize
 
 SLOT = "_slot"
 
 
-def spread_hot_keys(df: DataFrame, keys: list[str], slot: Column, limit: int | None = None) -> DataFrame:
-    """Add the slot column. ``slot`` must not decrease along the order used later.
+def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, or None. At most rows / limit of them exist."""
+    limit = limit or hot_rows(df.sparkSession)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > limit).select(*keys)
+    return None if hot.isEmpty() else materialize(hot)
+
 
-    The broadcast list has at most rows / limit entries, however the data grows or leans.
+def spread_hot_keys(
+    df: DataFrame, keys: list[str], slot: Column, limit: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """Add a slot column if some key is hot; it is null for the other keys.
+
+    ``slot`` must not decrease along the order used later. ``counted`` may name a cheaper frame that
+    has at least as many rows per key.
     """
-    limit = limit or hot_rows(df.sparkSession)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    return df.join(F.broadcast(hot), keys, "left").withColumn(SLOT, F.when(F.col("_hot"), slot)).drop("_hot")
+    hot = hot_keys(df if counted is None else counted, keys, limit)
+    if hot is None:
+        return df
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    return marked.withColumn(SLOT, F.when(F.col("_hot"), slot)).drop("_hot")
+
+
+def slot_of(df: DataFrame) -> list[str]:
+    return [SLOT] if SLOT in df.columns else []
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Inclusive running sums per key, for rows tagged by :func:`spread_hot_keys`."""
-    part = [*keys, SLOT]
+    """Inclusive running sums per key, for rows from :func:`spread_hot_keys`."""
+    part = [*keys, *slot_of(df)]
     local = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = df.select("*", *[F.sum(e).over(local).alias(n) for n, e in sums.items()])
+    if SLOT not in df.columns:
+        return out
 
     totals = (
         df.where(F.col(SLOT).isNotNull())
@@ -55,13 +69,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
 
 def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
     """Value of the row before, per key: ``values`` maps new column -> source column."""
-    part = [*keys, SLOT]
+    part = [*keys, *slot_of(df)]
     local = W.partitionBy(*part).orderBy(*order)
-    out = df.select(
-        "*",
-        F.row_number().over(local).alias("_rn"),
-        *[F.lag(src).over(local).alias(n) for n, src in values.items()],
-    )
+    lagged = [F.lag(src).over(local).alias(n) for n, src in values.items()]
+    if SLOT not in df.columns:
+        return df.select("*", *lagged)
+
+    out = df.select("*", F.row_number().over(local).alias("_rn"), *lagged)
     lasts = (
         df.where(F.col(SLOT).isNotNull())
         .groupBy(*part)

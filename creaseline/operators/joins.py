@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creaseline.operators.hotkeys import paged_lists
-from creaseline.session import hot_rows, shared_folder
+from creaseline.operators.hotkeys import hot_keys, paged_lists
+from creaseline.session import shared_folder
 
 SALTS = 16
 
@@ -28,20 +28,18 @@ def having_any(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def salt_hot_keys(left: DataFrame, right: DataFrame, key: str, spread: Column, limit: int | None = None):
-    """Add ``_salt`` to both sides: rows of a hot left key get one of 16 salts, and the right rows
-    of such a key are repeated once per salt. Other keys keep salt 0.
-
-    The hot list holds at most rows / limit keys.
-    """
-    limit = limit or hot_rows(left.sparkSession)
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    """(left, right, join columns). If some left key is hot, its rows get one of 16 salts and the
+    right rows of that key are repeated once per salt; other keys keep salt 0."""
+    hot = hot_keys(left, [key], limit)
+    if hot is None:
+        return left, right, [key]
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salted = left.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)
     )
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(salts))
-    return salted.drop("_hot"), repeated.drop("_hot")
+    return salted.drop("_hot"), repeated.drop("_hot"), [key, "_salt"]
 
 
 def colocate(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
@@ -60,8 +58,7 @@ def colocate(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
 
 def colocated_join(left: DataFrame, right: DataFrame, key: str, spread: Column, buckets: int = 8) -> DataFrame:
     """Join of two tables that were laid out on the same buckets, hot keys spread over salts."""
-    salted, repeated = salt_hot_keys(left, right, key, spread)
-    on = [key, "_salt"]
+    salted, repeated, on = salt_hot_keys(left, right, key, spread)
     return colocate(salted, on, buckets).hint("merge").join(colocate(repeated, on, buckets), on).drop("_salt")
 
 

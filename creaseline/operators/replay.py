@@ -14,10 +14,10 @@ def playing_order(store: DataFrame) -> DataFrame:
     return store.orderBy("match_id", *PLAYING_ORDER)
 
 
-def replay_log(store: DataFrame, topic: str = "ball-events-replay") -> DataFrame:
+def replay_log(store: DataFrame, topic: str = "ball-events-replay", counted: DataFrame | None = None) -> DataFrame:
     """Log records of the stored balls; ``offset`` is the playing position within the match."""
     slot = (F.col("inning") * 1_000_000 + F.col("over_no")).cast("long")
-    tagged = spread_hot_keys(store, ["match_id"], slot)
+    tagged = spread_hot_keys(store, ["match_id"], slot, counted=counted)
     ranked = running(tagged, ["match_id"], PLAYING_ORDER, {"offset": F.lit(1)}).drop(SLOT)
     rows = ranked.withColumn("offset", F.col("offset") - 1)
     return to_log(rows, F.lit(None).cast("string"), topic)

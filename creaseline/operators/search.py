@@ -74,13 +74,25 @@ def analyze(html: Column, rules: dict[str, list[str]] | None = None, stop: list[
 def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(term, document) with frequency and positions.
 
-    A row never exceeds the tokens of one document; all tokens of a document are in one task, so
-    they fold to one row per term before the shuffle.
+    A document is one row, so its postings are grouped inside the row: words are sorted with their
+    positions, and every run of equal words becomes one posting. Nothing is shuffled.
     """
-    placed = df.select(doc, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    return placed.groupBy("term", doc).agg(
-        F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_list("pos")).alias("positions")
-    )
+    placed = F.transform(tokens(F.col(text)), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    sorted_words = df.select(doc, F.array_sort(placed).alias("w"))
+
+    def starts_run(x: Column, i: Column) -> Column:
+        return (i == 0) | (F.get("w", i - 1)["term"] != x["term"])
+
+    indexed = F.transform("w", lambda x, i: F.when(starts_run(x, i), i))
+    runs = sorted_words.withColumn("s", F.array_compact(indexed)).withColumn("size", F.size("w"))
+
+    def posting(start: Column, n: Column) -> Column:
+        length = F.coalesce(F.get("s", n + 1), F.col("size")) - start
+        positions = F.transform(F.slice("w", start + 1, length), lambda x: x["pos"])
+        return F.struct(F.get("w", start)["term"].alias("term"), length.cast("long").alias("frequency"), positions.alias("positions"))
+
+    postings = runs.select(doc, F.explode(F.transform("s", posting)).alias("p"))
+    return postings.select("p.term", doc, "p.frequency", "p.positions")
 
 
 def match(df: DataFrame, text: str, query: list[str]) -> DataFrame:

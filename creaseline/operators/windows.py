@@ -11,10 +11,13 @@ from pyspark.sql.window import Window as W
 from creaseline.operators.hotkeys import SLOT, previous, running, spread_hot_keys
 
 
-def running_score(store: DataFrame, include_extras: bool = False) -> DataFrame:
-    """Running runs and wickets of each inning, in playing order."""
+def running_score(store: DataFrame, include_extras: bool = False, counted: DataFrame | None = None) -> DataFrame:
+    """Running runs and wickets of each inning, in playing order.
+
+    ``counted`` may name a cheaper frame with at least as many rows per match.
+    """
     runs = F.col("runs") + (F.coalesce("extras", F.lit(0)) if include_extras else F.lit(0))
-    tagged = spread_hot_keys(store, ["match_id", "inning"], F.col("over_no").cast("long"))
+    tagged = spread_hot_keys(store, ["match_id"], F.col("over_no").cast("long"), counted=counted)
     sums = {"running_total": runs, "running_wickets": F.col("wicket").cast("int")}
     return running(tagged, ["match_id", "inning"], ["over_no", "ball"], sums).drop(SLOT)
 

@@ -41,6 +41,12 @@ def accepted(spark: SparkSession, folder: str) -> DataFrame:
     return first_arrivals(sequenced(spark, folder), order=ARRIVAL_ORDER)
 
 
+def match_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per base event of a match: at least as many as the match has stored balls."""
+    match_id = F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    return table(spark, folder, "events").select(match_id.alias("match_id"))
+
+
 def view(spark: SparkSession, folder: str) -> DataFrame:
     return live_view(accepted(spark, folder), ARRIVAL_ORDER)
 

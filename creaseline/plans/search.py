@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from creaseline.operators import search
 from creaseline.plans.registry import query
-from creaseline.sources.tables import table
+from creaseline.sources.tables import table, texts
 
 
 def tokens_sql(text: str) -> str:
@@ -46,7 +46,7 @@ GROUPS = [["bolt", "rod", "small ring"]]
 )
 def analyzer(spark, folder):
     kept = search.analyze(F.col("html"))
-    return table(spark, folder, "pages").select("page_id", F.array_join(kept, " ").alias("tokens"))
+    return texts(spark, folder, "pages").select("page_id", F.array_join(kept, " ").alias("tokens"))
 
 
 @query(
@@ -56,7 +56,7 @@ def analyzer(spark, folder):
     SELECT term, doc_id, count(*) AS frequency, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM p GROUP BY 1, 2""",
 )
 def inverted_index(spark, folder):
-    index = search.inverted_index(table(spark, folder, "documents"), "doc_id", "text")
+    index = search.inverted_index(texts(spark, folder, "documents"), "doc_id", "text")
     return index.withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
 
 
@@ -71,7 +71,7 @@ def term(spark, folder):
     FROM documents WHERE matched > 0""",
 )
 def match(spark, folder):
-    found = search.match(table(spark, folder, "documents"), "text", ["ening", "edre", "tion"])
+    found = search.match(texts(spark, folder, "documents"), "text", ["ening", "edre", "tion"])
     return found.select("doc_id", "matched")
 
 
@@ -80,7 +80,7 @@ def match(spark, folder):
     f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({tokens_sql('text')}, ' ') || ' ', ' of the ')",
 )
 def match_phrase(spark, folder):
-    return search.match_phrase(table(spark, folder, "documents"), "text", ["of", "the"]).select("doc_id")
+    return search.match_phrase(texts(spark, folder, "documents"), "text", ["of", "the"]).select("doc_id")
 
 
 def hits_sql(field: str, terms: list[str]) -> str:
@@ -120,7 +120,7 @@ BM25_TERMS = ["tion", "the", "ening"]
     + """ AS score FROM c, s) SELECT doc_id, round(score, 6) AS score FROM r WHERE score > 0""",
 )
 def bm25(spark, folder):
-    scored = search.bm25(table(spark, folder, "documents"), "doc_id", "text", BM25_TERMS)
+    scored = search.bm25(texts(spark, folder, "documents"), "doc_id", "text", BM25_TERMS)
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -157,7 +157,7 @@ def script_score(spark, folder):
     r"""SELECT doc_id, regexp_replace(text, '(?i)\b(tion|the)\b', '<em>\1</em>', 'g') AS highlighted FROM documents""",
 )
 def highlight(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", search.highlight(F.col("text"), ["tion", "the"]).alias("highlighted"))
+    return texts(spark, folder, "documents").select("doc_id", search.highlight(F.col("text"), ["tion", "the"]).alias("highlighted"))
 
 
 @query("t9_prefix_suggestions", "SELECT DISTINCT p_name FROM part WHERE starts_with(lower(p_name), 're') ORDER BY p_name LIMIT 10")

@@ -156,7 +156,8 @@ def dead_letter_count(spark, folder):
 
 
 def replayed_log(spark, folder):
-    rows = replay_log(inputs.accepted(spark, folder)).withColumn("timestamp", F.col("arrival"))
+    stored = replay_log(inputs.accepted(spark, folder), counted=inputs.match_rows(spark, folder))
+    rows = stored.withColumn("timestamp", F.col("arrival"))
     return materialize(rows.select(*LOG_SCHEMA.fieldNames()))
 
 

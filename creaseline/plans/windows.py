@@ -23,7 +23,7 @@ from creaseline.sources.tables import table
     WINDOW w AS (PARTITION BY match_id, inning ORDER BY over_no, ball ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 def running_total(spark, folder):
-    scored = windows.running_score(inputs.accepted(spark, folder))
+    scored = windows.running_score(inputs.accepted(spark, folder), counted=inputs.match_rows(spark, folder))
     return scored.select("match_id", "event_sequence", "runs", "running_total", "running_wickets")
 
 
@@ -46,7 +46,8 @@ def first_arrival(spark, folder):
     FROM accepted""",
 )
 def history(spark, folder):
-    tagged = spread_hot_keys(inputs.accepted(spark, folder), ["match_id"], by_time("arrival"))
+    accepted, counted = inputs.accepted(spark, folder), inputs.match_rows(spark, folder)
+    tagged = spread_hot_keys(accepted, ["match_id"], by_time("arrival"), counted=counted)
     return view_history(tagged, ARRIVAL_ORDER).select(
         "match_id", "event_id", "total_runs", "wickets", "arrival", "regressed"
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creaseline.functions.scalars import event_sequence
-from creaseline.operators.hotkeys import SLOT, by_time, running, spread_hot_keys
+from creaseline.operators.hotkeys import SLOT, by_time, running, slot_of, spread_hot_keys
 from creaseline.schemas import BALL_COLUMNS
 
 BALLS_PER_INNING = 36
@@ -29,7 +29,7 @@ def balls(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("src_id"),
         "user_id",
         "ts",
-        SLOT,
+        *slot_of(tagged),
         F.when(F.col("rn") <= BALLS_PER_INNING, 1).otherwise(2).alias("inning"),
         k.alias("k"),
         F.when(v % 6 == 5, 6).otherwise(v % 6).cast("int").alias("runs"),

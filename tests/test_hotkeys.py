@@ -69,11 +69,17 @@ def test_paged_lists_keep_everything(skewed, tiny_hot_limit):
     assert got == {k: [i for i, _ in values] for k, values in by_key(rows).items()}
 
 
-def test_cold_data_needs_one_shuffle_of_the_rows(skewed):
-    """Without hot keys AQE removes the carry branches: one window, no join is left."""
+def test_cold_data_is_a_plain_window(skewed):
+    """Without hot keys there is one shuffle of the rows and no join."""
     _, df = skewed
     out = running(spread_hot_keys(df, ["k"], F.expr("t div 5")), ["k"], ["t", "id"], {"n": F.lit(1)})
-    out.collect()
-    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "SortMergeJoin" not in final and "BroadcastHashJoin" not in final
-    assert final.count("Exchange hashpartitioning") == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_hot_rows_leave_their_task(skewed):
+    """The exchange of the rows is on key and slot, and the hot list is the only broadcast."""
+    _, df = skewed
+    out = running(spread_hot_keys(df, ["k"], F.expr("t div 5"), 100), ["k"], ["t", "id"], {"n": F.lit(1)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k#" in plan and "_slot#" in plan
