@@ -43,11 +43,13 @@ def salt_hot_keys(left: DataFrame, right: DataFrame, key: str, spread: Column, l
 
 
 def colocate(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """Write the rows bucketed and sorted by ``keys``; joins on them need no shuffle later."""
+    """Write the rows bucketed and sorted by ``keys``, one file per bucket; joins on them need no
+    shuffle later."""
     spark = df.sparkSession
     name = f"colocated_{uuid.uuid4().hex}"
     (
-        df.write.bucketBy(buckets, *keys)
+        df.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
         .sortBy(*keys)
         .option("path", shared_folder(spark))
         .format("parquet")
@@ -56,10 +58,15 @@ def colocate(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def colocated_join(left: DataFrame, right: DataFrame, key: str, spread: Column, buckets: int = 8) -> DataFrame:
-    """Join of two tables that were laid out on the same buckets, hot keys spread over salts."""
+def colocated_join(left: DataFrame, right: DataFrame, key: str, spread: Column, buckets: int | None = None) -> DataFrame:
+    """Join of two tables that were laid out on the same buckets, hot keys spread over salts.
+
+    Without a number there are as many buckets as the session has shuffle partitions.
+    """
+    buckets = buckets or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted, repeated, on = salt_hot_keys(left, right, key, spread)
-    return colocate(salted, on, buckets).hint("merge").join(colocate(repeated, on, buckets), on).drop("_salt")
+    joined = colocate(salted, on, buckets).hint("merge").join(colocate(repeated, on, buckets), on)
+    return joined.drop("_salt")
 
 
 def fetch_children(

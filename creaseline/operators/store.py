@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from creaseline.functions.scalars import epoch_seconds, ttl
-from creaseline.schemas import BALL_KEY, LOG_ORDER
+from creaseline.schemas import BALL_COLUMNS, BALL_KEY, LOG_ORDER
 
 
 def first_arrivals(df: DataFrame, key: Sequence[str] = BALL_KEY, order: Sequence[str] = LOG_ORDER) -> DataFrame:
@@ -21,6 +23,12 @@ def first_arrivals(df: DataFrame, key: Sequence[str] = BALL_KEY, order: Sequence
     return df.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
 
 
+def storable() -> Column:
+    """Whether a decoded ball can become a store row: everything but the extras is there."""
+    present = [F.col(c).isNotNull() for c in BALL_COLUMNS if c != "extras"]
+    return reduce(and_, present) & (F.col("match_id") != "")
+
+
 def accept(
     batch: DataFrame,
     store: DataFrame | None = None,

@@ -13,7 +13,7 @@ from creaseline.plans.registry import query
 from creaseline.plans.scalars import AS_OF, hash_sql
 from creaseline.schemas import BALL_KEY, LOG_ORDER
 from creaseline.functions.scalars import event_sequence
-from creaseline.operators.store import first_arrivals
+from creaseline.operators.store import first_arrivals, storable
 from creaseline.sources import log as logs
 from creaseline.sources.tables import table
 
@@ -24,7 +24,7 @@ DEC = "DECIMAL(18,2)"
 def live_score(spark, folder):
     """From raw log records to the live view: decode, first write wins, last arrival per match."""
     ok, _ = logs.decode(inputs.log(spark, folder))
-    accepted = first_arrivals(ok.withColumn("event_sequence", event_sequence()))
+    accepted = first_arrivals(ok.where(storable()).withColumn("event_sequence", event_sequence()))
     return live_view(accepted, LOG_ORDER)
 
 
@@ -53,6 +53,18 @@ def pipeline_counters(spark, folder):
     return ingest.counters(rows, F.col("kind") == 3, F.col("src_id") % 97 == 0, BALL_KEY)
 
 
+@query(
+    "a2_publish_counters",
+    "SELECT count(*) AS offered, count(*) FILTER (event_id % 97 <> 0) AS sent, count(*) FILTER (event_id % 97 = 0) AS failed FROM events",
+)
+def publish_counters(spark, folder):
+    """Send callbacks: every 97th record cannot be sent."""
+    failed = F.col("event_id") % 97 == 0
+    return table(spark, folder, "events").agg(
+        F.count(F.lit(1)).alias("offered"), F.count_if(~failed).alias("sent"), F.count_if(failed).alias("failed")
+    )
+
+
 def latencies(spark, folder):
     return table(spark, folder, "events").select(
         F.col("event_type").alias("operation"), F.floor(F.col("value") * 10).cast("int").alias("latency_ms")

@@ -58,7 +58,7 @@ def ordered_ingest_store(spark, folder):
     SQL_ACCEPTED
     + f""", sliced AS (SELECT *, CASE WHEN arrival < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN arrival < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END AS batch_id FROM feed),
     a AS (SELECT CASE WHEN arrival < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN arrival < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END AS batch_id, count(*) AS accepted FROM accepted GROUP BY 1)
-    SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS received, count(*) FILTER (kind = 3) AS poison, any_value(accepted) AS accepted
+    SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS received, count(*) FILTER (kind = 3) AS poison, CAST(0 AS BIGINT) AS dlt, any_value(accepted) AS accepted
     FROM sliced JOIN a USING (batch_id) GROUP BY 1""",
 )
 def multi_output(spark, folder):
@@ -209,7 +209,7 @@ def stream_progress(spark, folder):
     sink = Ledger(spark, f"{root}/out", LOG_SCHEMA)
     reported = []
     for part in log_slices(spark, folder):
-        deliver(part, f"{root}/in", "partition")
+        deliver(part, f"{root}/in")
         stream = spark.readStream.schema(LOG_SCHEMA).parquet(f"{root}/in")
         progress = run_available(stream, sink.write, f"{root}/checkpoint")
         reported += [(p["batchId"], p["numInputRows"]) for p in progress if p["numInputRows"]]

@@ -64,8 +64,9 @@ def broker_log(spark: SparkSession, servers: str, topic: str, max_offsets: int)
 def parsed(df: DataFrame, unknown_fields: str = "poison") -> DataFrame:
     """Add ``body`` (decoded struct) and ``is_poison``.
 
-    A record is unreadable when it is null, empty or not a JSON object of the known types, and by
-    default also when it carries a field outside the schema.
+    A record is unreadable when it is empty or not a JSON object of the known types, and by default
+    also when it carries a field outside the schema. A null value is no JSON error: it decodes to
+    nothing and fails when it is stored.
     """
     body = F.from_json(
         "value",
@@ -73,23 +74,26 @@ def parsed(df: DataFrame, unknown_fields: str = "poison") -> DataFrame:
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "timestampNTZFormat": INSTANT},
     )
     keys = F.json_object_keys("value")
-    bad = F.col("value").isNull() | (F.trim("value") == "") | F.col("body").isNull()
-    bad = bad | F.col("body._corrupt").isNotNull() | keys.isNull()
+    bad = (F.trim("value") == "") | F.col("body").isNull() | F.col("body._corrupt").isNotNull() | keys.isNull()
     if unknown_fields == "poison":
         known = F.array(*[F.lit(w) for w in WIRE])
         bad = bad | (F.size(F.array_except(keys, known)) > 0)
     elif unknown_fields != "ignore":
         raise ValueError(f"unknown_fields must be 'poison' or 'ignore', not {unknown_fields!r}")
-    return df.withColumn("body", body).withColumn("is_poison", F.coalesce(bad, F.lit(True)))
+    is_poison = F.col("value").isNotNull() & F.coalesce(bad, F.lit(True))
+    return df.select("*", body.alias("body")).withColumn("is_poison", is_poison)
+
+
+def ball_fields() -> list[Column]:
+    """Ball columns of a decoded body."""
+    return [F.col(f"body.{wire}").alias(col) for wire, col in WIRE.items()]
 
 
 def decode(df: DataFrame, unknown_fields: str = "poison") -> tuple[DataFrame, DataFrame]:
     """Split a log into decoded balls (plus log columns) and unreadable records."""
     both = parsed(df, unknown_fields)
     rest = [c for c in df.columns if c not in ("value", "key", "topic", "headers", "timestamp")]
-    ok = both.where(~F.col("is_poison")).select(
-        *rest, *[F.col(f"body.{wire}").alias(col) for wire, col in WIRE.items()]
-    )
+    ok = both.where(~F.col("is_poison")).select(*rest, *ball_fields())
     poison = both.where("is_poison").select(*df.columns)
     return ok, poison
 

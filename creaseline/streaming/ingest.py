@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from creaseline.functions.scalars import event_sequence
 from creaseline.operators import retry
-from creaseline.operators.store import first_arrivals, stored_rows
+from creaseline.operators.store import first_arrivals, storable, stored_rows
 from creaseline.operators.view import VIEW_COLUMNS, live_view
-from creaseline.schemas import BALL_KEY, LOG_ORDER, LOG_SCHEMA
+from creaseline.schemas import BALL_COLUMNS, BALL_KEY, LOG_ORDER, LOG_SCHEMA
 from creaseline.session import shared_folder
 from creaseline.sources import log as logs
 from creaseline.streaming.ledger import BATCH, BUCKET, Ledger, deliver, run_available, touched
@@ -45,7 +45,8 @@ VIEW_SCHEMA = T.StructType(
 )
 FEED_COLUMNS = ["match_id", "event_sequence", "event_id", "total_runs"]
 FEED_SCHEMA = T.StructType([EVENT_SCHEMA[c] for c in FEED_COLUMNS])
-COUNT_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("received", "poison", "accepted")])
+COUNT_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("received", "poison", "dlt", "accepted")])
+STORE_ERROR = "java.lang.RuntimeException"
 NOTIFICATION_SCHEMA = T.StructType(
     [
         T.StructField("match_id", T.StringType()),
@@ -68,7 +69,7 @@ def stored_keys(events: Ledger, before: int, buckets: list[int]) -> DataFrame:
 
 
 class ScoreStream:
-    """Event store, live view, unreadable records, processed feed and counters, one ledger each.
+    """Event store, live view, unreadable records, dead letters, processed feed and counters, one ledger each.
 
     Store and view come from the same accepted rows, so a batch that failed half-way and runs again
     completes both.
@@ -82,28 +83,40 @@ class ScoreStream:
         self.poison = Ledger(spark, f"{self.root}/poison", LOG_SCHEMA)
         self.processed = Ledger(spark, f"{self.root}/processed", FEED_SCHEMA)
         self.counts = Ledger(spark, f"{self.root}/counts", COUNT_SCHEMA)
+        self.dead = Ledger(spark, f"{self.root}/dead", LOG_SCHEMA)
+        self.tallied = {"poison": self.poison, "dlt": self.dead, "accepted": self.events}
         self.progress: list = []
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch to all sinks. The batch is decoded once per sink that needs it raw; the
-        view and the feed read back the accepted rows of this batch."""
-        ok, poison = logs.decode(batch)
-        self.poison.write(poison, batch_id)
-        balls = first_arrivals(ok.withColumn("event_sequence", event_sequence()))
-        accepted = balls.join(stored_keys(self.events, batch_id, touched(batch, "key")), BALL_KEY, "left_anti")
-        self.events.write(stored_rows(accepted, *LOG_ORDER), batch_id)
-
-        written = self.events.batch(batch_id)
-        self.views.write(live_view(written.withColumnRenamed("event_ts", "ts")), batch_id)
-        self.processed.write(written, batch_id)
-        received = batch.agg(F.count(F.lit(1)).alias("received"))
-        self.counts.write(
-            received.withColumns({"poison": row_count(self.poison.batch(batch_id)), "accepted": row_count(written)}),
-            batch_id,
-        )
+        """One micro-batch to all sinks. Records are decoded once; the view and the feed read back
+        the accepted rows of this batch."""
+        both = logs.parsed(batch).persist()
+        try:
+            log_columns = LOG_SCHEMA.fieldNames()
+            self.poison.write(both.where("is_poison"), batch_id)
+            decoded = both.where(~F.col("is_poison")).select(*log_columns, *logs.ball_fields())
+            failing = decoded.where(~storable()).select(*log_columns)
+            self.dead.write(logs.to_dead_letters(failing, F.lit(STORE_ERROR), F.lit("incomplete event")), batch_id)
+
+            balls = decoded.where(storable()).select(*LOG_ORDER, *BALL_COLUMNS, event_sequence().alias("event_sequence"))
+            earlier = stored_keys(self.events, batch_id, touched(balls, "match_id"))
+            accepted = first_arrivals(balls).join(earlier, BALL_KEY, "left_anti")
+            self.events.write(stored_rows(accepted, *LOG_ORDER), batch_id)
+
+            written = self.events.batch(batch_id)
+            self.views.write(live_view(written.withColumnRenamed("event_ts", "ts")), batch_id)
+            self.processed.write(written, batch_id)
+            received = both.agg(F.count(F.lit(1)).alias("received"))
+            tallies = {c: row_count(ledger.batch(batch_id)) for c, ledger in self.tallied.items()}
+            self.counts.write(received.withColumns(tallies), batch_id)
+        finally:
+            both.unpersist()
 
     def run(self, path: str, files_per_trigger: int | None = None) -> None:
-        """Work through the files that have arrived since the last run."""
+        """Work through the files that have arrived since the last run.
+
+        A cap on files per batch asks for files that follow the offsets, as a broker delivers them.
+        """
         stream = logs.stream_log(self.spark, path, files_per_trigger)
         self.progress += run_available(stream, self.process, f"{self.root}/checkpoint")
 
@@ -111,7 +124,7 @@ class ScoreStream:
         """Deliver slices of a log one after the other and process each."""
         path = f"{self.root}/in"
         for part in deliveries:
-            deliver(part, path, "partition")
+            deliver(part, path)
             self.run(path)
         return self
 
@@ -144,7 +157,8 @@ class RetryStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         ok, _ = logs.decode(batch.withColumn("arrival", F.col("timestamp")))
-        tried = retry.attempts(ok.withColumn("event_sequence", event_sequence()), self.failures, self.error_class)
+        failures = F.when(storable(), self.failures).otherwise(retry.MAX_ATTEMPTS)
+        tried = retry.attempts(ok.withColumn("event_sequence", event_sequence()), failures, self.error_class)
 
         def rows(df: DataFrame) -> DataFrame:
             return stored_rows(df.withColumn("effective_arrival", F.col("due_at")), *LOG_ORDER, "effective_arrival")
@@ -179,7 +193,7 @@ class RetryStream:
         """Work through the deliveries, then let the clock run out for what still waits."""
         path = f"{self.root}/in"
         for part in deliveries:
-            deliver(part, path, "partition")
+            deliver(part, path)
             run_available(logs.stream_log(self.spark, path), self.process, f"{self.root}/checkpoint")
         end = self.clock.read().agg(F.max(BATCH)).first()[0] + 1
         self.clock.write(self.pending.read().agg(F.max("effective_arrival").alias("now")), end)
@@ -207,7 +221,7 @@ class DeadLetterStream:
     def consume(self, deliveries: list[DataFrame]) -> DeadLetterStream:
         path = f"{self.root}/in"
         for part in deliveries:
-            deliver(part, path, "partition")
+            deliver(part, path)
             run_available(logs.stream_log(self.spark, path), self.process, f"{self.root}/checkpoint")
         return self
 

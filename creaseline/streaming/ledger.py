@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from creaseline.session import shared_folder
@@ -42,7 +43,6 @@ class Ledger:
         if bucket_by:
             parts.append(T.StructField(BUCKET, T.IntegerType()))
         self.schema = T.StructType([*schema.fields, *parts])
-        self.write(spark.createDataFrame([], schema), -1)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         rows = df.select(*self.columns)
@@ -55,7 +55,12 @@ class Ledger:
 
     def read(self, before: int | None = None) -> DataFrame:
         """Rows of the batches before one, or of all; the folder filter prunes files."""
-        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        try:
+            rows = self.spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.schema)
         return rows if before is None else rows.where(F.col(BATCH) < before)
 
     def batch(self, batch_id: int) -> DataFrame:
@@ -97,6 +102,6 @@ def arrivals(df: DataFrame, column: str, cuts: Sequence[str]) -> list[DataFrame]
     return slices
 
 
-def deliver(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Append files to a stream folder. ``by`` keeps each log partition in one file per delivery."""
-    (df.repartition(by) if by else df).write.mode("append").parquet(path)
+def deliver(df: DataFrame, path: str) -> None:
+    """Append files to a stream folder."""
+    df.write.mode("append").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from creaseline.functions.scalars import event_sequence, header
 from creaseline.operators import ingest
-from creaseline.operators.store import accept, first_arrivals
+from creaseline.operators.store import accept, first_arrivals, storable
 from creaseline.operators.view import live_view, reconcile, upsert_view
 from creaseline.schemas import LOG_SCHEMA
 from creaseline.sources import log as logs
@@ -40,12 +40,19 @@ def records(spark, values, headers=None):
 def test_decode_splits_poison(spark):
     values = [json.dumps(GOOD), "{not-valid-json}", "", None, json.dumps({**GOOD, "runs": "four"}), "[1]"]
     ok, poison = logs.decode(records(spark, values))
-    assert [r.offset for r in ok.collect()] == [0]
-    assert sorted(r.offset for r in poison.collect()) == [1, 2, 3, 4, 5]
-    row = ok.collect()[0]
+    assert sorted(r.offset for r in ok.collect()) == [0, 3]
+    assert sorted(r.offset for r in poison.collect()) == [1, 2, 4, 5]
+    row = ok.where(storable()).collect()[0]
     assert row.ts == TS and row.total_runs == 87 and row.extras is None
 
 
+def test_incomplete_events_cannot_be_stored(spark):
+    values = [json.dumps(GOOD), "{}", json.dumps({**GOOD, "team": None}), json.dumps({**GOOD, "matchId": ""}), None]
+    ok, poison = logs.decode(records(spark, values))
+    assert poison.count() == 0
+    assert [r.offset for r in ok.where(storable()).collect()] == [0]
+
+
 def test_unknown_fields(spark):
     df = records(spark, [json.dumps({**GOOD, "venue": "x"})])
     assert logs.decode(df)[0].count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from creaseline.plans import inputs
 from creaseline.plans.streams import CUTS, injected, log_slices
+from creaseline.sources.log import dead_letter_rows
 from creaseline.streaming.ingest import RetryStream, ScoreStream
 from creaseline.streaming.ledger import arrivals
 
@@ -47,6 +48,16 @@ def test_conservation(spark, data):
     assert accepted == stream.store().count() == inputs.accepted(spark, data).count()
 
 
+def test_incomplete_events_become_dead_letters(spark, data):
+    log = inputs.log(spark, data)
+    broken = F.when((F.col("partition") == 3) & (F.col("offset") == 0), "{}").otherwise(F.col("value"))
+    stream = ScoreStream(spark).consume([log.withColumn("value", broken)])
+    dead = dead_letter_rows(stream.dead.read()).collect()
+    assert [(d.partition, d.offset, d.original_offset) for d in dead] == [(3, 0, "0")]
+    totals = stream.counts.read().agg(F.sum("received"), F.sum("dlt")).first()
+    assert tuple(totals) == (log.count(), 1)
+
+
 def test_one_delivery_or_three(spark, data):
     log = inputs.log(spark, data)
     once = ScoreStream(spark).consume([log])
