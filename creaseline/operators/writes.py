@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from creaseline.operators.hotkeys import SLOT, running, spread_hot_keys
 
 ACTIVE = ["STARTED", "IN_PROGRESS"]
 
 
+class VersionedTable:
+    """A table that is replaced as a whole: each version has its own folder, and a commit row names it.
+
+    A version that was not committed is never read, so a failed rewrite leaves the table as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.version = -1
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        number = self.version + 1
+        df.write.mode("overwrite").parquet(f"{self.path}/data/{number}")
+        commit = self.spark.range(1).select(F.lit(number).alias("version"))
+        commit.write.mode("overwrite").parquet(f"{self.path}/commits/{number}")
+        self.version = number
+        return self.current()
+
+    def current(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/data/{self.version}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> VersionedTable:
+        """Reopen at the last committed version; the commits hold one row per version."""
+        table = cls(spark, path)
+        table.version = spark.read.parquet(f"{path}/commits/*").agg(F.max("version")).first()[0]
+        return table
+
+
 def delete_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on), on, "left_anti")
 

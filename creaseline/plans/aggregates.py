@@ -40,7 +40,7 @@ def live_score_by_sequence(spark, folder):
 
 
 @query(
-    "a2_pipeline_counters",
+    "a2_ingest_counters",
     SQL_FEED
     + """, usable AS (SELECT * FROM feed WHERE kind <> 3 AND src_id % 97 <> 0)
     SELECT (SELECT count(*) FROM feed) AS received, (SELECT count(*) FROM feed WHERE kind = 3) AS poison,
@@ -48,7 +48,7 @@ def live_score_by_sequence(spark, folder):
     (SELECT count(*) FROM usable) - (SELECT count(*) FROM (SELECT DISTINCT match_id, inning, over_no, ball FROM usable)) AS duplicate,
     (SELECT count(*) FROM feed WHERE kind <> 3 AND src_id % 97 = 0) AS dlt""",
 )
-def pipeline_counters(spark, folder):
+def ingest_counters(spark, folder):
     rows = inputs.feed(spark, folder).withColumn("event_sequence", event_sequence())
     return ingest.counters(rows, F.col("kind") == 3, F.col("src_id") % 97 == 0, BALL_KEY)
 

@@ -345,8 +345,9 @@ def delete_match(spark, folder):
 
 @query("k12_delete_by_status", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
 def delete_by_status(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    return writes.delete_where(orders, F.col("o_orderstatus") == "F")
+    stored = writes.VersionedTable(spark, shared_folder(spark))
+    orders = stored.replace(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"))
+    return stored.replace(writes.delete_where(orders, F.col("o_orderstatus") == "F"))
 
 
 @query(
@@ -355,9 +356,10 @@ def delete_by_status(spark, folder):
     FROM orders""",
 )
 def bulk_update(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    stored = writes.VersionedTable(spark, shared_folder(spark))
+    orders = stored.replace(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"))
     old = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
-    return writes.update_where(orders, old, {"o_orderstatus": F.lit("ARCHIVED")}).drop("o_orderdate")
+    return stored.replace(writes.update_where(orders, old, {"o_orderstatus": F.lit("ARCHIVED")})).drop("o_orderdate")
 
 
 @query(

@@ -11,7 +11,12 @@ HOT_ROWS_CONF = "spark.creaseline.hotRows"
 
 
 def build_session(app: str = "creaseline", master: str | None = None, **conf) -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.ui.enabled", "false")
+        # recording the call site of every column costs more than planning does
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

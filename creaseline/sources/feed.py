@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from creaseline.functions.scalars import event_sequence
 from creaseline.operators.hotkeys import SLOT, by_time, running, slot_of, spread_hot_keys
 from creaseline.schemas import BALL_COLUMNS
+from creaseline.session import materialize
 
 BALLS_PER_INNING = 36
 LOG_PARTITIONS = 192
@@ -23,6 +24,9 @@ def balls(events: DataFrame) -> DataFrame:
         events.select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"], by_time("ts")
     )
     numbered = running(tagged, ["user_id"], ["ts", "event_id"], {"rn": F.lit(1)})
+    if slot_of(tagged):
+        # the carried totals below read the numbered rows a second time
+        numbered = materialize(numbered)
     k = F.when(F.col("rn") <= BALLS_PER_INNING, F.col("rn") - 1).otherwise(F.col("rn") - 1 - BALLS_PER_INNING)
     v = F.floor("value")
     placed = numbered.select(

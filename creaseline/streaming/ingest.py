@@ -128,6 +128,13 @@ class ScoreStream:
             self.run(path)
         return self
 
+    def compact(self) -> None:
+        """Fold the small files of many batches; call it while the stream rests."""
+        folder = shared_folder(self.spark)
+        self.events = self.events.compact(f"{folder}/events")
+        self.views = self.views.compact(f"{folder}/view", ["match_id"])
+        self.tallied["accepted"] = self.events
+
     def view(self) -> DataFrame:
         return self.views.latest(["match_id"])
 

@@ -72,6 +72,18 @@ class Ledger:
         newest = F.max_by(F.struct(*values), F.col(BATCH)).alias("r")
         return self.read(before).groupBy(*keys).agg(newest).select(*keys, "r.*")
 
+    def compact(self, path: str, keys: Sequence[str] | None = None) -> Ledger:
+        """The same rows, or the newest per key, as one batch of a new ledger.
+
+        To be taken into use between two runs of a stream; readers of the old folder are not disturbed.
+        """
+        last = self.read().agg(F.max(BATCH)).first()[0]
+        merged = Ledger(self.spark, path, T.StructType([self.schema[c] for c in self.columns]), self.bucket_by)
+        if last is not None:
+            rows = self.read() if keys is None else self.latest(keys)
+            merged.write(rows.hint("rebalance"), last)
+        return merged
+
 
 def run_available(
     stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"

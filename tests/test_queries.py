@@ -34,7 +34,7 @@ def con(data) -> duckdb.DuckDBPyConnection:
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert all(name == name.lower() and "pipeline_" not in name[:9] for name in QUERIES)
+    assert all(name == name.lower() for name in QUERIES)
 
 
 @pytest.mark.parametrize("key", [k for k in QUERIES if k in ORACLES])

@@ -40,6 +40,19 @@ def test_half_written_batch_is_completed(spark, data):
     assert rows(broken.store()) == rows(clean.store())
 
 
+def test_compaction_keeps_store_and_view(spark, data):
+    slices = log_slices(spark, data)
+    stream = ScoreStream(spark).consume(slices[:2])
+    store, view = rows(stream.store()), rows(stream.view())
+    stream.compact()
+    assert rows(stream.store()) == store and rows(stream.view()) == view
+    assert stream.views.read().select("batch_id").distinct().count() == 1
+    # duplicates of compacted balls are still recognised, and the rest still arrives
+    stream.consume([slices[0], slices[2]])
+    clean = ScoreStream(spark).consume(slices)
+    assert rows(stream.store()) == rows(clean.store()) and rows(stream.view()) == rows(clean.view())
+
+
 def test_conservation(spark, data):
     stream = ScoreStream(spark).consume(log_slices(spark, data))
     received, poison, accepted = stream.counts.read().agg(F.sum("received"), F.sum("poison"), F.sum("accepted")).first()
