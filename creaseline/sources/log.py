@@ -80,10 +80,14 @@ def parsed(df: DataFrame, unknown_fields: str = "poison") -> DataFrame:
         unknown = F.when(keys.isNotNull(), 0)
     else:
         raise ValueError(f"unknown_fields must be 'poison' or 'ignore', not {unknown_fields!r}")
-    # the parsers are the cost of this operator, so each appears once; a value that is no object has no keys
-    bad = F.col("body._corrupt").isNotNull() | (F.coalesce(unknown, F.lit(1)) > 0)
-    is_poison = F.col("value").isNotNull() & bad
-    return df.select("*", body.alias("body")).withColumn("is_poison", is_poison)
+    # The parsers are the cost of this operator. A projected column would be computed again in every
+    # filter pushed below it; the output of a generator is computed once.
+    once = F.explode(F.array(F.struct(body.alias("body"), unknown.alias("unknown")))).alias("_parsed")
+    # a value that is no object has no keys
+    bad = F.col("_parsed.body._corrupt").isNotNull() | (F.coalesce("_parsed.unknown", F.lit(1)) > 0)
+    return df.select("*", once).select(
+        *df.columns, "_parsed.body", (F.col("value").isNotNull() & bad).alias("is_poison")
+    )
 
 
 def ball_fields() -> list[Column]:
