@@ -306,7 +306,7 @@ def _joined(named: DataFrame, stats: DataFrame, model: DataFrame, order: int) ->
 # Verdict
 
 
-def judge(scored: DataFrame, spread: float = 8.0, floor: float = 0.15) -> DataFrame:
+def judge(scored: DataFrame, spread: float = 12.0, floor: float = 0.5) -> DataFrame:
     """Add ``base_failed``, the language's ``lower`` and ``upper`` loss and ``kept``.
 
     The band lies ``spread`` robust deviations (and at least ``floor``) around the language's median loss, both taken
