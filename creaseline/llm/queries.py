@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from creaseline.llm import decontaminate, pieces, quality_rules, shards, token_counts, warc
+from creaseline.llm import decontaminate, pieces, quality_rules, shards, simhash, suffix_dedup, token_counts, warc
 from creaseline.llm.common import table
 from creaseline.session import materialize, prepare, shared_folder
 
@@ -83,3 +83,14 @@ select page_id, payload_bytes,
   case when page_id = m then null else m end as refers_to
 from p join f using (x)
 """
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), materialize)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
