@@ -16,7 +16,7 @@ def size_of_text() -> F.Column:
     return F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + OVERHEAD
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 42, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Write ``docs`` as ``path/shard=N/`` and return the written table: every column of ``docs`` in ``record``,
     with ``size``, ``shard`` and ``slot`` (the place in the shard, from 0 without gaps).
 
@@ -41,7 +41,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 42, b
     )
     in_order = F.array_sort("entries", lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0))
     permuted = (
-        scattered.repartition("bucket")
+        scattered.repartition(buckets, "bucket")  # so a task holds a few buckets, however large the table
         .groupBy("bucket")
         .agg(F.collect_list(F.struct("h", "size", "record")).alias("entries"))
         .join(offsets, "bucket")
