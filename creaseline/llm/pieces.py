@@ -98,12 +98,13 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     return texts(docs).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Number of ids, digest of the ids in decimal, digest of the decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Number of ids, digest of the ids in decimal, digest of the decoded text, and the named columns."""
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(decimal, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from creaseline.llm import decontaminate, pieces, quality_rules, shards, simhash, suffix_dedup, token_counts, warc
+from creaseline.llm import (
+    decontaminate,
+    html_text,
+    pieces,
+    quality_rules,
+    quality_trees,
+    shards,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 from creaseline.llm.common import table
 from creaseline.session import materialize, prepare, shared_folder
 
@@ -94,3 +105,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
+@query
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = quality_trees.quality_scores(docs, labels, materialize)
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
