@@ -39,47 +39,68 @@ class Classes:
         self.stop[self.lms] = self.stop[n] = True
 
 
-def _refine(group: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Split the groups of ``active`` by ``key``; a group's number is the number of members in smaller ones.
-
-    Returns, for each of ``active``, whether its group still has others.
-    """
-    old = group[active]
-    span = int(key.max()) + 1
-    if int(old.max()) + 1 <= (1 << 62) // span:
-        order = np.argsort(old * span + key)
+def _ranked(key: np.ndarray, old: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each member how many of its group ``old`` (one group by default) have a smaller key, and whether others have its own."""
+    if old is None:
+        order = np.argsort(key)
+        split = np.append(True, np.diff(key[order]) != 0)
+        fresh = None
     else:
-        order = np.lexsort((key, old))
-    old, key = old[order], key[order]
-    places = np.arange(len(order))
-    fresh = np.append(True, old[1:] != old[:-1])
-    split = fresh | np.append(True, key[1:] != key[:-1])
+        span = int(key.max()) + 1
+        if int(old.max()) + 1 <= (1 << 62) // span:
+            joint = old * span + key
+            order = np.argsort(joint)
+            split = np.append(True, np.diff(joint[order]) != 0)
+        else:
+            order = np.lexsort((key, old))
+            split = np.append(True, (np.diff(old[order]) != 0) | (np.diff(key[order]) != 0))
+        fresh = np.flatnonzero(np.append(True, np.diff(old[order]) != 0))
     runs = np.flatnonzero(split)
-    begin = np.repeat(runs, np.diff(np.append(runs, len(order))))
-    base = np.maximum.accumulate(np.where(fresh, places, 0))
-    group[active[order]] = old + begin - base
-    alone = split & np.append(split[1:], True)
-    more = np.empty(len(order), bool)
-    more[order] = ~alone
-    return more
+    sizes = np.diff(np.append(runs, len(order)))
+    base = 0 if fresh is None else np.repeat(fresh, np.diff(np.append(fresh, len(order))))
+    smaller, others = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    smaller[order] = np.repeat(runs, sizes) - base
+    others[order] = np.repeat(sizes > 1, sizes)
+    return smaller, others
+
+
+def _packed(of: Classes, at: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to four tokens, if they fit in a key, from ``at`` to the end of the chain at most.
+
+    Also the place behind them, or the chain's end where it is reached, and whether it is. The first token of a
+    suffix never ends its own chain. A chain cannot be the beginning of another, so what pads it does not matter.
+    """
+    bits = max(1, int(of.token.max()).bit_length())
+    key = of.token[at]
+    ended = np.zeros(len(at), bool) if first else of.stop[at]
+    at = np.where(ended, at, of.next[at])
+    for _ in range(min(62 // bits, 4) - 1):
+        key = (key << bits) | np.where(ended, 0, of.token[at])
+        ended = ended | of.stop[at]
+        at = np.where(ended, at, of.next[at])
+        if ended.all():
+            break
+    return key, at, ended
 
 
 def _by_chain(of: Classes, wanted: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
     """For each of ``wanted`` how many of them are smaller, by chain and then, if given, by the rank at its end."""
-    group = np.zeros(len(wanted), np.int64)
-    active, at = np.arange(len(wanted)), wanted
-    if len(active) == 0:
-        return group
-    more = _refine(group, active, of.token[at])
-    active, at = active[more], of.next[at[more]]
-    while len(active):
-        more = _refine(group, active, of.token[at])
-        active, at = active[more], at[more]
-        ended = of.stop[at]
+    if len(wanted) == 0:
+        return np.zeros(0, np.int64)
+    key, at, ended = _packed(of, wanted, True)
+    group, more = _ranked(key, None)
+    active = np.arange(len(wanted))
+    while True:
+        active, at, ended = active[more], at[more], ended[more]
         if rank is not None and ended.any():
-            _refine(group, active[ended], rank[at[ended]])
-        active, at = active[~ended], of.next[at[~ended]]
-    return group
+            done = active[ended]
+            group[done] += _ranked(rank[at[ended]], group[done])[0]
+        active, at = active[~ended], at[~ended]
+        if len(active) == 0:
+            return group
+        key, at, ended = _packed(of, at, False)
+        smaller, more = _ranked(key, group[active])
+        group[active] += smaller
 
 
 def _lms_rank(s: np.ndarray, of: Classes) -> np.ndarray:

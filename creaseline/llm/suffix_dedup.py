@@ -19,10 +19,13 @@ from creaseline.llm.common import slices, texts
 from creaseline.llm.suffix_array import common_prefixes, suffix_ranks
 
 LENGTH = 100
-GRAM = 24
-SHARD = 1 << 20  # bytes of a suffix array, or one hash's segments if they have more
+GRAM = 20
+SHARD = 1 << 18  # bytes of a suffix array, or one hash's segments if they have more
 MULTIPLIER = 0x9E3779B97F4A7C15
 FAR = np.int64(1) << np.int64(32)
+#: A place in 63 bits: 21 of the text's digest, 30 of the first string, 12 of the number of strings.
+START_AT, TAG_AT = 12, 42
+MOST, LAST_START, LAST_TAG = (1 << 12) - 1, (1 << 30) - 1, (1 << 21) - 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,25 +70,39 @@ def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     twice = chosen[1:][chosen[1:] == chosen[:-1]]
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     counts = np.diff(np.append(starts, len(least)))
-    if counts.max() > 0xFFFF:  # only to fit a field: a long run becomes several segments of one hash
-        pieces = -(-counts // 0xFFFF)
+    if counts.max() > MOST:  # only to fit a field: a long run becomes several segments of one hash
+        pieces = -(-counts // MOST)
         which = np.repeat(np.arange(len(starts)), pieces)
         into = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = starts[which] + into * 0xFFFF
-        counts = np.minimum(counts[which] - into * 0xFFFF, 0xFFFF)
+        starts = starts[which] + into * MOST
+        counts = np.minimum(counts[which] - into * MOST, MOST)
     own = least[starts]
     return own.view(np.int64), starts, counts, np.isin(own, twice) if len(twice) else np.zeros(len(own), bool)
 
 
-PLACES = "route long, doc_id long, place long, hash long"
+PLACES = "hash long, doc_id long, place long"
+#: Bits of a hash that are given to flags: the segment is known to repeat; it is not its batch's first.
+KNOWN, LATER = 1, 2
 
 
-def _places(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """One row per segment. ``place``: 17 bits of the text's digest, first string, number of strings.
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are shuffled."""
+    squeeze = pa.Codec("zstd", compression_level=1)
+    for batch in slices(batches):
+        raw = [t.encode() for t in batch.column("text").to_pylist()]
+        packed = pa.array([squeeze.compress(r, asbytes=True) for r in raw], pa.binary())
+        out = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+        yield pa.RecordBatch.from_pydict(out | {"packed": packed, "size": pa.array(map(len, raw), pa.int64())})
 
-    ``route`` is the hash with its last bit taken as "known to repeat". Where a hash repeats within the batch only
-    its first segment goes to the hash's task, the others anywhere: a common passage does not gather in one task.
-    """
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    squeeze = pa.Codec("zstd")
+    for packed, size in zip(batch.column("packed").to_pylist(), batch.column("size").to_pylist(), strict=True):
+        yield squeeze.decompress(packed, size, asbytes=True) if size else b""
+
+
+def _places(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """One row per segment: its hash with two flags, and the text's tag, the first string and the number of strings."""
     for batch in batches:
         found = [segments(t.encode(), length, gram) for t in batch.column("text").to_pylist()]
         sizes = np.array([len(f[0]) for f in found], np.int64)
@@ -94,119 +111,107 @@ def _places(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
         hashes, starts, counts, periodic = (np.concatenate([f[i] for f in found]) for i in range(4))
         owner = np.repeat(np.arange(len(found)), sizes)
         tags = batch.column("tag").to_numpy(zero_copy_only=False)[owner]
-        place = (tags << 47) | (starts << 16) | counts
-        base = hashes & ~np.int64(1)
+        place = (tags << TAG_AT) | (starts << START_AT) | counts
+        base = hashes & ~np.int64(KNOWN | LATER)
         order = np.argsort(base, kind="stable")
         ordered = base[order]
-        same = ordered[1:] == ordered[:-1]
-        known = np.zeros(len(base), bool)
-        known[order] = np.append(same, False) | np.append(False, same)
-        known |= periodic
-        later = np.zeros(len(base), bool)
-        later[order] = np.append(False, same)
-        spread = _mix(place.view(np.uint64) ^ np.arange(len(base), dtype=np.uint64)).view(np.int64)
-        route = np.where(later, spread, base) & ~np.int64(1) | known
+        later = np.append(False, ordered[1:] == ordered[:-1])
+        flags = np.empty(len(base), np.int64)
+        flags[order] = np.where(later, LATER, 0) | np.where(later | np.append(later[1:], False), KNOWN, 0)
+        flags |= np.where(periodic, KNOWN, 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(route), batch.column("doc_id").take(pa.array(owner)), pa.array(place), pa.array(hashes, mask=~later)],
-            ["route", "doc_id", "place", "hash"],
+            [pa.array(base | flags), batch.column("doc_id").take(pa.array(owner)), pa.array(place)], ["hash", "doc_id", "place"]
         )
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by route those that are known to repeat or have a neighbour of their hash; one row is held back."""
+    """Of rows sorted by hash those that are known to repeat or have a neighbour of their hash; one row is held back."""
     held: pa.RecordBatch | None = None
     held_hit = False
 
     def out(batch: pa.RecordBatch, hit: np.ndarray) -> pa.RecordBatch:
         batch = batch.filter(pa.array(hit))
-        # a hash that was routed by itself lost its last bit, which is the same loss for all
-        hashes = pa.compute.coalesce(batch.column("hash"), batch.column("route"))
-        even = hashes.to_numpy(zero_copy_only=False) & ~np.int64(1)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(even)], ["doc_id", "place", "hash"])
+        clean = batch.column("hash").to_numpy(zero_copy_only=False) & ~np.int64(KNOWN | LATER)
+        return pa.RecordBatch.from_arrays([pa.array(clean), batch.column("doc_id"), batch.column("place")], ["hash", "doc_id", "place"])
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
         if held is not None:
-            table = pa.Table.from_batches([held, batch]).combine_chunks()
-            batch = table.to_batches()[0]
-        route = batch.column("route").to_numpy(zero_copy_only=False)
-        same = (route[1:] >> 1) == (route[:-1] >> 1)
-        hit = ((route & 1) == 1) | np.append(same, False) | np.append(False, same)
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        hashes = batch.column("hash").to_numpy(zero_copy_only=False)
+        same = (hashes[1:] >> 2) == (hashes[:-1] >> 2)
+        hit = ((hashes & KNOWN) != 0) | np.append(same, False) | np.append(False, same)
         hit[0] |= held_hit
-        held, held_hit = batch.slice(len(route) - 1, 1), bool(hit[-1])
-        yield out(batch.slice(0, len(route) - 1), hit[:-1])
+        held, held_hit = batch.slice(len(hashes) - 1, 1), bool(hit[-1])
+        yield out(batch.slice(0, len(hashes) - 1), hit[:-1])
     if held is not None and held_hit:
         yield out(held, np.array([True]))
 
 
-SEGMENT = "route long, doc_id long, digest long, start long, strings long, bytes binary"
+SEGMENT = "hash long, doc_id long, place long, bytes binary"
 
 
-def _order(doc_id: int | None, digest: int, start: int) -> tuple:
+def _order(doc_id: int | None, place: int) -> tuple:
     """Which of two places is earlier; a null doc_id is the last."""
-    return doc_id is None, doc_id or 0, digest, start
+    return doc_id is None, doc_id or 0, place >> START_AT
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The texts of the listed segments. Of equal segments in a batch all but the first are sent without text: their
     strings start earlier, in the one that is sent."""
-    names = [f.split()[0] for f in SEGMENT.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    for batch in slices(batches, size=16 << 20):
+    names, kinds = ["hash", "doc_id", "place", "bytes"], [pa.int64()] * 3 + [pa.binary()]
+    for batch in slices(batches, "packed", 8 << 20):
         first: dict[tuple[int, bytes], tuple] = {}
         rows = []
-        for doc_id, text, digest, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "digest", "wanted")), strict=True):
-            if not wanted:
-                continue
-            raw = text.encode()
-            for entry in wanted:
+        for doc_id, raw, wanted in zip(batch.column("doc_id").to_pylist(), _unpacked(batch), batch.column("wanted").to_pylist(), strict=True):
+            for entry in wanted or []:
                 place, hash_ = entry["place"], entry["hash"]
-                start, strings = (place >> 16) & 0x7FFFFFFF, place & 0xFFFF
+                start, strings = place >> START_AT & LAST_START, place & MOST
                 own = raw[start : start + strings + length - 1]
-                if len(own) != strings + length - 1:
-                    continue  # listed for another text under this doc_id
-                mine = doc_id, digest, start
-                other = first.get((hash_, own))
-                if other is None or _order(*mine) < _order(*other):
+                mine = doc_id, place
+                other = first.setdefault((hash_, own), mine)
+                if other is mine or other == mine:
+                    continue
+                if _order(*mine) < _order(*other):
                     first[hash_, own] = mine
                     mine = other
-                if mine is not None and mine != first[hash_, own]:
-                    rows.append((hash((mine, hash_)), *mine, strings, None))
-        rows += [(hash_, *mine, len(own) - length + 1, own) for (hash_, own), mine in first.items()]
+                rows.append((hash_, *mine, None))
+        rows += [(hash_, *mine, own) for (hash_, own), mine in first.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-RUN = "doc_id long, digest long, start long, stop long"
+#: ``at``: the text's tag and the first byte to go; ``stop``: the byte behind the last.
+RUN = "doc_id long, at long, stop long"
 
 
 def shard_repeats(held: list[tuple], length: int) -> Iterator[tuple]:
-    """Runs ``(doc_id, digest, start, stop)`` of bytes to remove, for the segments ``(doc_id, digest, start, bytes)`` of a shard."""
-    held = sorted(held, key=lambda r: (r[3], _order(*r[:3])))
+    """Runs of bytes to remove, as RUN, for the segments ``(doc_id, place, bytes)`` of a shard."""
+    held = sorted(held, key=lambda r: (r[2], _order(*r[:2])))
     distinct = []
     for row in held:  # an equal segment starts earlier as a whole
-        if distinct and distinct[-1][3] == row[3]:
+        if distinct and distinct[-1][2] == row[2]:
             if row != distinct[-1]:  # a repeated row is the same document
-                yield (*row[:3], row[2] + len(row[3]))
+                yield whole(*row[:2], len(row[2]))
         else:
             distinct.append(row)
-    distinct.sort(key=lambda r: _order(*r[:3]))
-    text = np.frombuffer(b"".join(r[3] for r in distinct), np.uint8)
-    sizes = np.array([len(r[3]) for r in distinct])
+    distinct.sort(key=lambda r: _order(*r[:2]))
+    text = np.frombuffer(b"".join(r[2] for r in distinct), np.uint8)
+    sizes = np.array([len(r[2]) for r in distinct])
     strings = sizes - length + 1
     begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(distinct)), strings)
     into = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
     places = begin[owner] + into
-    ranks = suffix_ranks(text, places)
-    order = np.argsort(ranks)
+    order = np.argsort(suffix_ranks(text, places))
     before = np.full(len(places), -1)
     before[order[1:]] = places[order[:-1]]
     shares = common_prefixes(text, places, before, length)
     # earliest string of each group of equal ones; documents are numbered in their order
-    documents = np.cumsum([0] + [a[:2] != b[:2] for a, b in zip(distinct, distinct[1:], strict=False)])
-    when = documents[owner] * FAR + np.array([r[2] for r in distinct])[owner] + into
+    at = np.array([r[1] >> START_AT for r in distinct])
+    documents = np.cumsum([0] + [(a[0], a[1] >> TAG_AT) != (b[0], b[1] >> TAG_AT) for a, b in zip(distinct, distinct[1:], strict=False)])
+    when = documents[owner] * FAR + (at & LAST_START)[owner] + into
     heads = np.flatnonzero(~shares[order])
     earliest = np.minimum.reduceat(when[order], heads)
     later = np.empty(len(places), bool)
@@ -216,43 +221,45 @@ def shard_repeats(held: list[tuple], length: int) -> Iterator[tuple]:
         return
     breaks = np.flatnonzero((np.diff(hits) != 1) | (owner[hits[1:]] != owner[hits[:-1]]))
     for a, b in zip(hits[np.append(0, breaks + 1)].tolist(), hits[np.append(breaks, len(hits) - 1)].tolist(), strict=True):
-        doc_id, digest, start, _ = distinct[owner[a]]
-        yield doc_id, digest, start + int(into[a]), start + int(into[b]) + length
+        first = int(at[owner[a]])
+        yield distinct[owner[a]][0], first + int(into[a]), (first & LAST_START) + int(into[b]) + length
+
+
+def whole(doc_id: int | None, place: int, size: int) -> tuple:
+    return doc_id, place >> START_AT, (place >> START_AT & LAST_START) + size
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by hash; a suffix array takes whole hashes until it has ``size`` bytes."""
-    names = [f.split()[0] for f in RUN.split(", ")]
     held: list[tuple] = []
     total, last = 0, None
 
     def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "at", "stop"])
 
     for batch in batches:
         done = []
-        for route, doc_id, digest, start, strings, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for hash_, doc_id, place, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own is None:
-                done.append((doc_id, digest, start, start + strings + length - 1))
+                done.append(whole(doc_id, place, (place & MOST) + length - 1))
                 continue
-            if total >= size and route != last:
+            if total >= size and hash_ != last:
                 done += shard_repeats(held, length)
                 held, total = [], 0
-            held.append((doc_id, digest, start, own))
-            total, last = total + len(own), route
+            held.append((doc_id, place, own))
+            total, last = total + len(own), hash_
         yield from packed(done)
     if held:
         yield from packed(list(shard_repeats(held, length)))
 
 
 def _keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "kept", "spans"]
-    for batch in slices(batches):
+    for batch in slices(batches, "packed", 2 << 20):
         kept, spans = [], []
-        for text, digest, runs in zip(*(batch.column(c).to_pylist() for c in ("text", "digest", "runs")), strict=True):
-            raw, own, merged = text.encode(), sorted((r["start"], r["stop"]) for r in runs or [] if r["digest"] == digest), []
-            for start, stop in own:
+        for raw, runs in zip(_unpacked(batch), batch.column("runs").to_pylist(), strict=True):
+            merged = []
+            for start, stop in sorted((r["at"] & LAST_START, r["stop"]) for r in runs or []):
                 if merged and start <= merged[-1]["stop"]:
                     merged[-1]["stop"] = max(merged[-1]["stop"], stop)
                 else:
@@ -261,38 +268,60 @@ def _keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
             spans.append(merged)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, kind)], names)
+        out = {"doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)}
+        if "record" in batch.schema.names:
+            out["record"] = batch.column("record")
+            out["rest"] = pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+        yield pa.RecordBatch.from_pydict(out)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, carry: bool = False
+) -> DataFrame:
     """``doc_id, kept binary, spans array<struct<start, stop>>`` of every row of ``docs``.
 
     A byte goes if some string of ``length`` bytes over it also starts earlier: in a smaller doc_id, or earlier in the
     same text. Strings are judged on the input. Texts are compared as UTF-8 bytes, so ``kept`` may begin or end inside a
     character. Null texts count as empty. Rows equal in doc_id and text are one document and all get its result;
-    different texts under one doc_id are ordered by their digest; a null doc_id comes last.
+    different texts under one doc_id are told apart, and ordered, by 21 bits of their digest; a null doc_id comes last.
 
-    The texts are shuffled once and read by both joins.
+    With ``carry`` there are two more columns: ``record``, the row of ``docs`` but for its text, and ``rest``, the kept
+    bytes as a text without broken characters. The texts are shuffled once and read by both joins.
     """
-    digest = F.xxhash64("text")
-    named = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"), digest.bitwiseAND(F.lit(0x1FFFF)).alias("tag"))
+    others = [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns if carry and c != "text"]
+    named = texts(docs, *([F.struct(*others).alias("record")] if carry else [])).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.xxhash64("text").bitwiseAND(F.lit(LAST_TAG)).alias("tag"),
+        *(["record"] if carry else []),
+    )
+    record = f"record {named.schema['record'].dataType.simpleString()}, " if carry else ""
+    packed = named.mapInArrow(_packs, f"doc_id long, tag long, {record}packed binary, size long")
+
+    def spread(hash_: F.Column, anywhere: F.Column) -> F.Column:
+        """The hash's task, but for rows that need not meet others: a common passage does not gather in one task."""
+        return F.when(anywhere, F.xxhash64("doc_id", "place")).otherwise(hash_)
+
     placed = named.select("doc_id", "text", "tag").mapInArrow(lambda b: _places(b, length, gram), PLACES)
-    repeated = placed.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated, "doc_id long, place long, hash long")
+    dealt = placed.repartition(spread(F.shiftright("hash", 2), F.col("hash").bitwiseAND(F.lit(LATER)) != 0))
+    repeated = dealt.sortWithinPartitions("hash").mapInArrow(_repeated, PLACES)
     wanted = (
-        repeated.groupBy(F.col("doc_id").alias("of"), F.shiftrightunsigned("place", 47).alias("with"))
+        repeated.groupBy(F.col("doc_id").alias("of"), F.shiftrightunsigned("place", TAG_AT).alias("with"))
         .agg(F.collect_list(F.struct("place", "hash")).alias("wanted"))
     )  # as long as the document
 
     def beside(listed: DataFrame) -> DataFrame:
-        return named.join(listed, named["doc_id"].eqNullSafe(listed["of"]) & (named["tag"] == listed["with"]), "left").drop("of", "with")
+        return packed.join(listed, packed["doc_id"].eqNullSafe(listed["of"]) & (packed["tag"] == listed["with"]), "left").drop("of", "with")
 
     sent = beside(wanted).mapInArrow(lambda b: _texts_of(b, length), SEGMENT)
-    runs = sent.repartition("route").sortWithinPartitions("route").mapInArrow(lambda b: _shards(b, length, shard), RUN)
+    shards = sent.repartition(spread(F.col("hash"), F.col("bytes").isNull())).sortWithinPartitions("hash")
+    runs = shards.mapInArrow(lambda b: _shards(b, length, shard), RUN)
     listed = (
-        runs.groupBy(F.col("doc_id").alias("of"), F.col("digest").bitwiseAND(F.lit(0x1FFFF)).alias("with"))
-        .agg(F.collect_list(F.struct("digest", "start", "stop")).alias("runs"))
+        runs.groupBy(F.col("doc_id").alias("of"), F.shiftrightunsigned("at", TAG_AT - START_AT).alias("with"))
+        .agg(F.collect_list(F.struct("at", "stop")).alias("runs"))
     )
-    return beside(listed).mapInArrow(_keep_rest, "doc_id long, kept binary, spans array<struct<start:long,stop:long>>")
+    more = f", {record}rest string" if carry else ""
+    return beside(listed).mapInArrow(_keep_rest, f"doc_id long, kept binary, spans array<struct<start:long,stop:long>>{more}")
 
 
 def digests(kept: DataFrame) -> DataFrame:

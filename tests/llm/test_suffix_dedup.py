@@ -65,7 +65,7 @@ def test_segments_hold_every_string_once_and_follow_the_content():
     assert (hashes[0] == hashes[1]).all()
     assert len(suffix_dedup.segments(b"a" * 99)[0]) == 0
     keys, starts, counts, periodic = suffix_dedup.segments(b"a" * 200_000)
-    assert counts.sum() == 199_901 and counts.max() <= 0xFFFF and len(set(keys.tolist())) == 1 and periodic.all()
+    assert counts.sum() == 199_901 and counts.max() <= 0xFFF and len(set(keys.tolist())) == 1 and periodic.all()
 
 
 @pytest.mark.parametrize("shard", [1, 1 << 20])
@@ -85,7 +85,7 @@ def test_repeated_rows_null_ids_and_extra_columns(documents):
 
     text, other = "the same text " * 3 + "q" * 100, "another beginning, then " + "q" * 100
     rows = [(1, text), (1, text), (1, other), (None, text), (None, text)]
-    docs = documents(rows).withColumn("digest", F.lit("x")).withColumn("tag", F.lit(1)).withColumn("route", F.lit(2))
+    docs = documents(rows).withColumn("packed", F.lit("x")).withColumn("tag", F.lit(1)).withColumn("place", F.lit(2))
     got = suffix_dedup.remove_repeats(docs).collect()
     assert len(got) == 5
     kept = {(r.doc_id, bytes(r.kept).decode()) for r in got}
