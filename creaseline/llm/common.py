@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -25,7 +26,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     """Cut Arrow batches so that a piece holds about ``size`` bytes of ``column``; one longer row is a piece by itself."""
     for batch in batches:
         start = total = 0
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         for i, length in enumerate(lengths):
             length = length or 0
             if i > start and total + length > size:
