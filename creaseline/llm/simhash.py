@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creaseline.llm.common import slices, texts
-from creaseline.llm.components import components
+from creaseline.llm.components import components, merge_labels
 
 WORDS, SEED, RADIUS = 3, 42, 2
 TILE = 4096  # fingerprints: 32 KB
@@ -94,19 +94,6 @@ def _pairs(tiles: DataFrame, radius: int) -> DataFrame:
     return left.join(right, "at").where(f"left <= right and at = greatest(ll[0] - {radius}, rl[0]) and {gap} <= {radius}").select("left", "right")
 
 
-def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Give linked places one label, the smallest place of their component."""
-    while True:
-        a, b = labels[i], labels[j]
-        open_ = a != b
-        if not open_.any():
-            return
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
-        while (shorter := labels[labels]).tobytes() != labels.tobytes():
-            labels[:] = shorter
-
-
 def compare(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all fingerprints of two tiles as their close pairs do, fewer than there are fingerprints."""
     both = np.concatenate([left, right])
@@ -116,7 +103,7 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
         near = np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius
         hits = np.flatnonzero(near)
         if len(hits):
-            _merge(labels, hits // len(right) + at, hits % len(right) + len(left))
+            merge_labels(labels, hits // len(right) + at, hits % len(right) + len(left))
     moved = np.flatnonzero(labels != np.arange(len(labels)))
     return both[moved], both[labels[moved]]
 
