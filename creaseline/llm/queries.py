@@ -82,6 +82,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.lookup(pages, folder))
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _SHA1 = "sha1(coalesce(html, ''))"
 _BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(x, (i // 4) * 5 + 1, 5) as int) >> (15 - 5 * (i % 4))) & 31), 1)"
 
