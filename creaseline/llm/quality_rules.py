@@ -8,6 +8,7 @@ Scoring reads sorted hash arrays; a model too large to send out is joined instea
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from creaseline.llm.common import slices, texts
 
 ORDER = 5
 SEND_ROWS = 8_000_000  # n-grams of a model that is sent to the tasks: 16 bytes each
-SYMBOLS = b"#*$%&|<>"
-BLANKS = b" \t\n\v\f\r"
+SYMBOLS = list(b"#*$%&|<>")
+BLANKS = list(b" \t\n\v\f\r")
 WINDOW = 8
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -28,24 +29,42 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 # Words and lines
 
 
-def repeated_words(ids: np.ndarray, owner: np.ndarray, texts_in: int) -> np.ndarray:
+def repeated_words(words: list[bytes], owner: np.ndarray, texts_in: int) -> np.ndarray:
     """For each text, how many of its words lie in a window of eight that the text holds at least twice.
 
-    ``ids`` numbers the words of several texts one after the other, ``owner`` their texts.
+    ``words`` are those of several texts one after the other, ``owner`` numbers their texts. Windows are met by a
+    hash; only windows whose hash occurs twice are compared word by word.
     """
-    n = len(ids) - WINDOW + 1
+    n = len(words) - WINDOW + 1
     if n <= 0:
         return np.zeros(texts_in, np.int64)
-    rank, width = ids.astype(np.int64), 1
-    while width < WINDOW:  # equal ranks: equal runs of ``width`` words
-        pair = rank[:-width] * (int(rank.max()) + 1) + rank[width:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    inside = owner[:n] == owner[WINDOW - 1 :]
-    key = rank * texts_in + owner[:n]
-    _, place, count = np.unique(np.where(inside, key, -1), return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(inside & (count[place] > 1))
-    edge = np.zeros(len(ids) + 1, np.int64)
+    own = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    hashes = owner[:n].astype(np.uint64) * PRIME
+    for i in range(WINDOW):
+        hashes = (hashes + own[i : n + i]) * PRIME
+    ordered = np.sort(hashes)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice) == 0:
+        return np.zeros(texts_in, np.int64)
+    marks = np.zeros(1 << 20, bool)  # by the last bits, so that few are looked up
+    marks[twice & np.uint64(0xFFFFF)] = True
+    maybe = np.flatnonzero(marks[hashes & np.uint64(0xFFFFF)] & (owner[:n] == owner[WINDOW - 1 :]))
+    group = np.minimum(np.searchsorted(twice, hashes[maybe]), len(twice) - 1)
+    met = twice[group] == hashes[maybe]
+    # those of one hash side by side, each compared with the first of them
+    maybe, group = maybe[met], group[met]
+    order = np.argsort(group, kind="stable")
+    maybe, group = maybe[order], group[order]
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(maybe) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(heads, len(maybe)))
+    first = np.repeat(maybe[heads], sizes)
+    pairs = zip(maybe.tolist(), first.tolist(), strict=True)
+    if all(words[a : a + WINDOW] == words[b : b + WINDOW] for a, b in pairs if a != b) and (owner[maybe] == owner[first]).all():
+        starts = maybe[np.repeat(sizes > 1, sizes)]
+    else:  # different windows of one hash
+        seen = Counter(keys := [(owner[a], *words[a : a + WINDOW]) for a in maybe.tolist()])
+        starts = maybe[[seen[k] > 1 for k in keys]]
+    edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + WINDOW, -1)
     return np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=texts_in)
@@ -53,18 +72,17 @@ def repeated_words(ids: np.ndarray, owner: np.ndarray, texts_in: int) -> np.ndar
 
 def text_stats(several: list[str]) -> list[np.ndarray]:
     """The columns of STATS for some texts. Words end at the six ASCII blanks and nowhere else."""
-    known: dict[bytes, int] = {}
-    ids: list[int] = []
+    every: list[bytes] = []
     counts = np.zeros((len(STATS), len(several)), np.int64)
     for i, text in enumerate(several):
         raw = text.encode()
         words = raw.split()  # of bytes: at ASCII blanks only
-        ids += [known.setdefault(w, len(known)) for w in words]
+        every += words
         each = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
         lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-        counts[:4, i] = len(words), len(text) - each[list(BLANKS)].sum(), each[list(SYMBOLS)].sum(), len(lines) - len(set(lines))
+        counts[:4, i] = len(words), len(text) - each[BLANKS].sum(), each[SYMBOLS].sum(), len(lines) - len(set(lines))
     owner = np.repeat(np.arange(len(several)), counts[0])
-    counts[4] = repeated_words(np.array(ids, np.int64), owner, len(several))
+    counts[4] = repeated_words(every, owner, len(several))
     return list(counts)
 
 
@@ -77,13 +95,46 @@ def spelled(text: str) -> str:
     return f" {' '.join(words)} " if words else ""
 
 
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of characters given column by column."""
+    out = columns[0].astype(np.uint64) + np.uint64(1)
+    for column in columns[1:]:
+        out = out * PRIME + column + np.uint64(1)
+    return (out ^ (out >> np.uint64(29))) * PRIME
+
+
 def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit hash of the ``order`` characters from each place on."""
-    out = np.zeros(max(0, len(codes) - order + 1), np.uint64)
-    for i in range(order):
-        out = (out + codes[i : len(codes) - order + 1 + i].astype(np.uint64) + np.uint64(1)) * PRIME
-        out ^= out >> np.uint64(29)
-    return out
+    """A hash of the ``order`` characters from each place on."""
+    n = max(0, len(codes) - order + 1)
+    return hashed([codes[i : n + i] for i in range(order)])
+
+
+def distinct_grams(text: str, order: int) -> tuple[list[str], np.ndarray]:
+    """The n-grams of a text and their counts, but for those with a zero character, which parts texts."""
+    codes = code_points(text)
+    n = len(codes) - order + 1
+    if n <= 0:
+        return [], np.zeros(0, np.int64)
+    number = np.zeros(int(codes.max()) + 1, np.int64)
+    number[codes] = 1
+    alphabet = np.flatnonzero(number)
+    number[alphabet] = np.arange(len(alphabet))
+    ids = number[codes]
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * order <= 63:
+        packed = np.zeros(n, np.int64)
+        for i in range(order):
+            packed = (packed << bits) | ids[i : n + i]
+        packed.sort()
+        first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
+        counts = np.diff(np.append(first, n))
+        rows = np.stack([(packed[first] >> (bits * i)) & ((1 << bits) - 1) for i in reversed(range(order))], axis=1)
+    else:  # very many different characters
+        rows, counts = np.unique(np.stack([ids[i : n + i] for i in range(order)], axis=1), axis=0, return_counts=True)
+    points = alphabet[rows]
+    whole = (points != 0).all(axis=1)
+    joined = points[whole].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    return [joined[i : i + order] for i in range(0, len(joined), order)], counts[whole]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -99,15 +150,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(spelled(text))
             for lang, own in by_lang.items():
-                # n-grams that reach over the zero are dropped
-                whole = "\0".join(t.replace("\0", " ") for t in own)
-                codes = code_points(whole)
-                hashes = gram_hashes(codes, order)
-                clean = np.flatnonzero(np.convolve(codes == 0, np.ones(order, int), "valid") == 0) if len(hashes) else []
-                if len(clean) == 0:
-                    continue
-                _, first, n = np.unique(hashes[clean], return_index=True, return_counts=True)
-                grams = [whole[i : i + order] for i in clean[first].tolist()]
+                grams, n = distinct_grams("\0".join(t.replace("\0", " ") for t in own), order)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
     langs = texts(docs, F.coalesce("lang", F.lit("")).alias("lang"))
@@ -118,12 +161,11 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 def _discounts(grams: DataFrame) -> DataFrame:
     """Discounts of counts 1, 2 and 3 or more for each language, from the counts of counts."""
     n = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(1, 5)]
-    y = F.expr("n1 / (n1 + 2 * n2)")
-    raw = [1 - 2 * y * F.expr("n2 / n1"), 2 - 3 * y * F.expr("n3 / n2"), 3 - 4 * y * F.expr("n4 / n3")]
+    y = F.try_divide(F.col("n1"), F.expr("n1 + 2 * n2"))
+    raw = [F.lit(i) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")) for i in (1, 2, 3)]
     # a corpus too small to have such counts takes three quarters of a count
-    return grams.groupBy("lang").agg(*n).select(
-        "lang", *[F.least(F.greatest(F.coalesce(F.try_divide(r, F.lit(1)), F.lit(0.75)), F.lit(0.05)), F.lit(float(i + 1))).alias(f"d{i + 1}") for i, r in enumerate(raw)]
-    )
+    bounded = [F.least(F.greatest(F.coalesce(r, F.lit(0.75)), F.lit(0.05)), F.lit(float(i))) for i, r in enumerate(raw, 1)]
+    return grams.groupBy("lang").agg(*n).select("lang", *[d.alias(f"d{i}") for i, d in enumerate(bounded, 1)])
 
 
 def kneser_ney(counted: DataFrame, order: int, keep) -> DataFrame:
@@ -166,10 +208,16 @@ class Scorer:
         self.order = order
         empty = np.zeros(0)
         self.tables = {w: (np.zeros(0, np.uint64), empty, empty) for w in range(order + 1)}
+        self.starts: dict[int, tuple[np.ndarray, np.uint64]] = {}
         self.unseen = 0.0
         for width, keys, logp, backoff in rows:
             at = np.argsort(keys)
-            self.tables[width] = keys[at], logp[at], np.nan_to_num(backoff[at])
+            keys = keys[at]
+            # where the keys that begin with each run of bits start
+            shift = 64 - max(1, len(keys).bit_length())
+            starts = np.searchsorted(keys, np.arange(1 << (64 - shift), dtype=np.uint64) << np.uint64(shift)).astype(np.int32)
+            self.tables[width] = keys, logp[at], np.nan_to_num(backoff[at])
+            self.starts[width] = starts, np.uint64(shift)
             if width == 0:
                 self.unseen = float(np.nan_to_num(backoff)[0])
         kinds = len(self.tables[1][0])
@@ -179,13 +227,22 @@ class Scorer:
         keys = self.tables[width][0]
         if len(keys) == 0:
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        starts, shift = self.starts[width]
+        at = np.minimum(starts[hashes >> shift], len(keys) - 1)
+        behind = np.flatnonzero(keys[at] < hashes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[(at[behind] < len(keys) - 1) & (keys[np.minimum(at[behind], len(keys) - 1)] < hashes[behind])]
+        at = np.minimum(at, len(keys) - 1)
         return at, keys[at] == hashes
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Logarithms of the probability of each character after its ``order - 1`` forerunners."""
-        n = len(codes) - self.order + 1
-        out, open_ = np.zeros(max(0, n)), np.arange(max(0, n))
+        n = max(0, len(codes) - self.order + 1)
+        at, hit = self._find(self.order, gram_hashes(codes, self.order))
+        if hit.all():
+            return self.tables[self.order][1][at]
+        out, open_ = np.zeros(n), np.arange(n)
         for width in range(self.order, 0, -1):
             if len(open_) == 0:
                 return out
@@ -194,7 +251,7 @@ class Scorer:
             out[open_[hit]] += self.tables[width][1][at[hit]]
             open_ = open_[~hit]
             if width > 1 and len(open_):
-                contexts = gram_hashes(codes, width - 1)[self.order - width :]
+                contexts = gram_hashes(codes, width - 1)[self.order - width : self.order - width + n]
                 at, hit = self._find(width - 1, contexts[open_])
                 out[open_[hit]] += self.tables[width - 1][2][at[hit]]
         out[open_] += self.unseen
@@ -209,16 +266,10 @@ def _arrays(model: DataFrame) -> dict[str, list]:
             grams = batch.column("gram").to_pylist()
             keys = np.zeros(len(grams), np.uint64)
             widths = np.array(batch.column("width"))
-            for width in np.unique(widths).tolist():
+            for width in set(widths.tolist()) - {0}:
                 own = np.flatnonzero(widths == width)
-                codes = code_points("".join(grams[i] for i in own.tolist())).reshape(len(own), -1) if width else None
-                if width:
-                    keys[own] = [0] * len(own)
-                    out = np.zeros(len(own), np.uint64)
-                    for i in range(width):
-                        out = (out + codes[:, i].astype(np.uint64) + np.uint64(1)) * PRIME
-                        out ^= out >> np.uint64(29)
-                    keys[own] = out
+                codes = code_points("".join(grams[i] for i in own.tolist())).reshape(len(own), -1)
+                keys[own] = hashed([codes[:, i] for i in range(width)])
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("width"), pa.array(keys.view(np.int64)), batch.column("logp"), batch.column("backoff")], names)
 
     names = ["lang", "width", "key", "logp", "backoff"]
@@ -243,7 +294,7 @@ def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_R
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(_arrays(model)) if model.count() <= send_rows else None
-    schema = f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in STATS)}, loss double"
+    schema = f"doc_id {kind}, lang string, digest long, {', '.join(f'{c} long' for c in STATS)}, loss double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = {lang: Scorer(rows, order) for lang, rows in sent.value.items()} if sent else {}
@@ -254,13 +305,15 @@ def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_R
                 own = spelled(several[i])
                 if len(own) >= order:
                     scorer = scorers.get(lang) or scorers.setdefault(lang, Scorer([], order))
-                    loss[i] = -float(scorer.logs(code_points(own)).mean())
+                    loss[i] = -float(scorer.logs(code_points(own)).mean(dtype=np.float64))
             stats = [pa.array(c) for c in text_stats(several)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *stats, pa.array(loss, pa.float64())], ["doc_id", "lang", *STATS, "loss"])
+            known = [batch.column(c) for c in ("doc_id", "lang", "digest")]
+            yield pa.RecordBatch.from_arrays([*known, *stats, pa.array(loss, pa.float64())], ["doc_id", "lang", "digest", *STATS, "loss"])
 
-    named = texts(docs, F.coalesce("lang", F.lit("")).alias("lang"))
+    digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
+    named = texts(docs, F.coalesce("lang", F.lit("")).alias("lang"), digest).select("doc_id", "lang", "digest", "text")
     scored = named.mapInArrow(run, schema)
-    return scored if sent else _joined(named, scored.drop("loss"), model, order)
+    return (scored if sent else _joined(named, scored.drop("loss"), model, order)).drop("digest")
 
 
 def _joined(named: DataFrame, stats: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -268,18 +321,19 @@ def _joined(named: DataFrame, stats: DataFrame, model: DataFrame, order: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=2 << 20):
-            for i, (text, lang) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 own = spelled(text)
                 grams: dict[str, int] = {}
                 for at in range(len(own) - order + 1):
                     gram = own[at : at + order]
                     grams[gram] = grams.get(gram, 0) + 1
                 if grams:
-                    ids = batch.column("doc_id").take(pa.array([i] * len(grams)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(grams)), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["doc_id", "lang", "gram", "n"])
+                    known = [batch.column(c).take(pa.array([i] * len(grams))) for c in ("doc_id", "lang", "digest")]
+                    yield pa.RecordBatch.from_arrays([*known, pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["doc_id", "lang", "digest", "gram", "n"])
 
     kind = named.schema["doc_id"].dataType.simpleString()
-    held = named.dropDuplicates(["doc_id"]).mapInArrow(run, f"doc_id {kind}, lang string, gram string, n long")
+    schema = f"doc_id {kind}, lang string, digest long, gram string, n long"
+    held = named.dropDuplicates(["doc_id", "lang", "digest"]).mapInArrow(run, schema)
     grams = held.select("lang", "gram").distinct().withColumn("logp", F.lit(0.0)).withColumn("open", F.lit(True))
     for width in range(order, 0, -1):
         tail = F.expr(f"substring(gram, {order - width + 1}, {width})")
@@ -299,28 +353,29 @@ def _joined(named: DataFrame, stats: DataFrame, model: DataFrame, order: int) ->
         )
     kinds = model.where("width = 1 and logp is not null").groupBy("lang").agg(F.count("*").alias("kinds"))
     grams = grams.join(kinds, "lang", "left").select("lang", "gram", F.expr("logp - case when open then ln(coalesce(kinds, 0) + 1) else 0 end").alias("logp"))
-    losses = held.join(grams, ["lang", "gram"]).groupBy(F.col("doc_id").alias("of")).agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("loss"))
-    return stats.join(losses, stats["doc_id"].eqNullSafe(losses["of"]), "left").drop("of")
+    text = [F.col("doc_id").alias("of"), "lang", "digest"]
+    losses = held.join(grams, ["lang", "gram"]).groupBy(*text).agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("loss"))
+    losses = losses.withColumnsRenamed({"lang": "of_lang", "digest": "of_digest"})
+    same = stats["doc_id"].eqNullSafe(losses["of"]) & (stats["lang"] == losses["of_lang"]) & (stats["digest"] == losses["of_digest"])
+    return stats.join(losses, same, "left").drop("of", "of_lang", "of_digest")
 
 
 # Verdict
 
 
-def judge(scored: DataFrame, spread: float = 12.0, floor: float = 0.5) -> DataFrame:
+def judge(scored: DataFrame, keep, spread: float = 12.0, floor: float = 0.5) -> DataFrame:
     """Add ``base_failed``, the language's ``lower`` and ``upper`` loss and ``kept``.
 
-    The band lies ``spread`` robust deviations (and at least ``floor``) around the language's median loss, both taken
-    over all documents that pass the base rules. A document outside its band goes.
+    The band lies ``spread`` robust deviations (from the quartiles), and ``floor`` at least, around the language's
+    median loss, taken over all documents that pass the base rules. A document outside its band goes; one without a
+    loss has no band to leave.
     """
     based = scored.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
-    sound = based.where("not base_failed")
-    # sketches of bounded size over every document
-    centre = sound.groupBy("lang").agg(F.percentile_approx("loss", 0.5, 10_000).alias("middle"))
-    off = sound.join(centre, "lang").groupBy("lang").agg(
-        F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("loss") - F.col("middle")), 0.5, 10_000).alias("mad")
-    )
-    width = F.greatest(F.lit(spread * 1.4826) * F.col("mad"), F.lit(floor))
-    bands = off.select("lang", (F.col("middle") - width).alias("lower"), (F.col("middle") + width).alias("upper"))
+    # sketches of bounded size over every document; one row for each language, whose size Spark knows as it is written
+    quartiles = based.where("not base_failed").groupBy("lang").agg(F.percentile_approx("loss", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    low, middle, high = (F.col("q")[i] for i in range(3))
+    width = F.greatest((high - low) * (spread / 1.349), F.lit(floor))
+    bands = keep(quartiles.select("lang", (middle - width).alias("lower"), (middle + width).alias("upper")))
     inside = F.coalesce(F.expr("loss between lower and upper"), F.lit(True))
     return based.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
@@ -331,4 +386,4 @@ def quality_rules(docs: DataFrame, keep, order: int = ORDER, send_rows: int = SE
     ``keep`` writes a table to shared storage and reads it back.
     """
     model = keep(kneser_ney(keep(count_grams(docs, order)), order, keep))
-    return judge(keep(score(docs, model, order, send_rows)))
+    return judge(keep(score(docs, model, order, send_rows)), keep)

@@ -31,6 +31,13 @@ def test_counts_against_the_definition():
     assert [list(r) for r in got] == [plain_stats(t) for t in texts]
 
 
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(q, "PRIME", q.np.uint64(0))  # every window has the same hash
+    texts = ["a b c d e f g h i j", "a b c d e f g h a b c d e f g h", "x y"]
+    got = list(zip(*(c.tolist() for c in q.text_stats(texts)), strict=True))
+    assert [list(r) for r in got] == [plain_stats(t) for t in texts]
+
+
 def plain_model(texts, order):
     """Modified Kneser-Ney by the book: ``logp(context + character)`` with backing off."""
     counts = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
