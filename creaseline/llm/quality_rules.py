@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from creaseline.llm.common import slices, texts
 
 ORDER = 5
-SEND_ROWS = 8_000_000  # n-grams of a model that is sent to the tasks: 16 bytes each
+SEND_ROWS = 4_000_000  # n-grams of a model that is sent to the tasks: 16 bytes each
 SYMBOLS = list(b"#*$%&|<>")
 BLANKS = list(b" \t\n\v\f\r")
 WINDOW = 8
