@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from creaseline.schemas import INSTANT
+
 TTL_DAYS = 90
 INT_MASK = 4294967296
 
@@ -78,3 +80,19 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(a))
+
+
+def instant_text(ts: Column) -> Column:
+    """ISO-8601 UTC text of an instant with the fewest of 0, 3 or 6 digits that are exact."""
+    fraction = F.date_format(ts, "SSSSSS")
+    digits = (
+        F.when(fraction == "000000", "")
+        .when(F.substring(fraction, 4, 3) == "000", F.concat(F.lit("."), F.substring(fraction, 1, 3)))
+        .otherwise(F.concat(F.lit("."), fraction))
+    )
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), digits, F.lit("Z"))
+
+
+def instant(text: Column) -> Column:
+    """The instant of such a text, to the microsecond; null for any other text."""
+    return F.when(text.rlike(INSTANT), F.regexp_replace(text, "Z$", "").try_cast("timestamp_ntz"))

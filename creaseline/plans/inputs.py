@@ -41,12 +41,6 @@ def accepted(spark: SparkSession, folder: str) -> DataFrame:
     return first_arrivals(sequenced(spark, folder), order=ARRIVAL_ORDER)
 
 
-def match_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per base event of a match: at least as many as the match has stored balls."""
-    match_id = F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
-    return table(spark, folder, "events").select(match_id.alias("match_id"))
-
-
 def view(spark: SparkSession, folder: str) -> DataFrame:
     return live_view(accepted(spark, folder), ARRIVAL_ORDER)
 
@@ -71,7 +65,9 @@ balls AS (
          CAST(runs AS INTEGER) AS runs, CAST(extras AS INTEGER) AS extras, wicket,
          CAST(sum(runs) OVER w AS INTEGER) AS total_runs,
          CAST(sum(CAST(wicket AS INTEGER)) OVER w AS INTEGER) AS wickets,
-         ts, CASE WHEN src_id % 7 = 0 THEN ts + INTERVAL 2 HOUR ELSE ts END AS arrival, src_id, user_id
+         CASE src_id % 3 WHEN 0 THEN CAST(date_trunc('second', placed.ts) AS TIMESTAMP)
+                         WHEN 1 THEN CAST(date_trunc('millisecond', placed.ts) AS TIMESTAMP) ELSE placed.ts END AS ts,
+         CASE WHEN src_id % 7 = 0 THEN placed.ts + INTERVAL 2 HOUR ELSE placed.ts END AS arrival, src_id, user_id
   FROM placed
   WINDOW w AS (PARTITION BY user_id, inning ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
@@ -115,7 +111,10 @@ SQL_LOG = (
 log AS (
   SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY arrival, kind, src_id) - 1 AS "offset",
          CASE WHEN src_id % 3 <> 0 THEN 't-' || src_id ELSE '' END AS trace_id,
-         strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('microseconds' FROM ts) % 1000000 AS VARCHAR), 6, '0') || 'Z' AS iso,
+         extract('microseconds' FROM ts) % 1000000 AS fraction,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN fraction = 0 THEN '' WHEN fraction % 1000 = 0 THEN '.' || lpad(CAST(fraction // 1000 AS VARCHAR), 3, '0')
+                 ELSE '.' || lpad(CAST(fraction AS VARCHAR), 6, '0') END || 'Z' AS iso,
          '{"eventId":"' || event_id || '","matchId":"' || match_id || '","inning":' || inning || ',"over":' || over_no
          || ',"ball":' || ball || ',"team":"' || team || '","runs":' || runs
          || CASE WHEN extras IS NULL THEN '' ELSE ',"extras":' || extras END

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+# an instant on the wire: UTC, with no fraction or one to nine digits of it
+INSTANT = r"^\d{4,}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$"
 
 # wire name -> column name, in wire order
 WIRE = {

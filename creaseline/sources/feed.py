@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creaseline.functions.scalars import event_sequence
-from creaseline.operators.hotkeys import SLOT, by_time, running, slot_of, spread_hot_keys
+from creaseline.operators.hotkeys import SLOT, running, spread
 from creaseline.schemas import BALL_COLUMNS
-from creaseline.session import materialize
 
 BALLS_PER_INNING = 36
 LOG_PARTITIONS = 192
@@ -20,20 +19,15 @@ ARRIVAL_ORDER = ["arrival", "kind", "src_id"]
 
 def balls(events: DataFrame) -> DataFrame:
     """Balls with carried totals, plus ``src_id``, ``user_id`` and ``arrival``."""
-    tagged = spread_hot_keys(
-        events.select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"], by_time("ts")
-    )
+    tagged = spread(events.select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"], ["ts", "event_id"])
     numbered = running(tagged, ["user_id"], ["ts", "event_id"], {"rn": F.lit(1)})
-    if slot_of(tagged):
-        # the carried totals below read the numbered rows a second time
-        numbered = materialize(numbered)
     k = F.when(F.col("rn") <= BALLS_PER_INNING, F.col("rn") - 1).otherwise(F.col("rn") - 1 - BALLS_PER_INNING)
     v = F.floor("value")
     placed = numbered.select(
         F.col("event_id").alias("src_id"),
         "user_id",
         "ts",
-        *slot_of(tagged),
+        SLOT,
         F.when(F.col("rn") <= BALLS_PER_INNING, 1).otherwise(2).alias("inning"),
         k.alias("k"),
         F.when(v % 6 == 5, 6).otherwise(v % 6).cast("int").alias("runs"),
@@ -47,6 +41,13 @@ def balls(events: DataFrame) -> DataFrame:
         {"total_runs": F.col("runs"), "wickets": F.col("wicket").cast("int")},
     )
     late = F.when(F.col("src_id") % 7 == 0, F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    # clocks of whole seconds, of milliseconds and of microseconds
+    clock = (
+        F.when(F.col("src_id") % 3 == 0, F.date_trunc("second", "ts"))
+        .when(F.col("src_id") % 3 == 1, F.date_trunc("millisecond", "ts"))
+        .otherwise(F.col("ts"))
+        .cast("timestamp_ntz")
+    )
     return scored.select(
         F.col("src_id").cast("string").alias("event_id"),
         F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("match_id"),
@@ -59,7 +60,7 @@ def balls(events: DataFrame) -> DataFrame:
         "wicket",
         F.col("total_runs").cast("int").alias("total_runs"),
         F.col("wickets").cast("int").alias("wickets"),
-        "ts",
+        clock.alias("ts"),
         (F.col("ts") + late).alias("arrival"),
         "src_id",
         "user_id",
@@ -97,7 +98,7 @@ def feed(balls_df: DataFrame) -> DataFrame:
 
 def with_offsets(feed_df: DataFrame) -> DataFrame:
     """Number the deliveries of each log partition by arrival."""
-    tagged = spread_hot_keys(feed_df, ["partition"], by_time("arrival"))
+    tagged = spread(feed_df, ["partition"], ARRIVAL_ORDER)
     ranked = running(tagged, ["partition"], ARRIVAL_ORDER, {"offset": F.lit(1)})
     return ranked.withColumn("offset", F.col("offset") - 1).drop(SLOT)
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from creaseline.functions.scalars import header
-from creaseline.schemas import INSTANT, LOG_SCHEMA, WIRE, WIRE_SCHEMA
+from creaseline.functions.scalars import header, instant, instant_text
+from creaseline.schemas import LOG_SCHEMA, WIRE, WIRE_SCHEMA
 
 TOPIC = "ball-events"
 DLT_HEADERS = {
@@ -18,8 +18,10 @@ DLT_HEADERS = {
 
 def encode(names: dict[str, str] = WIRE) -> Column:
     """JSON text of a ball: nulls omitted, instants in ISO-8601 UTC."""
-    fields = F.struct(*[F.col(col).alias(wire) for wire, col in names.items()])
-    return F.to_json(fields, {"ignoreNullFields": "true", "timestampNTZFormat": INSTANT})
+    fields = F.struct(
+        *[(instant_text(F.col(col)) if col == "ts" else F.col(col)).alias(wire) for wire, col in names.items()]
+    )
+    return F.to_json(fields, {"ignoreNullFields": "true"})
 
 
 def _bytes(text: Column) -> Column:
@@ -47,9 +49,18 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.parquet(path)
 
 
+def from_broker(df: DataFrame) -> DataFrame:
+    """A broker's columns as the log's: binary key and value become text, the time loses its zone."""
+    casts = {"key": "string", "value": "string", "partition": "int", "offset": "bigint", "topic": "string"}
+    text = [F.col(c).cast(k).alias(c) for c, k in casts.items()]
+    time = F.to_utc_timestamp("timestamp", F.current_timezone()).cast("timestamp_ntz").alias("timestamp")
+    headers = F.col("headers").cast(LOG_SCHEMA["headers"].dataType).alias("headers")
+    return df.select(*text, time, headers).select(*LOG_SCHEMA.fieldNames())
+
+
 def broker_log(spark: SparkSession, servers: str, topic: str, max_offsets: int) -> DataFrame:
-    """Topic scan where the broker connector is on the class path."""
-    return (
+    """Topic scan where the broker connector is on the class path, in the log's columns."""
+    return from_broker(
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
@@ -65,13 +76,15 @@ def parsed(df: DataFrame, unknown_fields: str = "poison") -> DataFrame:
     """Add ``body`` (decoded struct) and ``is_poison``.
 
     A record is unreadable when it is empty or not a JSON object of the known types, and by default
-    also when it carries a field outside the schema. A null value is no JSON error: it decodes to
-    nothing and fails when it is stored.
+    also when it carries a field outside the schema. Its instant may have any number of fraction
+    digits up to nine. A null value is no JSON error: it decodes to nothing and fails when it is stored.
     """
+    # the instant is read as text, since a format string takes one number of digits only
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "timestamp" else f for f in WIRE_SCHEMA]
     body = F.from_json(
         "value",
-        T.StructType([*WIRE_SCHEMA.fields, T.StructField("_corrupt", T.StringType())]),
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "timestampNTZFormat": INSTANT},
+        T.StructType([*fields, T.StructField("_corrupt", T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
     )
     keys = F.json_object_keys("value")
     if unknown_fields == "poison":
@@ -83,11 +96,15 @@ def parsed(df: DataFrame, unknown_fields: str = "poison") -> DataFrame:
     # The parsers are the cost of this operator. A projected column would be computed again in every
     # filter pushed below it; the output of a generator is computed once.
     once = F.explode(F.array(F.struct(body.alias("body"), unknown.alias("unknown")))).alias("_parsed")
+    text = F.col("_parsed.body.timestamp")
     # a value that is no object has no keys
-    bad = F.col("_parsed.body._corrupt").isNotNull() | (F.coalesce("_parsed.unknown", F.lit(1)) > 0)
-    return df.select("*", once).select(
-        *df.columns, "_parsed.body", (F.col("value").isNotNull() & bad).alias("is_poison")
+    bad = (
+        F.col("_parsed.body._corrupt").isNotNull()
+        | (F.coalesce("_parsed.unknown", F.lit(1)) > 0)
+        | (text.isNotNull() & instant(text).isNull())
     )
+    body = F.col("_parsed.body").withField("timestamp", instant(text)).alias("body")
+    return df.select("*", once).select(*df.columns, body, (F.col("value").isNotNull() & bad).alias("is_poison"))
 
 
 def ball_fields() -> list[Column]:

@@ -10,10 +10,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of long texts, spread over the cores when its files give fewer splits than there are.
-
-    Analysing text costs far more than moving it once; a large table has splits enough and is left alone.
-    """
-    rows = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """A table of long texts. Analysing a text costs more than reading it, so its splits should be smaller than
+    those of other tables: ``spark.sql.files.maxPartitionBytes`` and the row groups decide that."""
+    return table(spark, folder, name)

@@ -27,7 +27,7 @@ GOOD = {
     "wicket": False,
     "totalRuns": 87,
     "wickets": 2,
-    "timestamp": "2025-04-15T14:32:01.000000Z",
+    "timestamp": "2025-04-15T14:32:01Z",
 }
 BALL = "event_id string, match_id string, inning int, over_no int, ball int, team string, runs int, extras int, wicket boolean, total_runs int, wickets int, ts timestamp_ntz"
 
@@ -46,6 +46,37 @@ def test_decode_splits_poison(spark):
     assert row.ts == TS and row.total_runs == 87 and row.extras is None
 
 
+@pytest.mark.parametrize(
+    ("text", "micros"),
+    [
+        ("2025-04-15T14:32:01Z", 0),
+        ("2025-04-15T14:32:01.5Z", 500000),
+        ("2025-04-15T14:32:01.123Z", 123000),
+        ("2025-04-15T14:32:01.123456Z", 123456),
+        ("2025-04-15T14:32:01.123456789Z", 123456),
+        ("2025-04-15T14:32:01", None),
+        ("2025-04-15T14:32Z", None),
+        ("2025-13-15T14:32:01Z", None),
+        ("2025-04-15T14:32:01.1234567890Z", None),
+        ("yesterday", None),
+        ("", None),
+    ],
+)
+def test_instants_of_any_precision(spark, text, micros):
+    ok, poison = logs.decode(records(spark, [json.dumps({**GOOD, "timestamp": text})]))
+    if micros is None:
+        assert (ok.count(), poison.count()) == (0, 1)
+    else:
+        assert ok.collect()[0].ts == TS.replace(microsecond=micros) and poison.count() == 0
+
+
+@pytest.mark.parametrize(("micros", "text"), [(0, "01Z"), (500000, "01.500Z"), (123000, "01.123Z"), (123456, "01.123456Z"), (7, "01.000007Z")])
+def test_instants_are_written_with_the_fewest_digits(spark, micros, text):
+    ball = [("e1", "m1", 1, 4, 3, "MI", 4, None, False, 87, 2, TS.replace(microsecond=micros))]
+    out = logs.to_log(spark.createDataFrame(ball, BALL), F.lit(None).cast("string")).collect()[0]
+    assert json.loads(out.value)["timestamp"] == f"2025-04-15T14:32:{text}"
+
+
 def test_incomplete_events_cannot_be_stored(spark):
     values = [json.dumps(GOOD), "{}", json.dumps({**GOOD, "team": None}), json.dumps({**GOOD, "matchId": ""}), None]
     ok, poison = logs.decode(records(spark, values))
