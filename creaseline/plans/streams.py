@@ -156,7 +156,7 @@ def dead_letter_count(spark, folder):
 
 
 def replayed_log(spark, folder):
-    stored = replay_log(inputs.accepted(spark, folder), counted=inputs.match_rows(spark, folder))
+    stored = replay_log(inputs.accepted(spark, folder))
     rows = stored.withColumn("timestamp", F.col("arrival"))
     return materialize(rows.select(*LOG_SCHEMA.fieldNames()))
 
@@ -204,16 +204,8 @@ def consumer_lag(spark, folder):
     count(*) AS input_rows FROM feed GROUP BY 1""",
 )
 def stream_progress(spark, folder):
-    """Rows per batch as the stream reports them."""
-    root = shared_folder(spark)
-    sink = Ledger(spark, f"{root}/out", LOG_SCHEMA)
-    reported = []
-    for part in log_slices(spark, folder):
-        deliver(part, f"{root}/in")
-        stream = spark.readStream.schema(LOG_SCHEMA).parquet(f"{root}/in")
-        progress = run_available(stream, sink.write, f"{root}/checkpoint")
-        reported += [(p["batchId"], p["numInputRows"]) for p in progress if p["numInputRows"]]
-    return spark.createDataFrame(reported, "batch_id bigint, input_rows bigint")
+    """Rows per batch, as recorded when the batch was finished."""
+    return full_stream(spark, folder).progress.read().select("batch_id", "input_rows")
 
 
 APPLIED_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
@@ -282,7 +274,7 @@ def bucketed_anomalies(spark, folder):
 
 @query("st10_processed_feed", SQL_ACCEPTED + "SELECT match_id, event_sequence, event_id, total_runs FROM accepted")
 def processed_feed(spark, folder):
-    return full_stream(spark, folder).processed.read().drop("batch_id")
+    return full_stream(spark, folder).feed.read().drop("batch_id")
 
 
 @query("st11_incremental_refresh", ACTIVITY_SQL)

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-HOT_ROWS_CONF = "spark.creaseline.hotRows"
-
 
 def build_session(app: str = "creaseline", master: str | None = None, **conf) -> SparkSession:
     builder = (
@@ -34,11 +32,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def hot_rows(spark: SparkSession) -> int:
-    """Rows above which one key is spread over several tasks."""
-    return int(spark.conf.get(HOT_ROWS_CONF, "1000000"))
-
-
 _fallback: dict[str, str] = {}
 
 
@@ -49,7 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # "local-cluster" has executors with folders of their own
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
         base = _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="creaseline-"))
         spark.sparkContext.setCheckpointDir(base)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from creaseline.functions.scalars import event_sequence
 from creaseline.operators import retry
 from creaseline.operators.store import first_arrivals, storable, stored_rows
 from creaseline.operators.view import VIEW_COLUMNS, live_view
 from creaseline.schemas import BALL_COLUMNS, BALL_KEY, LOG_ORDER, LOG_SCHEMA
-from creaseline.session import shared_folder
 from creaseline.sources import log as logs
-from creaseline.streaming.ledger import BATCH, BUCKET, Ledger, deliver, run_available, touched
+from creaseline.streaming.ledger import BATCH, BUCKET, Ledger, Stream, bucket_of, deliver
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -59,66 +58,66 @@ NOTIFICATION_SCHEMA = T.StructType(
 )
 
 
-def row_count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
+def stored_keys(events: Ledger, before: int, balls: DataFrame) -> DataFrame:
+    """Those ball keys of a batch that earlier batches have stored.
 
-
-def stored_keys(events: Ledger, before: int, buckets: list[int]) -> DataFrame:
-    """Ball keys stored by earlier batches, read from the folders that the batch touches."""
-    return events.read(before).where(F.col(BUCKET).isin(buckets)).select(*BALL_KEY)
+    The store is narrowed by the batch's keys where it is read: the batch is the small side, so what
+    moves between tasks follows the batch and not the store.
+    """
+    keys = balls.select(bucket_of(events.spark, "match_id").alias(BUCKET), *BALL_KEY).distinct()
+    return events.read(before).select(BUCKET, *BALL_KEY).join(keys, [BUCKET, *BALL_KEY], "left_semi").select(*BALL_KEY)
 
 
-class ScoreStream:
+class ScoreStream(Stream):
     """Event store, live view, unreadable records, dead letters, processed feed and counters, one ledger each.
 
     Store and view come from the same accepted rows, so a batch that failed half-way and runs again
-    completes both.
+    completes both, also under another driver that opens the same ``root``.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = shared_folder(spark)
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        super().__init__(spark, root)
         self.events = Ledger(spark, f"{self.root}/events", EVENT_SCHEMA, bucket_by="match_id")
         self.views = Ledger(spark, f"{self.root}/view", VIEW_SCHEMA)
         self.poison = Ledger(spark, f"{self.root}/poison", LOG_SCHEMA)
-        self.processed = Ledger(spark, f"{self.root}/processed", FEED_SCHEMA)
+        self.feed = Ledger(spark, f"{self.root}/processed", FEED_SCHEMA)
         self.counts = Ledger(spark, f"{self.root}/counts", COUNT_SCHEMA)
         self.dead = Ledger(spark, f"{self.root}/dead", LOG_SCHEMA)
-        self.tallied = {"poison": self.poison, "dlt": self.dead, "accepted": self.events}
-        self.progress: list = []
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch to all sinks. Records are decoded once; the view and the feed read back
-        the accepted rows of this batch."""
+        the accepted rows of this batch, and the counters are taken while those are written."""
         both = logs.parsed(batch).persist()
         try:
             log_columns = LOG_SCHEMA.fieldNames()
             self.poison.write(both.where("is_poison"), batch_id)
             decoded = both.where(~F.col("is_poison")).select(*log_columns, *logs.ball_fields())
-            failing = decoded.where(~storable()).select(*log_columns)
-            self.dead.write(logs.to_dead_letters(failing, F.lit(STORE_ERROR), F.lit("incomplete event")), batch_id)
+            failing, dead = decoded.where(~storable()).select(*log_columns), Observation()
+            letters = logs.to_dead_letters(failing, F.lit(STORE_ERROR), F.lit("incomplete event"))
+            self.dead.write(letters.observe(dead, F.count(F.lit(1)).alias("n")), batch_id)
 
             balls = decoded.where(storable()).select(*LOG_ORDER, *BALL_COLUMNS, event_sequence().alias("event_sequence"))
-            earlier = stored_keys(self.events, batch_id, touched(balls, "match_id"))
-            accepted = first_arrivals(balls).join(earlier, BALL_KEY, "left_anti")
-            self.events.write(stored_rows(accepted, *LOG_ORDER), batch_id)
+            first, stored = first_arrivals(balls), Observation()
+            accepted = stored_rows(first.join(stored_keys(self.events, batch_id, first), BALL_KEY, "left_anti"), *LOG_ORDER)
+            self.events.write(accepted.observe(stored, F.count(F.lit(1)).alias("n")), batch_id)
 
             written = self.events.batch(batch_id)
             self.views.write(live_view(written.withColumnRenamed("event_ts", "ts")), batch_id)
-            self.processed.write(written, batch_id)
-            received = both.agg(F.count(F.lit(1)).alias("received"))
-            tallies = {c: row_count(ledger.batch(batch_id)) for c, ledger in self.tallied.items()}
+            self.feed.write(written, batch_id)
+            tallies = {"dlt": F.lit(dead.get.get("n", 0)).cast("long"), "accepted": F.lit(stored.get.get("n", 0)).cast("long")}
+            received = both.agg(F.count(F.lit(1)).alias("received"), F.count_if("is_poison").alias("poison"))
             self.counts.write(received.withColumns(tallies), batch_id)
         finally:
             both.unpersist()
 
-    def run(self, path: str, files_per_trigger: int | None = None) -> None:
-        """Work through the files that have arrived since the last run.
+    def run(self, source: str | DataFrame, files_per_trigger: int | None = None) -> None:
+        """Work through what has arrived since the last run: files below a path, or any stream with the
+        log's columns, such as a broker's.
 
         A cap on files per batch asks for files that follow the offsets, as a broker delivers them.
         """
-        stream = logs.stream_log(self.spark, path, files_per_trigger)
-        self.progress += run_available(stream, self.process, f"{self.root}/checkpoint")
+        stream = logs.stream_log(self.spark, source, files_per_trigger) if isinstance(source, str) else source
+        self.run_available(stream)
 
     def consume(self, deliveries: list[DataFrame]) -> ScoreStream:
         """Deliver slices of a log one after the other and process each."""
@@ -129,11 +128,11 @@ class ScoreStream:
         return self
 
     def compact(self) -> None:
-        """Fold the small files of many batches; call it while the stream rests."""
-        folder = shared_folder(self.spark)
-        self.events = self.events.compact(f"{folder}/events")
-        self.views = self.views.compact(f"{folder}/view", ["match_id"])
-        self.tallied["accepted"] = self.events
+        """Fold the small files of batches that cannot run again; call it while the stream rests."""
+        up_to = self.safe()
+        if up_to >= 0:
+            self.events.compact(up_to)
+            self.views.compact(up_to, ["match_id"])
 
     def view(self) -> DataFrame:
         return self.views.latest(["match_id"])
@@ -145,25 +144,34 @@ class ScoreStream:
 RETRY_ORDER = ["effective_arrival", "partition", "offset"]
 
 
-class RetryStream:
+class RetryStream(Stream):
     """Retry tiers as micro-batches: an attempt whose time has not come waits in a pending ledger.
 
     ``failures`` and ``error_class`` say, per decoded row, how many attempts fail and why.
     """
 
-    def __init__(self, spark: SparkSession, failures: Column, error_class: Column):
-        self.spark, self.failures, self.error_class = spark, failures, error_class
-        self.root = shared_folder(spark)
+    def __init__(self, spark: SparkSession, failures: Column, error_class: Column, root: str | None = None):
+        super().__init__(spark, root)
+        self.failures, self.error_class = failures, error_class
         settled = T.StructType([*EVENT_SCHEMA.fields, T.StructField("effective_arrival", T.TimestampNTZType())])
         clock = T.StructType([T.StructField("now", T.TimestampNTZType())])
         self.pending = Ledger(spark, f"{self.root}/pending", settled)
         self.events = Ledger(spark, f"{self.root}/events", settled, bucket_by="match_id")
         self.views = Ledger(spark, f"{self.root}/view", VIEW_SCHEMA)
         self.dead = Ledger(spark, f"{self.root}/dead", settled)
+        self.poison = Ledger(spark, f"{self.root}/poison", LOG_SCHEMA)
         self.clock = Ledger(spark, f"{self.root}/clock", clock)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        ok, _ = logs.decode(batch.withColumn("arrival", F.col("timestamp")))
+        both = logs.parsed(batch).persist()
+        try:
+            self._process(both, batch, batch_id)
+        finally:
+            both.unpersist()
+
+    def _process(self, both: DataFrame, batch: DataFrame, batch_id: int) -> None:
+        self.poison.write(both.where("is_poison"), batch_id)
+        ok = both.where(~F.col("is_poison")).select(*LOG_ORDER, F.col("timestamp").alias("arrival"), *logs.ball_fields())
         failures = F.when(storable(), self.failures).otherwise(retry.MAX_ATTEMPTS)
         tried = retry.attempts(ok.withColumn("event_sequence", event_sequence()), failures, self.error_class)
 
@@ -191,7 +199,7 @@ class RetryStream:
     def _apply(self, batch_id: int) -> None:
         """Store what is due: first write wins, in order of effective arrival."""
         due = first_arrivals(self._due(batch_id), order=RETRY_ORDER)
-        accepted = due.join(stored_keys(self.events, batch_id, touched(due, "match_id")), BALL_KEY, "left_anti")
+        accepted = due.join(stored_keys(self.events, batch_id, due), BALL_KEY, "left_anti")
         self.events.write(accepted, batch_id)
         written = self.events.batch(batch_id).withColumnRenamed("event_ts", "ts")
         self.views.write(live_view(written, RETRY_ORDER), batch_id)
@@ -201,7 +209,7 @@ class RetryStream:
         path = f"{self.root}/in"
         for part in deliveries:
             deliver(part, path)
-            run_available(logs.stream_log(self.spark, path), self.process, f"{self.root}/checkpoint")
+            self.run_available(logs.stream_log(self.spark, path))
         end = self.clock.read().agg(F.max(BATCH)).first()[0] + 1
         self.clock.write(self.pending.read().agg(F.max("effective_arrival").alias("now")), end)
         self._apply(end)
@@ -211,12 +219,11 @@ class RetryStream:
         return self.views.latest(["match_id"])
 
 
-class DeadLetterStream:
+class DeadLetterStream(Stream):
     """Dead letters: notify, then count; every record is consumed."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = shared_folder(spark)
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        super().__init__(spark, root)
         self.notifications = Ledger(spark, f"{self.root}/notifications", NOTIFICATION_SCHEMA)
         self.counts = Ledger(spark, f"{self.root}/counts", T.StructType([T.StructField("dlt", T.LongType())]))
 
@@ -229,7 +236,7 @@ class DeadLetterStream:
         path = f"{self.root}/in"
         for part in deliveries:
             deliver(part, path)
-            run_available(logs.stream_log(self.spark, path), self.process, f"{self.root}/checkpoint")
+            self.run_available(logs.stream_log(self.spark, path))
         return self
 
 

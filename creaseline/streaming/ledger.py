@@ -6,6 +6,7 @@ batch writes is proportional to the batch, never to the table; readers fold to t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -14,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from creaseline.session import shared_folder
 
 BATCH = "batch_id"
-
-
 BUCKET = "bucket"
 BUCKETS_CONF = "spark.creaseline.storeBuckets"
+PROGRESS = T.StructType([T.StructField("input_rows", T.LongType())])
+COMPACTION = T.StructType([T.StructField("up_to", T.LongType()), T.StructField("folder", T.StringType())])
 
 
 def bucket_of(spark: SparkSession, key: str) -> Column:
@@ -26,15 +27,22 @@ def bucket_of(spark: SparkSession, key: str) -> Column:
     return F.pmod(F.hash(key), F.lit(buckets)).cast("int")
 
 
-def touched(df: DataFrame, key: str) -> list[int]:
-    """Folder numbers that the keys of a batch fall into: at most the number of folders."""
-    rows = df.select(bucket_of(df.sparkSession, key).alias(BUCKET)).distinct().collect()
-    return [r[0] for r in rows]
+def existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 class Ledger:
-    """``bucket_by`` splits each batch further by a hash of that column, so that a reader who knows
-    its keys scans only their folders."""
+    """``bucket_by`` splits each batch further by a hash of that column, so that a join on it can leave
+    folders out.
+
+    A compaction folds batches that cannot run again and is recorded beside the ledger; from then on
+    their own folders are not read. Whoever opens the path finds it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, bucket_by: str | None = None):
         self.spark, self.path, self.bucket_by = spark, path, bucket_by
@@ -43,24 +51,32 @@ class Ledger:
         if bucket_by:
             parts.append(T.StructField(BUCKET, T.IntegerType()))
         self.schema = T.StructType([*schema.fields, *parts])
+        self.folded = self._last_compaction()
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        rows = df.select(*self.columns)
-        target = f"{self.path}/{BATCH}={batch_id}"
+    def _last_compaction(self) -> tuple[int, str] | None:
+        recorded = existing(self.spark, f"{self.path}-compactions", COMPACTION)
+        row = recorded and recorded.agg(F.max_by(F.struct("up_to", "folder"), "up_to").alias("r")).first()
+        return tuple(row.r) if row and row.r else None
+
+    def _write(self, rows: DataFrame, target: str) -> None:
         if self.bucket_by:
             rows = rows.withColumn(BUCKET, bucket_of(self.spark, self.bucket_by))
             rows.write.mode("overwrite").partitionBy(BUCKET).parquet(target)
         else:
             rows.write.mode("overwrite").parquet(target)
 
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        self._write(df.select(*self.columns), f"{self.path}/{BATCH}={batch_id}")
+
     def read(self, before: int | None = None) -> DataFrame:
         """Rows of the batches before one, or of all; the folder filter prunes files."""
-        try:
-            rows = self.spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException as err:
-            if err.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], self.schema)
+        rows = existing(self.spark, self.path, self.schema)
+        if rows is None:
+            rows = self.spark.createDataFrame([], self.schema)
+        if self.folded:
+            up_to, folder = self.folded
+            base = self.spark.read.schema(self.schema).parquet(folder)
+            rows = rows.where(F.col(BATCH) > up_to).unionByName(base)
         return rows if before is None else rows.where(F.col(BATCH) < before)
 
     def batch(self, batch_id: int) -> DataFrame:
@@ -68,27 +84,59 @@ class Ledger:
 
     def latest(self, keys: Sequence[str], before: int | None = None) -> DataFrame:
         """Newest row per key."""
-        values = [c for c in self.columns if c not in keys]
-        newest = F.max_by(F.struct(*values), F.col(BATCH)).alias("r")
-        return self.read(before).groupBy(*keys).agg(newest).select(*keys, "r.*")
+        return self._newest(self.read(before), keys).drop(BATCH)
+
+    def _newest(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        values = [c for c in [*self.columns, BATCH] if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("r")).select(*keys, "r.*")
 
-    def compact(self, path: str, keys: Sequence[str] | None = None) -> Ledger:
-        """The same rows, or the newest per key, as one batch of a new ledger.
+    def compact(self, up_to: int, keys: Sequence[str] | None = None) -> None:
+        """Fold the batches up to ``up_to``, or the newest row per key of them, into few files.
 
-        To be taken into use between two runs of a stream; readers of the old folder are not disturbed.
+        Rows keep their batch numbers. None of these batches may run again.
         """
-        last = self.read().agg(F.max(BATCH)).first()[0]
-        merged = Ledger(self.spark, path, T.StructType([self.schema[c] for c in self.columns]), self.bucket_by)
-        if last is not None:
-            rows = self.read() if keys is None else self.latest(keys)
-            merged.write(rows.hint("rebalance"), last)
-        return merged
+        if self.folded and up_to <= self.folded[0]:
+            return
+        rows = self.read(before=up_to + 1).select(*self.columns, BATCH)
+        folder = f"{self.path}-compacted/{uuid.uuid4().hex}"
+        self._write((self._newest(rows, keys) if keys else rows).hint("rebalance"), folder)
+        record = self.spark.range(1).select(F.lit(up_to).cast("long").alias("up_to"), F.lit(folder).alias("folder"))
+        record.write.mode("append").parquet(f"{self.path}-compactions")
+        self.folded = up_to, folder
+
+
+class Stream:
+    """What every stream has: a root folder, and under it a checkpoint and a record of finished batches.
+
+    Opened with the ``root`` of an earlier one, also of another driver, it goes on where that one stopped.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark = spark
+        self.root = (root or shared_folder(spark)).rstrip("/")
+        self.progress = Ledger(spark, f"{self.root}/progress", PROGRESS)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        raise NotImplementedError
+
+    def finished(self, batch: DataFrame, batch_id: int) -> None:
+        """A batch whose sinks are all written."""
+        self.process(batch, batch_id)
+        self.progress.write(batch.agg(F.count(F.lit(1)).alias("input_rows")), batch_id)
+
+    def run_available(self, stream: DataFrame) -> None:
+        run_available(stream, self.finished, f"{self.root}/checkpoint")
+
+    def safe(self) -> int:
+        """The newest batch that cannot run again: the one before the newest finished one."""
+        last = self.progress.read().agg(F.max(BATCH)).first()[0]
+        return -1 if last is None else last - 1
 
 
 def run_available(
     stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
-) -> list:
-    """Process everything that is there, then stop; returns the progress of each batch."""
+) -> None:
+    """Process everything that is there, then stop."""
     query = (
         stream.writeStream.foreachBatch(process)
         .outputMode(mode)
@@ -97,7 +145,6 @@ def run_available(
         .start()
     )
     query.awaitTermination()
-    return list(query.recentProgress)
 
 
 def arrivals(df: DataFrame, column: str, cuts: Sequence[str]) -> list[DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from creaseline.operators import writes
 from creaseline.session import shared_folder
 from creaseline.sources import changes
-from creaseline.streaming.ledger import Ledger, deliver, run_available
+from creaseline.streaming.ledger import Ledger, Stream, deliver, run_available
 
 CHANGE_LOG = T.StructType(
     [
@@ -27,12 +27,11 @@ def _drive(spark: SparkSession, root: str, schema: T.StructType, deliveries: lis
         step(spark.readStream.schema(schema).parquet(f"{root}/in"))
 
 
-class ChangeStream:
+class ChangeStream(Stream):
     """Change feed onto an empty table. A batch leaves its last change per key; reading folds them."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = shared_folder(spark)
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        super().__init__(spark, root)
         schema = "change_key bigint, op string, o_orderstatus string, o_totalprice double, sequence int"
         self.changes = Ledger(spark, f"{self.root}/changes", T.StructType.fromDDL(schema))
 
@@ -45,13 +44,7 @@ class ChangeStream:
         self.changes.write(last, batch_id)
 
     def consume(self, deliveries: list[DataFrame]) -> ChangeStream:
-        _drive(
-            self.spark,
-            self.root,
-            CHANGE_LOG,
-            deliveries,
-            lambda s: run_available(s, self.process, f"{self.root}/checkpoint"),
-        )
+        _drive(self.spark, self.root, CHANGE_LOG, deliveries, self.run_available)
         return self
 
     def table(self) -> DataFrame:
@@ -61,12 +54,14 @@ class ChangeStream:
 EVENT_LOG = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
 
 
-def tumbling_metrics(spark: SparkSession, deliveries: list[DataFrame], period: str, late: str) -> DataFrame:
+def tumbling_metrics(
+    spark: SparkSession, deliveries: list[DataFrame], period: str, late: str, root: str | None = None
+) -> DataFrame:
     """Counts, sums and maxima per period and type, kept in streaming state with a watermark.
 
     Every batch emits the windows it changed; the newest state per window is the result.
     """
-    root = shared_folder(spark)
+    root = root or shared_folder(spark)
     schema = T.StructType(
         [
             T.StructField("period_start", T.TimestampType()),
@@ -95,9 +90,11 @@ def tumbling_metrics(spark: SparkSession, deliveries: list[DataFrame], period: s
     return sink.latest(["period_start", "event_type"])
 
 
-def bounded_dedup(spark: SparkSession, deliveries: list[DataFrame], keys: list[str], within: str) -> DataFrame:
+def bounded_dedup(
+    spark: SparkSession, deliveries: list[DataFrame], keys: list[str], within: str, root: str | None = None
+) -> DataFrame:
     """Drop repeats that arrive within a bounded time; state older than that is released."""
-    root = shared_folder(spark)
+    root = root or shared_folder(spark)
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
     sink = Ledger(spark, f"{root}/unique", schema)
 
@@ -122,8 +119,13 @@ def refresh_days(spark: SparkSession, old: DataFrame, new: DataFrame, summarize:
     first = summarize(old)
     write(first)
     touched = new.select(F.to_date("ts").alias("_day")).distinct()
-    rows = old.unionByName(new).withColumn("_day", F.to_date("ts")).join(touched, "_day", "left_semi").drop("_day")
-    write(summarize(rows))
+    # the range of the new rows reaches the scan of the history, the days in it are picked by the join
+    low, high = new.agg(F.min(F.to_date("ts")), F.date_add(F.max(F.to_date("ts")), 1)).first()
+    if low is not None:
+        ts = F.col("ts")
+        earlier = old.where((ts >= F.lit(low).cast("timestamp_ntz")) & (ts < F.lit(high).cast("timestamp_ntz")))
+        rows = earlier.unionByName(new).withColumn("_day", F.to_date("ts")).join(touched, "_day", "left_semi").drop("_day")
+        write(summarize(rows))
     return spark.read.schema(first.schema).parquet(path)
 
 

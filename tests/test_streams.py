@@ -2,13 +2,17 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from creaseline.plans import inputs
 from creaseline.plans.streams import CUTS, injected, log_slices
-from creaseline.sources.log import dead_letter_rows
+from creaseline.schemas import LOG_SCHEMA
+from creaseline.session import shared_folder
+from creaseline.sources.log import dead_letter_rows, from_broker
 from creaseline.streaming.ingest import RetryStream, ScoreStream
-from creaseline.streaming.ledger import arrivals
+from creaseline.streaming.ledger import arrivals, deliver
 
 
 def rows(df):
@@ -46,11 +50,65 @@ def test_compaction_keeps_store_and_view(spark, data):
     store, view = rows(stream.store()), rows(stream.view())
     stream.compact()
     assert rows(stream.store()) == store and rows(stream.view()) == view
-    assert stream.views.read().select("batch_id").distinct().count() == 1
+    assert stream.events.folded[0] == 0
     # duplicates of compacted balls are still recognised, and the rest still arrives
     stream.consume([slices[0], slices[2]])
     clean = ScoreStream(spark).consume(slices)
     assert rows(stream.store()) == rows(clean.store()) and rows(stream.view()) == rows(clean.view())
+    stream.compact()
+    assert stream.events.folded[0] == 2
+    assert rows(stream.store()) == rows(clean.store()) and rows(stream.view()) == rows(clean.view())
+
+
+@pytest.mark.parametrize("sink", ["views", "counts"])
+def test_reopened_by_path_after_a_failure_and_a_compaction(spark, data, sink):
+    """A driver stops inside a batch, another compacts, a third goes on: all that survives is the root folder."""
+    slices = log_slices(spark, data)
+    clean = ScoreStream(spark).consume(slices)
+    first = ScoreStream(spark).consume(slices[:2])
+    deliver(slices[2], f"{first.root}/in")
+    getattr(first, sink).write = lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(StreamingQueryException):
+        first.run(f"{first.root}/in")
+    ScoreStream(spark, first.root).compact()
+    third = ScoreStream(spark, first.root)
+    assert third.events.folded is not None
+    third.run(f"{third.root}/in")
+    assert rows(third.view()) == rows(clean.view()) and rows(third.store()) == rows(clean.store())
+    assert rows(third.counts.read()) == rows(clean.counts.read())
+    assert rows(third.progress.read()) == rows(clean.progress.read())
+
+
+def test_progress_of_many_batches(spark):
+    """More batches than a query keeps reports of."""
+    stream = ScoreStream(spark)
+    schema = LOG_SCHEMA
+    value = '{"eventId":"e%d","matchId":"m","inning":1,"over":%d,"ball":%d,"team":"A","runs":1,"wicket":false,"totalRuns":1,"wickets":0,"timestamp":"2025-04-15T14:32:01Z"}'
+    table = [("t", 0, i, dt.datetime(2025, 1, 1), "m", value % (i, i // 6, i % 6 + 1), None) for i in range(110)]
+    spark.createDataFrame(table, schema).coalesce(1).write.option("maxRecordsPerFile", 1).parquet(f"{stream.root}/in")
+    stream.run(f"{stream.root}/in", files_per_trigger=1)
+    seen = {r.batch_id: r.input_rows for r in stream.progress.read().collect()}
+    assert len(seen) == 110 and set(seen.values()) == {1}
+    assert stream.store().count() == 110
+
+
+def test_retries_keep_unreadable_records(spark, data):
+    log = inputs.log(spark, data)
+    stream = RetryStream(spark, *injected()).consume([log])
+    assert stream.poison.read().count() == log.where("value = '{not-valid-json}'").count() > 0
+
+
+def test_broker_columns(spark, data):
+    """A stream with a broker's column types, from files: binary key and value, a time with a zone."""
+    slices = log_slices(spark, data)
+    kinds = {"key": "binary", "value": "binary", "timestamp": "timestamp"}
+    raw = slices[0].select(*[F.col(c).cast(kinds.get(c, slices[0].schema[c].dataType)).alias(c) for c in slices[0].columns])
+    path = f"{shared_folder(spark)}/in"
+    deliver(raw, path)
+    stream = ScoreStream(spark)
+    stream.run(from_broker(spark.readStream.schema(raw.schema).parquet(path)))
+    clean = ScoreStream(spark).consume(slices[:1])
+    assert rows(stream.store()) == rows(clean.store()) and rows(stream.poison.read()) == rows(clean.poison.read())
 
 
 def test_conservation(spark, data):
