@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from creaseline.functions.scalars import ratio_percent
-from creaseline.operators.hotkeys import SLOT, paged_lists, running, spread_hot_keys
+from creaseline.operators.hotkeys import SLOT, paged_lists, running, spread
 
 
 def mean(value: Column, digits: int = 6) -> Column:
@@ -27,13 +27,13 @@ def latency_buckets(df: DataFrame, keys: list[str], latency: Column, bounds: lis
     return df.groupBy(*keys).agg(F.count(latency).alias("n"), *counts, F.max(latency).alias("max"))
 
 
-def exact_percentiles(df: DataFrame, key: str, value: str, points: list[float], slot_width: int = 1000) -> DataFrame:
+def exact_percentiles(df: DataFrame, key: str, value: str, points: list[float]) -> DataFrame:
     """Smallest value whose cumulative share reaches each point.
 
     Values are counted first, so what is ordered is one row per distinct value of a key.
     """
     counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = spread_hot_keys(counted, [key], F.expr(f"{value} div {slot_width}"))
+    tagged = spread(counted, [key], [value])
     ranked = running(tagged, [key], [value], {"_cum": F.col("_n")}).drop(SLOT)
     totals = counted.groupBy(key).agg(F.sum("_n").alias("_total"))
     reached = ranked.join(totals, key)
@@ -66,6 +66,17 @@ def month_histogram(df: DataFrame, ts: str) -> DataFrame:
     return grid.join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def empty_hours_too(counts: DataFrame, hour: str, key: str) -> DataFrame:
+    """Add a zero row for each hour of the whole span in which a key has none.
+
+    The span is one row and a key's row repeats it, so the grid grows with time and keys only.
+    """
+    span = counts.agg(F.min(hour).alias("first"), F.max(hour).alias("last"))
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    grid = counts.select(key).distinct().withColumn(hour, F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))))
+    return grid.join(counts, [hour, key], "left").select(hour, key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def range_buckets(df: DataFrame, value: Column, bounds: list[float], name: str = "bucket") -> DataFrame:
     """Counts per half-open range between the bounds; the last range is open above."""
     label = F
@@ -102,7 +113,7 @@ def partitioned_by(df: DataFrame, condition: Column, value: Column) -> DataFrame
 def distinct_lists(df: DataFrame, keys: list[str], value: str, size: int = 1000) -> DataFrame:
     """Distinct texts per key as ordered pages; duplicates vanish before the shuffle."""
     unique = df.select(*keys, value).distinct()
-    return paged_lists(unique, keys, [value], F.col(value), F.substring(value, 1, 4), size)
+    return paged_lists(unique, keys, [value], F.col(value), size)
 
 
 def to_map(df: DataFrame, key: str, value: str, merge: str = "error", order: str | None = None, size: int = 1000) -> DataFrame:

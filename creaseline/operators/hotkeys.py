@@ -1,11 +1,10 @@
 """Ordered per-key computations that survive a key holding a large share of all rows.
 
-A plain window puts a whole key into one task. Here a key with more than ``hot_rows`` rows is cut
-into slots that follow the sort order (a minute of time, say); each slot is a window partition of
-its own, and the totals of the earlier slots are carried in from a small (key, slot) table.
-
-Whether any key is hot is asked once, by a count that folds map-side and reads the key columns
-only. If none is, the frame gets no slot column and everything below is the plain window.
+A plain window puts a whole key into one task. Here the rows are range-partitioned by key and order and
+written once with the number of their partition as a slot, so a key of any size is cut into as many slots
+as it fills partitions. Each (key, slot) is a window partition of its own; what earlier slots of a key
+leave to a later one comes from a table with a row per key and slot, of which only the later slots
+are joined: fewer rows than there are partitions.
 """
 
 from __future__ import annotations
@@ -13,54 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from creaseline.session import hot_rows, materialize
+from creaseline.session import materialize
 
 SLOT = "_slot"
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. At most rows / limit of them exist."""
-    limit = limit or hot_rows(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > limit).select(*keys)
-    return None if hot.isEmpty() else materialize(hot)
-
-
-def spread_hot_keys(
-    df: DataFrame, keys: list[str], slot: Column, limit: int | None = None, counted: DataFrame | None = None
-) -> DataFrame:
-    """Add a slot column if some key is hot; it is null for the other keys.
-
-    ``slot`` must not decrease along the order used later. ``counted`` may name a cheaper frame that
-    has at least as many rows per key.
-    """
-    hot = hot_keys(df if counted is None else counted, keys, limit)
-    if hot is None:
-        return df
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    return marked.withColumn(SLOT, F.when(F.col("_hot"), slot)).drop("_hot")
-
-
-def slot_of(df: DataFrame) -> list[str]:
-    return [SLOT] if SLOT in df.columns else []
+def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add a slot that does not decrease along ``order`` within a key. ``order`` should be unique per key."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    return materialize(ranged.withColumn(SLOT, F.spark_partition_id()))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Inclusive running sums per key, for rows from :func:`spread_hot_keys`."""
-    part = [*keys, *slot_of(df)]
+    """Inclusive running sums per key, for rows from :func:`spread`."""
+    part = [*keys, SLOT]
     local = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = df.select("*", *[F.sum(e).over(local).alias(n) for n, e in sums.items()])
-    if SLOT not in df.columns:
-        return out
-
-    totals = (
-        df.where(F.col(SLOT).isNotNull())
-        .groupBy(*part)
-        .agg(*[F.sum(e).alias(f"_c_{n}") for n, e in sums.items()])
-    )
+    totals = df.groupBy(*part).agg(*[F.sum(e).alias(f"_c_{n}") for n, e in sums.items()])
     earlier = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(*part, *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
-    joined = out.join(carry, part, "left")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(SLOT)).alias("_place")
+    carry = totals.select(*part, place, *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in sums])
+    joined = out.join(carry.where("_place > 1").drop("_place"), part, "left")
     return joined.select(
         *df.columns,
         *[(F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
@@ -69,36 +41,24 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
 
 def previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
     """Value of the row before, per key: ``values`` maps new column -> source column."""
-    part = [*keys, *slot_of(df)]
+    part = [*keys, SLOT]
     local = W.partitionBy(*part).orderBy(*order)
     lagged = [F.lag(src).over(local).alias(n) for n, src in values.items()]
-    if SLOT not in df.columns:
-        return df.select("*", *lagged)
-
     out = df.select("*", F.row_number().over(local).alias("_rn"), *lagged)
-    lasts = (
-        df.where(F.col(SLOT).isNotNull())
-        .groupBy(*part)
-        .agg(F.max_by(F.struct(*[F.col(s).alias(n) for n, s in values.items()]), F.struct(*order)).alias("_last"))
-    )
-    carry = lasts.select(*part, F.lag("_last").over(W.partitionBy(*keys).orderBy(SLOT)).alias("_carry"))
-    joined = out.join(carry, part, "left")
+    last = F.max_by(F.struct(*[F.col(s).alias(n) for n, s in values.items()]), F.struct(*order)).alias("_last")
+    carry = df.groupBy(*part).agg(last).select(*part, F.lag("_last").over(W.partitionBy(*keys).orderBy(SLOT)).alias("_carry"))
+    joined = out.join(carry.where("_carry IS NOT NULL"), part, "left")
     return joined.select(
         *df.columns,
         *[F.when(F.col("_rn") == 1, F.col(f"_carry.{n}")).otherwise(F.col(n)).alias(n) for n in values],
     )
 
 
-def by_time(ts: str, seconds: int = 60) -> Column:
-    """Slot of a timestamp column."""
-    return F.expr(f"unix_seconds(CAST({ts} AS TIMESTAMP)) div {seconds}")
-
-
 def paged_lists(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, slot: Column, size: int = 1000, name: str = "items"
+    df: DataFrame, keys: list[str], order: list[str], value: Column, size: int = 1000, name: str = "items"
 ) -> DataFrame:
     """Ordered lists per key, in pages of ``size`` values: whole results, bounded rows."""
-    ranked = running(spread_hot_keys(df, keys, slot), keys, order, {"_rank": F.lit(1)})
+    ranked = running(spread(df, keys, order), keys, order, {"_rank": F.lit(1)})
     return (
         ranked.withColumn("page", F.expr(f"(_rank - 1) div {size}").cast("int"))
         .groupBy(*keys, "page")

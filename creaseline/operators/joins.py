@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creaseline.operators.hotkeys import hot_keys, paged_lists
-from creaseline.session import shared_folder
+from creaseline.operators.hotkeys import paged_lists
+from creaseline.session import materialize
 
-SALTS = 16
+ROWS_PER_SALT = 1_000_000
 
 
 def count_and_sum(parents: DataFrame, children: DataFrame, key: str, value: Column) -> DataFrame:
@@ -27,53 +27,46 @@ def having_any(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key), key, "left_semi")
 
 
-def salt_hot_keys(left: DataFrame, right: DataFrame, key: str, spread: Column, limit: int | None = None):
-    """(left, right, join columns). If some left key is hot, its rows get one of 16 salts and the
-    right rows of that key are repeated once per salt; other keys keep salt 0."""
-    hot = hot_keys(left, [key], limit)
-    if hot is None:
-        return left, right, [key]
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salted = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(salts))
-    return salted.drop("_hot"), repeated.drop("_hot"), [key, "_salt"]
+def salted(left: DataFrame, right: DataFrame, key: str, spread: Column, rows: int = ROWS_PER_SALT):
+    """(left, right) with a salt: a key gets one for every ``rows`` left rows that it has, and a right row
+    is repeated once for each salt of its key."""
+    counts = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_salts"))
+    spreading = left.join(counts, key).withColumn("_salt", F.pmod(spread, F.col("_salts")).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    return spreading.drop("_salts"), right.join(counts, key).withColumn("_salt", salts).drop("_salts")
 
 
-def colocate(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def colocate(df: DataFrame, keys: list[str], buckets: int) -> str:
     """Write the rows bucketed and sorted by ``keys``, one file per bucket; joins on them need no
-    shuffle later."""
-    spark = df.sparkSession
+    shuffle later. Returns the table's name."""
     name = f"colocated_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .option("path", shared_folder(spark))
-        .format("parquet")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name))
+    return name
 
 
 def colocated_join(left: DataFrame, right: DataFrame, key: str, spread: Column, buckets: int | None = None) -> DataFrame:
-    """Join of two tables that were laid out on the same buckets, hot keys spread over salts.
+    """Join of two tables that are laid out on the same buckets, heavy keys spread over salts.
 
-    Without a number there are as many buckets as the session has shuffle partitions.
+    Without a number there are as many buckets as the session has shuffle partitions. The result is
+    written and the two tables are dropped.
     """
-    buckets = buckets or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted, repeated, on = salt_hot_keys(left, right, key, spread)
-    joined = colocate(salted, on, buckets).hint("merge").join(colocate(repeated, on, buckets), on)
-    return joined.drop("_salt")
+    spark = left.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    on = [key, "_salt"]
+    names = [colocate(df, on, buckets) for df in salted(left, right, key, spread)]
+    try:
+        one, other = (spark.table(n) for n in names)
+        return materialize(one.hint("merge").join(other, on).drop("_salt"))
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
 
 
 def fetch_children(
-    parents: DataFrame, children: DataFrame, key: str, order: list[str], value: Column, slot: Column, size: int = 1000
+    parents: DataFrame, children: DataFrame, key: str, order: list[str], value: Column, size: int = 1000
 ) -> DataFrame:
     """Parents with their children nested, in pages of bounded size; childless parents have one empty page."""
-    pages = paged_lists(children, [key], order, value, slot, size, "children")
+    pages = paged_lists(children, [key], order, value, size, "children")
     joined = parents.join(pages, key, "left")
     empty = F.array().cast(pages.schema["children"].dataType)
     return joined.withColumns({"page": F.coalesce("page", F.lit(0)), "children": F.coalesce("children", empty)})

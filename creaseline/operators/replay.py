@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from creaseline.operators.hotkeys import SLOT, running, spread_hot_keys
+from creaseline.operators.hotkeys import SLOT, running, spread
 from creaseline.sources.log import to_log
 
 PLAYING_ORDER = ["inning", "over_no", "ball"]
@@ -14,10 +14,9 @@ def playing_order(store: DataFrame) -> DataFrame:
     return store.orderBy("match_id", *PLAYING_ORDER)
 
 
-def replay_log(store: DataFrame, topic: str = "ball-events-replay", counted: DataFrame | None = None) -> DataFrame:
+def replay_log(store: DataFrame, topic: str = "ball-events-replay") -> DataFrame:
     """Log records of the stored balls; ``offset`` is the playing position within the match."""
-    slot = (F.col("inning") * 1_000_000 + F.col("over_no")).cast("long")
-    tagged = spread_hot_keys(store, ["match_id"], slot, counted=counted)
+    tagged = spread(store, ["match_id"], PLAYING_ORDER)
     ranked = running(tagged, ["match_id"], PLAYING_ORDER, {"offset": F.lit(1)}).drop(SLOT)
     rows = ranked.withColumn("offset", F.col("offset") - 1)
     return to_log(rows, F.lit(None).cast("string"), topic)

@@ -37,14 +37,18 @@ def accept(
 ) -> tuple[DataFrame, DataFrame]:
     """Conditional put: (accepted, duplicates).
 
-    The default key is the ball; ``key=["event_id"]`` de-duplicates by event instead. Duplicates
-    are found by their position, which is unique, so a hot ball does not skew the second join.
+    The default key is the ball; ``key=["event_id"]`` de-duplicates by event instead. Duplicates are
+    the later rows of a key, and with a store also the first where the store has it: the same window
+    and the same partitioning decide both.
     """
     accepted = first_arrivals(batch, key, order)
+    later = F.row_number().over(W.partitionBy(*key).orderBy(*order)) > 1
+    ranked = batch.withColumn("_later", later)
     if store is not None:
         accepted = accepted.join(store.select(*key), list(key), "left_anti")
-    duplicates = batch.join(accepted.select(*order), list(order), "left_anti")
-    return accepted, duplicates
+        known = store.select(*key).distinct().withColumn("_known", F.lit(True))
+        ranked = ranked.join(known, list(key), "left").withColumn("_later", F.col("_later") | F.coalesce("_known", F.lit(False)))
+    return accepted, ranked.where("_later").select(*batch.columns)
 
 
 def stored_rows(df: DataFrame, *extra: str) -> DataFrame:

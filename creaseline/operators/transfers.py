@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from creaseline.operators.hotkeys import running, spread_hot_keys
+from creaseline.operators.hotkeys import running, spread
 from creaseline.session import materialize
 
 OPENING = -1
 
 
-def guarded_transfers(accounts: DataFrame, transfers: DataFrame, slot_width: int = 100_000) -> DataFrame:
+def guarded_transfers(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
     """Outcome of every transfer as if they ran one after the other.
 
     ``accounts``: account, balance. ``transfers``: seq (unique, from 0), src, dst, amount; src and
@@ -27,11 +27,11 @@ def guarded_transfers(accounts: DataFrame, transfers: DataFrame, slot_width: int
     )
     state = materialize(transfers.select("seq", "src", "dst", "amount", F.lit(None).cast("boolean").alias("passed")))
     while not state.where("passed IS NULL").isEmpty():
-        state = materialize(_settle(opening, state, slot_width))
+        state = materialize(_settle(opening, state))
     return state
 
 
-def _settle(opening: DataFrame, state: DataFrame, slot_width: int) -> DataFrame:
+def _settle(opening: DataFrame, state: DataFrame) -> DataFrame:
     amount, passed = F.col("amount"), F.col("passed")
     certain = F.coalesce(passed, F.lit(False))
     possible = F.coalesce(passed, F.lit(True))
@@ -51,8 +51,7 @@ def _settle(opening: DataFrame, state: DataFrame, slot_width: int) -> DataFrame:
         F.when(possible, amount).otherwise(0).alias("high"),
     )
     legs = debits.unionByName(credits, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
-    tagged = spread_hot_keys(legs, ["account"], F.expr(f"seq div {slot_width}"))
-    summed = running(tagged, ["account"], ["seq"], {"_low": F.col("low"), "_high": F.col("high")})
+    summed = running(spread(legs, ["account"], ["seq"]), ["account"], ["seq"], {"_low": F.col("low"), "_high": F.col("high")})
     least, most = F.col("_low") - F.col("low"), F.col("_high") - F.col("high")
     verdict = F.when(least >= amount, True).when(most < amount, False)
     return summed.where(amount.isNotNull()).select(

@@ -68,7 +68,7 @@ def score_lines(view: DataFrame) -> DataFrame:
 def view_history(tagged: DataFrame, order: list[str]) -> DataFrame:
     """The view after each accepted ball, flagged where it moved backwards.
 
-    ``tagged`` comes from ``spread_hot_keys``.
+    ``tagged`` comes from ``hotkeys.spread``.
     """
     place = F.struct("inning", "over_no", "ball")
     stepped = previous(tagged.withColumn("_place", place), ["match_id"], order, {"_before": "_place"})
@@ -79,14 +79,16 @@ def view_history(tagged: DataFrame, order: list[str]) -> DataFrame:
 def reconcile(view: DataFrame, accepted: DataFrame, include_extras: bool = False) -> DataFrame:
     """Compare carried totals with the sum over the stored balls of the same inning."""
     runs = F.col("runs") + (F.coalesce("extras", F.lit(0)) if include_extras else F.lit(0))
-    totals = accepted.groupBy("match_id", F.col("inning").alias("current_inning")).agg(
-        F.sum(runs).alias("event_total"), F.count_if("wicket").alias("event_wickets")
+    per_inning = accepted.groupBy("match_id", "inning").agg(
+        F.sum(runs).alias("runs"), F.count_if("wicket").alias("wickets"), F.count(F.lit(1)).alias("balls")
     )
-    latest = view.select("match_id", "current_inning", "total_runs", "wickets").join(
-        totals, ["match_id", "current_inning"], "left"
+    # the store is folded once; a match has a handful of innings
+    stored = per_inning.groupBy("match_id").agg(
+        F.sum("balls").alias("n_balls"), F.map_from_entries(F.collect_list(F.struct("inning", F.struct("runs", F.col("wickets").alias("w"))))).alias("_innings")
     )
-    stored = accepted.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_balls"))
-    both = latest.join(stored, "match_id", "full_outer")
+    both = view.select("match_id", "current_inning", "total_runs", "wickets").join(stored, "match_id", "full_outer")
+    current = F.try_element_at("_innings", F.col("current_inning"))
+    both = both.withColumns({"event_total": current["runs"], "event_wickets": current["w"]})
     status = (
         F.when(F.col("total_runs").isNull(), "missing_view")
         .when(F.col("n_balls").isNull(), "missing_events")

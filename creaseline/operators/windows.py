@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from creaseline.operators.hotkeys import SLOT, previous, running, spread_hot_keys
+from creaseline.operators.hotkeys import SLOT, previous, running, spread
 
 
-def running_score(store: DataFrame, include_extras: bool = False, counted: DataFrame | None = None) -> DataFrame:
-    """Running runs and wickets of each inning, in playing order.
-
-    ``counted`` may name a cheaper frame with at least as many rows per match.
-    """
+def running_score(store: DataFrame, include_extras: bool = False) -> DataFrame:
+    """Running runs and wickets of each inning, in playing order."""
     runs = F.col("runs") + (F.coalesce("extras", F.lit(0)) if include_extras else F.lit(0))
-    tagged = spread_hot_keys(store, ["match_id"], F.col("over_no").cast("long"), counted=counted)
+    tagged = spread(store, ["match_id", "inning"], ["over_no", "ball"])
     sums = {"running_total": runs, "running_wickets": F.col("wicket").cast("int")}
     return running(tagged, ["match_id", "inning"], ["over_no", "ball"], sums).drop(SLOT)
 
@@ -28,8 +26,8 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], slot: Column) -> DataFrame:
-    return previous(spread_hot_keys(df, keys, slot), keys, order, values).drop(SLOT)
+def with_previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    return previous(spread(df, keys, order), keys, order, values).drop(SLOT)
 
 
 def latest(df: DataFrame, keys: list[str], order: Column, columns: list[str]) -> DataFrame:
@@ -45,9 +43,8 @@ def state_at(revisions: DataFrame, key: str, revision: str, at: int, columns: li
 
 def fixed_window_check(df: DataFrame, client: str, ts: str, tie: str, seconds: int, limit: int) -> DataFrame:
     """n-th request of a client within its fixed window: allowed while n <= limit."""
-    at = F.col(ts).cast("timestamp")
     framed = df.withColumn("window_no", F.expr(f"unix_seconds(CAST({ts} AS TIMESTAMP)) div {seconds}"))
-    tagged = spread_hot_keys(framed, [client, "window_no"], F.unix_seconds(at))
+    tagged = spread(framed, [client, "window_no"], [ts, tie])
     ranked = running(tagged, [client, "window_no"], [ts, tie], {"n": F.lit(1)}).drop(SLOT)
     return ranked.withColumns(
         {"allowed": F.col("n") <= limit, "remaining": F.greatest(F.lit(limit) - F.col("n"), F.lit(0))}
@@ -56,8 +53,7 @@ def fixed_window_check(df: DataFrame, client: str, ts: str, tie: str, seconds: i
 
 def sessions(df: DataFrame, client: str, ms: str, gap_ms: int) -> DataFrame:
     """Number the activity bursts of a client: a pause of ``gap_ms`` starts a new one."""
-    slot = F.expr(f"{ms} div 60000")
-    tagged = spread_hot_keys(df, [client], slot)
+    tagged = spread(df, [client], [ms])
     gaps = previous(tagged, [client], [ms], {"_before": ms})
     starts = F.coalesce(F.col(ms) - F.col("_before") >= gap_ms, F.lit(True)).cast("int")
     numbered = running(gaps.withColumn("_start", starts), [client], [ms], {"session": F.col("_start")})
@@ -103,10 +99,14 @@ def sliding_log_check(df: DataFrame, client: str, ts: str, window_ms: int = 60_0
     nothing is left of the past, which cuts a client into independent sessions.
     """
 
-    def step(log, ms, requests):
-        kept = [(at, n) for at, n in (log or []) if at > ms - window_ms]
-        granted = max(0, min(requests, limit - sum(n for _, n in kept)))
-        return (kept + [(ms, granted)] if granted else kept), granted
+    def step(state, ms, requests):
+        log, passed = state or (deque(), 0)
+        while log and log[0][0] <= ms - window_ms:
+            passed -= log.popleft()[1]
+        granted = max(0, min(requests, limit - passed))
+        if granted:
+            log.append((ms, granted))
+        return (log, passed + granted), granted
 
     return _fold(sessions(_per_millisecond(df, client, ts), "client", "ms", window_ms), step)
 

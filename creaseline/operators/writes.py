@@ -2,42 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from creaseline.operators.hotkeys import SLOT, running, spread_hot_keys
+from creaseline.operators.hotkeys import SLOT, running, spread
 
 ACTIVE = ["STARTED", "IN_PROGRESS"]
 
 
-class VersionedTable:
-    """A table that is replaced as a whole: each version has its own folder, and a commit row names it.
-
-    A version that was not committed is never read, so a failed rewrite leaves the table as it was.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.version = -1
-
-    def replace(self, df: DataFrame) -> DataFrame:
-        number = self.version + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/data/{number}")
-        commit = self.spark.range(1).select(F.lit(number).alias("version"))
-        commit.write.mode("overwrite").parquet(f"{self.path}/commits/{number}")
-        self.version = number
-        return self.current()
-
-    def current(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data/{self.version}")
-
-    @classmethod
-    def open(cls, spark: SparkSession, path: str) -> VersionedTable:
-        """Reopen at the last committed version; the commits hold one row per version."""
-        table = cls(spark, path)
-        table.version = spark.read.parquet(f"{path}/commits/*").agg(F.max("version")).first()[0]
-        return table
-
-
 def delete_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on), on, "left_anti")
 
@@ -96,6 +67,28 @@ def start_replays(requests: DataFrame, state: DataFrame, totals: DataFrame) -> D
     )
 
 
+def replay_progress(granted: DataFrame, balls: DataFrame, path: str) -> DataFrame:
+    """State of each replay as it moves on, one folder per status below ``path``; returns the whole history.
+
+    ``granted``: match_id, total. ``balls``: match_id, place (from 1 in playing order), fails. A replay is
+    STARTED with nothing processed, IN_PROGRESS once its first ball is through, and ends COMPLETED with all
+    of them or FAILED before the first ball that cannot be published.
+    """
+    first_bad = F.min(F.when(F.col("fails"), F.col("place")))
+    reached = granted.join(balls.groupBy("match_id").agg(first_bad.alias("_bad"), F.max("place").alias("_last")), "match_id", "left")
+    through = F.coalesce(F.col("_bad") - 1, F.col("_last"), F.lit(0)).cast("int")
+    states = {
+        "STARTED": (F.lit(True), F.lit(0)),
+        "IN_PROGRESS": (through > 0, F.lit(1)),
+        "COMPLETED": (F.col("_bad").isNull(), through),
+        "FAILED": (F.col("_bad").isNotNull(), through),
+    }
+    for status, (holds, processed) in states.items():
+        rows = reached.where(holds).select("match_id", F.lit(status).alias("status"), processed.alias("processed"), "total")
+        rows.write.mode("overwrite").parquet(f"{path}/state={status}")
+    return granted.sparkSession.read.parquet(path).drop("state")
+
+
 def write_layout(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
     """Partitioned write. The rebalance hint gathers each partition into few files and, with AQE,
     splits the ones that are too large, so one heavy partition value never lands in one task."""
@@ -113,9 +106,9 @@ def apply_changes(df: DataFrame, changes: DataFrame, key: str, order: str, value
     return kept.unionByName(upserts)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], slot: Column, start: DataFrame | None = None, name: str = "seq") -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], start: DataFrame | None = None, name: str = "seq") -> DataFrame:
     """Give each row the next number of its key: ``max + 1`` onwards, from 1 where nothing is stored."""
-    ranked = running(spread_hot_keys(df, keys, slot), keys, order, {name: F.lit(1)}).drop(SLOT)
+    ranked = running(spread(df, keys, order), keys, order, {name: F.lit(1)}).drop(SLOT)
     if start is None:
         return ranked
     return ranked.join(start, keys, "left").withColumn(name, F.col(name) + F.coalesce("last_seq", F.lit(0))).drop("last_seq")

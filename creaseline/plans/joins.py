@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creaseline.operators import joins
-from creaseline.operators.store import accept
 from creaseline.operators.view import reconcile
 from creaseline.plans import inputs
 from creaseline.plans.inputs import SQL_FEED, SQL_VIEW
-from creaseline.plans.registry import ORACLES, query
-from creaseline.plans.writes import ACCEPT_COLUMNS, against_store  # noqa: F401
+from creaseline.plans.registry import query
 from creaseline.plans import writes as writes_plan
-from creaseline.sources.feed import ARRIVAL_ORDER
+from creaseline.schemas import BALL_KEY
 from creaseline.sources.tables import table
 
 
-@query("j1_anti_join_store", ORACLES["k2_against_store"])
+@query(
+    "j1_anti_join_store",
+    SQL_FEED
+    + f""", stored AS (SELECT DISTINCT match_id, event_sequence FROM sequenced WHERE arrival < TIMESTAMP '{writes_plan.CUTOFF}')
+    SELECT match_id, event_sequence, event_id, kind FROM sequenced s WHERE arrival >= TIMESTAMP '{writes_plan.CUTOFF}'
+    AND NOT EXISTS (SELECT 1 FROM stored t WHERE t.match_id = s.match_id AND t.event_sequence = s.event_sequence)""",
+)
 def anti_join_store(spark, folder):
+    """Every later delivery whose ball is not stored, repeats among them included."""
     stored, batch = writes_plan.halves(spark, folder)
-    accepted, _ = accept(batch, stored, order=ARRIVAL_ORDER)
-    return accepted.select(*ACCEPT_COLUMNS)
+    fresh = batch.join(stored.select(*BALL_KEY), BALL_KEY, "left_anti")
+    return fresh.select("match_id", "event_sequence", "event_id", "kind")
 
 
 @query(
@@ -123,7 +128,7 @@ def fetch_join(spark, folder):
     parents = table(spark, folder, "customer").select("c_custkey", "c_name")
     orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
     child = F.concat(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"))
-    fetched = joins.fetch_children(parents, orders, "c_custkey", ["o_orderkey"], child, F.expr("o_orderkey div 100000"))
+    fetched = joins.fetch_children(parents, orders, "c_custkey", ["o_orderkey"], child)
     return fetched.withColumn("children", F.array_join("children", ","))
 
 

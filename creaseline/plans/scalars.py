@@ -355,7 +355,7 @@ def next_sequence(spark, folder):
     cut = F.lit("1999-01-01").cast("timestamp_ntz")
     stored = orders.where(F.col("o_orderdate") < cut).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("last_seq"))
     new = orders.where(F.col("o_orderdate") >= cut).drop("o_orderdate")
-    return writes.number_rows(new, ["o_custkey"], ["o_orderkey"], F.expr("o_orderkey div 100000"), stored)
+    return writes.number_rows(new, ["o_custkey"], ["o_orderkey"], stored)
 
 
 @query("p24_prefixed_id", "SELECT c_custkey, 'USR' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS user_ref FROM customer")

@@ -90,17 +90,22 @@ def store(spark, folder):
     return stored_rows(inputs.accepted(spark, folder))
 
 
+def stored_table(spark, folder, *by):
+    """The store as a table, laid out by match and sequence or as asked for."""
+    return scans.laid_out(store(spark, folder), *(by or ("match_id", "event_sequence")))
+
+
 @query(
     "s5_match_events",
     SQL_ACCEPTED + f"SELECT {STORED_SQL}, ts AS event_ts, {TTL_SQL} FROM accepted WHERE match_id = '{MATCH}'",
 )
 def match_events(spark, folder):
-    return scans.match_events(store(spark, folder), MATCH)
+    return scans.match_events(stored_table(spark, folder), MATCH)
 
 
 @query("s6_point_get", SQL_VIEW + f"SELECT * FROM live WHERE match_id = '{MATCH}'")
 def point_get(spark, folder):
-    return scans.point_get(inputs.view(spark, folder), MATCH)
+    return scans.point_get(scans.laid_out(inputs.view(spark, folder), "match_id"), MATCH)
 
 
 @query(
@@ -112,7 +117,7 @@ def point_get(spark, folder):
 def batch_get(spark, folder):
     buyers = table(spark, folder, "events").where("event_type = 'purchase' AND value > 150")
     keys = buyers.select(F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("match_id"))
-    return scans.batch_get(inputs.view(spark, folder), keys)
+    return scans.batch_get(scans.laid_out(inputs.view(spark, folder), "match_id"), keys)
 
 
 @query(
@@ -123,13 +128,13 @@ def batch_get(spark, folder):
 )
 def index_match_time(spark, folder):
     start, end = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-05", "2024-01-12"))
-    found = scans.by_match_and_time(store(spark, folder), MATCH, start, end)
+    found = scans.by_match_and_time(stored_table(spark, folder), MATCH, start, end)
     return found.select("match_id", "event_sequence", "event_id", "event_ts")
 
 
 @query("s7_index_event_id", SQL_ACCEPTED + "SELECT match_id, event_sequence, event_id, runs FROM accepted WHERE event_id = '77'")
 def index_event_id(spark, folder):
-    return scans.by_event_id(store(spark, folder), "77").select("match_id", "event_sequence", "event_id", "runs")
+    return scans.by_event_id(stored_table(spark, folder, "event_id"), "77").select("match_id", "event_sequence", "event_id", "runs")
 
 
 CHANGES_SQL = """WITH changes AS (

@@ -33,7 +33,8 @@ def publish(spark, folder):
     rows = inputs.balls(spark, folder)
     trace = F.when(F.col("src_id") % 3 != 0, F.concat(F.lit("t-"), F.col("src_id").cast("string")))
     text = F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string")))
-    return logs.to_log(rows, trace).select("topic", "key", "value", F.array_join(text, ",").alias("headers"))
+    sent = materialize(logs.to_log(rows, trace).select("topic", "key", "value", "headers"))
+    return sent.select("topic", "key", "value", F.array_join(text, ",").alias("headers"))
 
 
 ACCEPT_COLUMNS = ["match_id", "event_sequence", "event_id", "runs", "total_runs", "arrival", "kind"]
@@ -162,6 +163,25 @@ def replay_state(spark, folder):
     return writes.start_replays(requests, state, totals)
 
 
+@query(
+    "k7_replay_progress",
+    SQL_ACCEPTED
+    + """, seated AS (SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY inning, over_no, ball) AS place, src_id % 97 = 0 AS fails FROM accepted),
+    g AS (SELECT match_id, CAST(max(place) AS INTEGER) AS total, min(place) FILTER (fails) AS bad FROM seated GROUP BY 1),
+    t AS (SELECT *, CAST(coalesce(bad - 1, total) AS INTEGER) AS through FROM g)
+    SELECT match_id, 'STARTED' AS status, 0 AS processed, total FROM t
+    UNION ALL SELECT match_id, 'IN_PROGRESS', 1, total FROM t WHERE through > 0
+    UNION ALL SELECT match_id, 'COMPLETED', through, total FROM t WHERE bad IS NULL
+    UNION ALL SELECT match_id, 'FAILED', through, total FROM t WHERE bad IS NOT NULL""",
+)
+def replay_progress(spark, folder):
+    """Every match replayed; every 97th ball cannot be published."""
+    numbered = replay_log(inputs.accepted(spark, folder))
+    balls = numbered.select("match_id", (F.col("offset") + 1).alias("place"), (F.col("src_id") % 97 == 0).alias("fails"))
+    granted = balls.groupBy("match_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    return writes.replay_progress(granted, balls, shared_folder(spark))
+
+
 def match_documents(spark, folder):
     """Search documents of matches: orders with their venue and home team."""
     orders = table(spark, folder, "orders")
@@ -215,7 +235,7 @@ def document_upsert(spark, folder):
     titled = feed.select(F.col("change_key").alias("match_key"), "sequence", "op", F.col("after.o_orderstatus").alias("status")).join(
         docs.select("match_key", "title"), "match_key"
     )
-    return writes.apply_changes(docs, titled, "match_key", "sequence", ["title", "status"])
+    return materialize(writes.apply_changes(docs, titled, "match_key", "sequence", ["title", "status"]))
 
 
 def layout(spark, folder, df, by, measures):
@@ -316,7 +336,7 @@ STORE_SHORT = "match_id, event_sequence, event_id"
 )
 def delete_by_key(spark, folder):
     key = (F.col("match_id") == MATCH) & (F.col("event_sequence") == "1#03#4")
-    return writes.delete_where(inputs.accepted(spark, folder), key).select("match_id", "event_sequence", "event_id")
+    return materialize(writes.delete_where(store(spark, folder), key)).select("match_id", "event_sequence", "event_id")
 
 
 @query(
@@ -328,26 +348,26 @@ def delete_by_key(spark, folder):
 def delete_key_list(spark, folder):
     errors = table(spark, folder, "events").where("event_type = 'error' AND value > 150")
     keys = errors.select(F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("match_id"))
-    kept = writes.delete_keys(inputs.accepted(spark, folder), keys, ["match_id"])
+    kept = materialize(writes.delete_keys(store(spark, folder), keys, ["match_id"]))
     return kept.select("match_id", "event_sequence", "event_id")
 
 
 @query("k12_delete_conditional", SQL_ACCEPTED + f"SELECT {STORE_SHORT} FROM accepted WHERE extras IS NULL OR extras <> 2")
 def delete_conditional(spark, folder):
-    return writes.delete_where(inputs.accepted(spark, folder), F.col("extras") == 2).select("match_id", "event_sequence", "event_id")
+    kept = materialize(writes.delete_where(store(spark, folder), F.col("extras") == 2))
+    return kept.select("match_id", "event_sequence", "event_id")
 
 
 @query("k12_delete_match", SQL_ACCEPTED + f"SELECT {STORE_SHORT} FROM accepted WHERE match_id <> '{MATCH}'")
 def delete_match(spark, folder):
-    kept = writes.delete_where(inputs.accepted(spark, folder), F.col("match_id") == MATCH)
+    kept = materialize(writes.delete_where(store(spark, folder), F.col("match_id") == MATCH))
     return kept.select("match_id", "event_sequence", "event_id")
 
 
 @query("k12_delete_by_status", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
 def delete_by_status(spark, folder):
-    stored = writes.VersionedTable(spark, shared_folder(spark))
-    orders = stored.replace(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"))
-    return stored.replace(writes.delete_where(orders, F.col("o_orderstatus") == "F"))
+    orders = materialize(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"))
+    return materialize(writes.delete_where(orders, F.col("o_orderstatus") == "F"))
 
 
 @query(
@@ -356,10 +376,9 @@ def delete_by_status(spark, folder):
     FROM orders""",
 )
 def bulk_update(spark, folder):
-    stored = writes.VersionedTable(spark, shared_folder(spark))
-    orders = stored.replace(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"))
+    orders = materialize(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"))
     old = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
-    return stored.replace(writes.update_where(orders, old, {"o_orderstatus": F.lit("ARCHIVED")})).drop("o_orderdate")
+    return materialize(writes.update_where(orders, old, {"o_orderstatus": F.lit("ARCHIVED")})).drop("o_orderdate")
 
 
 @query(
@@ -370,7 +389,7 @@ def bulk_update(spark, folder):
 def update_in_list(spark, folder):
     keys = table(spark, folder, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    return writes.update_keys(orders, keys, "o_orderkey", {"o_orderstatus": F.lit("BULK")})
+    return materialize(writes.update_keys(orders, keys, "o_orderkey", {"o_orderstatus": F.lit("BULK")}))
 
 
 def versioned_orders(spark, folder):
@@ -394,7 +413,7 @@ VERSION_SQL = "o_orderkey % 5 = 0 AND o_orderkey % 3 = o_orderkey % 4"
 )
 def versioned_update(spark, folder):
     new, _ = writes.versioned_update(versioned_orders(spark, folder), order_updates(spark, folder), "o_orderkey", "version")
-    return new
+    return materialize(new)
 
 
 @query(
@@ -437,7 +456,7 @@ def soft_delete(spark, folder):
         "c_custkey", "c_acctbal", F.lit(False).alias("deleted"), F.lit(None).cast("timestamp_ntz").alias("deleted_at")
     )
     gone = {"deleted": F.lit(True), "deleted_at": F.lit("2024-02-01").cast("timestamp_ntz")}
-    return writes.update_where(rows, F.col("c_acctbal") < 0, gone).drop("c_acctbal")
+    return materialize(writes.update_where(rows, F.col("c_acctbal") < 0, gone)).drop("c_acctbal")
 
 
 @query(
@@ -448,4 +467,4 @@ def in_place_migration(spark, folder):
     rows = table(spark, folder, "customer").select(
         "c_custkey", F.col("c_name").alias("email"), (F.col("c_custkey") % 4 == 0).alias("migrated")
     )
-    return writes.update_where(rows, ~F.col("migrated"), {"email": F.lower("email"), "migrated": F.lit(True)})
+    return materialize(writes.update_where(rows, ~F.col("migrated"), {"email": F.lower("email"), "migrated": F.lit(True)}))

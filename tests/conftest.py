@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from creaseline.session import HOT_ROWS_CONF, build_session  # noqa: E402
+from creaseline.session import build_session  # noqa: E402
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -27,11 +27,15 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def tiny_hot_limit(spark):
-    """Treat every key with more than eight rows as hot."""
-    spark.conf.set(HOT_ROWS_CONF, "8")
+def many_slots(spark):
+    """Cut ordered computations so finely that most keys reach over several slots."""
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     yield
-    spark.conf.unset(HOT_ROWS_CONF)
+    for key, value in before.items():
+        spark.conf.set(key, value)
 
 
 @pytest.fixture(scope="session")

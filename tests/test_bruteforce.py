@@ -38,7 +38,7 @@ def tally(rows, decide):
 @pytest.mark.parametrize("hot", [False, True])
 def test_sliding_log(spark, requests, hot, request):
     if hot:
-        request.getfixturevalue("tiny_hot_limit")
+        request.getfixturevalue("many_slots")
     rows, df = requests
     logs = {}
 
@@ -58,7 +58,7 @@ def test_sliding_log(spark, requests, hot, request):
 @pytest.mark.parametrize("hot", [False, True])
 def test_token_bucket(spark, requests, hot, request):
     if hot:
-        request.getfixturevalue("tiny_hot_limit")
+        request.getfixturevalue("many_slots")
     rows, df = requests
     buckets = {}
 
@@ -77,7 +77,7 @@ def test_token_bucket(spark, requests, hot, request):
 @pytest.mark.parametrize("hot", [False, True])
 def test_guarded_transfers(spark, hot, request):
     if hot:
-        request.getfixturevalue("tiny_hot_limit")
+        request.getfixturevalue("many_slots")
     rng = random.Random(11)
     balances = {a: rng.randrange(-50, 300) for a in range(20)}
     moves = []
@@ -87,7 +87,7 @@ def test_guarded_transfers(spark, hot, request):
         moves.append((seq, src, dst, rng.randrange(1, 120)))
     accounts = spark.createDataFrame(list(balances.items()), "account long, balance long")
     df = spark.createDataFrame(moves, "seq long, src long, dst long, amount long")
-    got = {r.seq: r.passed for r in transfers.guarded_transfers(accounts, df, slot_width=10).collect()}
+    got = {r.seq: r.passed for r in transfers.guarded_transfers(accounts, df).collect()}
     for seq, src, dst, amount in moves:
         passed = balances[src] >= amount
         if passed:

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from creaseline.operators.hotkeys import SLOT, paged_lists, previous, running, spread_hot_keys
+from creaseline.operators.hotkeys import SLOT, paged_lists, previous, running, spread
+from creaseline.operators.joins import salted
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +26,9 @@ def by_key(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [1, 8, 100, 10**6])
-def test_running(skewed, limit):
+def test_running(skewed, many_slots):
     rows, df = skewed
-    tagged = spread_hot_keys(df, ["k"], F.expr("t div 5"), limit)
+    tagged = spread(df, ["k"], ["t", "id"])
     got = {r.id: (r.n, r.s) for r in running(tagged, ["k"], ["t", "id"], {"n": F.lit(1), "s": F.col("v")}).collect()}
     want = {}
     for values in by_key(rows).values():
@@ -39,10 +39,9 @@ def test_running(skewed, limit):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [1, 8, 10**6])
-def test_previous(skewed, limit):
+def test_previous(skewed, many_slots):
     rows, df = skewed
-    tagged = spread_hot_keys(df, ["k"], F.expr("t div 5"), limit)
+    tagged = spread(df, ["k"], ["t", "id"])
     got = {r.id: r.before for r in previous(tagged, ["k"], ["t", "id"], {"before": "v"}).collect()}
     want = {}
     for values in by_key(rows).values():
@@ -52,16 +51,17 @@ def test_previous(skewed, limit):
     assert got == want
 
 
-def test_slots_split_only_hot_keys(skewed):
+def test_slots_cut_a_heavy_key_and_follow_its_order(skewed, many_slots):
     _, df = skewed
-    tagged = spread_hot_keys(df, ["k"], F.expr("t div 5"), 100)
-    hot = {r.k for r in tagged.where(F.col(SLOT).isNotNull()).select("k").distinct().collect()}
-    assert hot == {0}
+    rows = spread(df, ["k"], ["t", "id"]).where("k = 0").orderBy("t", "id").collect()
+    slots = [r[SLOT] for r in rows]
+    assert slots == sorted(slots) and len(set(slots)) > 8
+    assert max(slots.count(s) for s in set(slots)) < len(rows) / 5
 
 
-def test_paged_lists_keep_everything(skewed, tiny_hot_limit):
+def test_paged_lists_keep_everything(skewed, many_slots):
     rows, df = skewed
-    pages = paged_lists(df, ["k"], ["t", "id"], F.col("id"), F.expr("t div 5"), size=10).collect()
+    pages = paged_lists(df, ["k"], ["t", "id"], F.col("id"), size=10).collect()
     assert all(len(p["items"]) <= 10 for p in pages)
     got = {}
     for p in sorted(pages, key=lambda p: (p["k"], p["page"])):
@@ -69,17 +69,11 @@ def test_paged_lists_keep_everything(skewed, tiny_hot_limit):
     assert got == {k: [i for i, _ in values] for k, values in by_key(rows).items()}
 
 
-def test_cold_data_is_a_plain_window(skewed):
-    """Without hot keys there is one shuffle of the rows and no join."""
-    _, df = skewed
-    out = running(spread_hot_keys(df, ["k"], F.expr("t div 5")), ["k"], ["t", "id"], {"n": F.lit(1)})
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
-
-
-def test_hot_rows_leave_their_task(skewed):
-    """The exchange of the rows is on key and slot, and the hot list is the only broadcast."""
-    _, df = skewed
-    out = running(spread_hot_keys(df, ["k"], F.expr("t div 5"), 100), ["k"], ["t", "id"], {"n": F.lit(1)})
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(k#" in plan and "_slot#" in plan
+def test_salts_follow_the_rows_of_a_key(spark):
+    left = spark.createDataFrame([(0, i) for i in range(95)] + [(1, 1), (2, 2)], "k int, v int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (3, "d")], "k int, w string")
+    spread_left, repeated = salted(left, right, "k", F.col("v"), rows=10)
+    assert {r["k"]: r["n"] for r in spread_left.groupBy("k").agg(F.countDistinct("_salt").alias("n")).collect()} == {0: 10, 1: 1, 2: 1}
+    assert {r["k"]: r["count"] for r in repeated.groupBy("k").count().collect()} == {0: 10, 1: 2}
+    joined = spread_left.join(repeated, ["k", "_salt"]).drop("_salt")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, "k").collect()))

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, and again with almost every key treated as hot."""
+"""Every registered query against its SQL, and the ordered ones again with keys cut over many slots."""
 
 import duckdb
 import pytest
@@ -53,10 +53,33 @@ def test_query_without_sql_gives_rows(spark, data, key):
 
 
 @pytest.mark.parametrize("key", HOT)
-def test_query_with_hot_keys(spark, data, con, tiny_hot_limit, key):
+def test_query_with_keys_over_many_slots(spark, data, con, many_slots, key):
     problems = compare(QUERIES[key](spark, data), con, ORACLES[key])
     assert [p for p in problems if p != "empty result"] == []
 
 
+@pytest.mark.parametrize(
+    ("key", "pushed"),
+    [
+        ("s5_match_events", "EqualTo(match_id,"),
+        ("s6_point_get", "EqualTo(match_id,"),
+        ("s7_index_match_time", "EqualTo(match_id,"),
+        ("s7_index_event_id", "EqualTo(event_id,"),
+        ("f3_prefix_filter", "StringStartsWith(event_sequence,"),
+        ("f4_over_lookup", "GreaterThanOrEqual(event_sequence,"),
+        ("f14_unexpired", "GreaterThan(ttl,"),
+    ],
+)
+def test_reads_of_the_store_reach_its_files(spark, data, key, pushed):
+    plan = QUERIES[key](spark, data)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 1 and pushed in scans[0].partition("PushedFilters:")[2]
+
+
+def test_laid_out_joins_leave_no_tables(spark, data):
+    QUERIES["j8_colocated_join"](spark, data).count()
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("colocated_")] == []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -2,19 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from creaseline.operators.writes import VersionedTable, apply_changes, delete_where, start_replays, versioned_update
-from creaseline.session import shared_folder
-
-
-def test_versions(spark):
-    path = shared_folder(spark)
-    table = VersionedTable(spark, path)
-    first = table.replace(spark.range(5))
-    assert first.count() == 5
-    assert table.replace(delete_where(first, F.col("id") == 2)).count() == 4
-    # a version without a commit is not seen
-    spark.range(99).write.parquet(f"{path}/data/2")
-    assert VersionedTable.open(spark, path).current().count() == 4
+from creaseline.operators.writes import apply_changes, delete_where, start_replays, versioned_update
 
 
 def test_delete_keeps_rows_whose_condition_is_null(spark):
