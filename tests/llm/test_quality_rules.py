@@ -96,7 +96,10 @@ def test_bands_reject_only_what_is_far_off(documents, keep, corpus):
     noise = " ".join("".join(chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(9)) for _ in range(60))
     rows = [(i, t, "en") for i, t in enumerate(sound)] + [(1000, noise, "en"), (1001, None, "en"), (1002, "few words", None)]
     got = {r.doc_id: r for r in q.quality_rules(documents(rows), keep).collect()}
-    assert not got[1000].base_failed and not got[1000].kept and got[1000].loss > got[1000].upper
+    # the model has read the noise too, and nothing else like it, so it knows it by heart
+    assert not got[1000].base_failed and not got[1000].kept and got[1000].loss < got[1000].lower
+    other = keep(q.kneser_ney(keep(q.count_grams(documents(rows[:80]), 5)), 5, keep))
+    assert q.score(documents(rows[80:81]), other, 5).first().loss > got[1000].upper
     assert got[1001].base_failed and not got[1001].kept and got[1001].n_words == 0
     assert all(got[i].kept for i in range(len(sound)))
 
