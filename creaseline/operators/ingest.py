@@ -21,6 +21,7 @@ OPTIONAL = {"extras"}
 NOT_BLANK = ["match_id", "team"]
 REQUIRED = ["wicket"]
 WIRE_NAME = {col: wire for wire, col in WIRE.items()}
+# Answers to a request.
 ACCEPTED = "Score event accepted for publishing"
 REFUSED = "Request body validation failed with %d error(s)"
 

@@ -44,8 +44,9 @@ def partial_requests(spark, folder):
 
 @query(
     "p2_with_defaults",
-    """SELECT event_id AS src_id, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id AS VARCHAR) END AS given_id,
-    event_id % 5 = 0 AS generated_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS given_ts, true AS complete FROM events""",
+    SQL_BALLS
+    + """ SELECT src_id, CASE WHEN src_id % 5 <> 0 THEN event_id END AS given_id, src_id % 5 = 0 AS generated_id,
+    CASE WHEN src_id % 3 <> 0 THEN ts END AS given_ts, true AS complete FROM balls""",
 )
 def defaults(spark, folder):
     rows = partial_requests(spark, folder).select("src_id", "event_id", "ts")

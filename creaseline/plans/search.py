@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from creaseline.operators import search
+from creaseline.operators import scans, search
 from creaseline.plans.registry import query
 from creaseline.sources.tables import table, texts
 
@@ -60,6 +60,20 @@ def inverted_index(spark, folder):
     return index.withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
 
 
+@query(
+    "t2_term_postings",
+    f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS words FROM documents),
+    p AS (SELECT doc_id, unnest(words) AS term FROM t)
+    SELECT term, doc_id, count(*) AS frequency FROM p WHERE term = 'ening' GROUP BY 1, 2""",
+)
+def term_postings(spark, folder):
+    """The index as a table in the order of its terms: a lookup skips the files of other terms, and a term of
+    many documents fills several."""
+    index = search.inverted_index(texts(spark, folder, "documents"), "doc_id", "text")
+    stored = scans.laid_out(index, "term", "doc_id")
+    return stored.where("term = 'ening'").select("term", "doc_id", "frequency")
+
+
 @query("t3_term", "SELECT doc_id FROM documents WHERE lang = 'fr'")
 def term(spark, folder):
     return table(spark, folder, "documents").where("lang = 'fr'").select("doc_id")

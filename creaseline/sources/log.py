@@ -8,6 +8,7 @@ from creaseline.functions.scalars import header, instant, instant_text
 from creaseline.schemas import LOG_SCHEMA, WIRE, WIRE_SCHEMA
 
 TOPIC = "ball-events"
+# Header names of a dead letter.
 DLT_HEADERS = {
     "error_message": "kafka_dlt-exception-message",
     "error_fqcn": "kafka_dlt-exception-fqcn",

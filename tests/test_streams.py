@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from creaseline.plans import inputs
 from creaseline.plans.streams import CUTS, injected, log_slices
-from creaseline.schemas import LOG_SCHEMA
 from creaseline.session import shared_folder
 from creaseline.sources.log import dead_letter_rows, from_broker
 from creaseline.streaming.ingest import RetryStream, ScoreStream
-from creaseline.streaming.ledger import arrivals, deliver
+from creaseline.streaming.ledger import Stream, arrivals, deliver
 
 
 def rows(df):
@@ -81,15 +80,17 @@ def test_reopened_by_path_after_a_failure_and_a_compaction(spark, data, sink):
 
 def test_progress_of_many_batches(spark):
     """More batches than a query keeps reports of."""
-    stream = ScoreStream(spark)
-    schema = LOG_SCHEMA
-    value = '{"eventId":"e%d","matchId":"m","inning":1,"over":%d,"ball":%d,"team":"A","runs":1,"wicket":false,"totalRuns":1,"wickets":0,"timestamp":"2025-04-15T14:32:01Z"}'
-    table = [("t", 0, i, dt.datetime(2025, 1, 1), "m", value % (i, i // 6, i % 6 + 1), None) for i in range(110)]
-    spark.createDataFrame(table, schema).coalesce(1).write.option("maxRecordsPerFile", 1).parquet(f"{stream.root}/in")
-    stream.run(f"{stream.root}/in", files_per_trigger=1)
+
+    class Quiet(Stream):
+        def process(self, batch, batch_id):
+            pass
+
+    stream = Quiet(spark)
+    spark.range(110).coalesce(1).write.option("maxRecordsPerFile", 1).parquet(f"{stream.root}/in")
+    stream.run_available(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{stream.root}/in"))
     seen = {r.batch_id: r.input_rows for r in stream.progress.read().collect()}
     assert len(seen) == 110 and set(seen.values()) == {1}
-    assert stream.store().count() == 110
+    assert stream.safe() == 108
 
 
 def test_retries_keep_unreadable_records(spark, data):
