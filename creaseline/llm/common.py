@@ -13,8 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 4000
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id``, the whole text (null counts as empty) and the named columns; whatever else there is goes."""
+    """``doc_id``, the whole text (null counts as empty) and the named columns; whatever else there is goes.
+
+    Texts are long rows, so a session that leaves Spark's number of rows in an Arrow batch gets a smaller one.
+    """
+    if docs.sparkSession.conf.get(BATCH_CONF) == "10000":
+        docs.sparkSession.conf.set(BATCH_CONF, str(BATCH_ROWS))
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

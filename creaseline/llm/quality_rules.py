@@ -115,16 +115,18 @@ def distinct_grams(text: str, order: int) -> tuple[list[str], np.ndarray]:
     n = len(codes) - order + 1
     if n <= 0:
         return [], np.zeros(0, np.int64)
-    number = np.zeros(int(codes.max()) + 1, np.int64)
+    number = np.zeros(int(codes.max()) + 1, np.int32)
     number[codes] = 1
     alphabet = np.flatnonzero(number)
     number[alphabet] = np.arange(len(alphabet))
     ids = number[codes]
+    del codes
     bits = max(1, int(len(alphabet) - 1).bit_length())
     if bits * order <= 63:
         packed = np.zeros(n, np.int64)
-        for i in range(order):
-            packed = (packed << bits) | ids[i : n + i]
+        for i in range(order):  # in place: these are the largest arrays of a task
+            packed <<= bits
+            packed |= ids[i : n + i]
         packed.sort()
         first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
         counts = np.diff(np.append(first, n))
@@ -145,7 +147,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang, gram, n`` over every text; each task folds its own n-grams before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=8 << 20):
+        for batch in slices(batches, size=4 << 20):
             by_lang: dict[str, list[str]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(spelled(text))
@@ -274,14 +276,15 @@ def _arrays(model: DataFrame) -> dict[str, list]:
 
     names = ["lang", "width", "key", "logp", "backoff"]
     got = model.mapInArrow(run, "lang string, width int, key long, logp double, backoff double").toArrow()
-    langs, widths = np.array(got["lang"].to_pylist()), got["width"].to_numpy()
+    named = got["lang"].combine_chunks().dictionary_encode()
+    langs, widths = named.indices.to_numpy(), got["width"].to_numpy()
     keys = got["key"].to_numpy().view(np.uint64)
     logp, backoff = got["logp"].to_numpy(), got["backoff"].to_numpy()
     out: dict[str, list] = {}
-    for lang in np.unique(langs).tolist():
+    for number, lang in enumerate(named.dictionary.to_pylist()):
         out[lang] = []
         for width in np.unique(widths).tolist():
-            own = (langs == lang) & (widths == width)
+            own = (langs == number) & (widths == width)
             out[lang].append((width, keys[own], logp[own].astype(np.float32), backoff[own].astype(np.float32)))
     return out
 
@@ -368,7 +371,8 @@ def judge(scored: DataFrame, keep, spread: float = 12.0, floor: float = 0.5) ->
 
     The band lies ``spread`` robust deviations (from the quartiles), and ``floor`` at least, around the language's
     median loss, taken over all documents that pass the base rules. A document outside its band goes; one without a
-    loss has no band to leave.
+    loss has no band to leave. A text unlike any other leaves by the lower bound if the model was counted over it too,
+    since then it is known by heart, and by the upper one if not.
     """
     based = scored.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     # sketches of bounded size over every document; one row for each language, whose size Spark knows as it is written
