@@ -171,59 +171,62 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counted: DataFrame, order: int, keep) -> DataFrame:
-    """``lang, width, gram, logp, backoff`` of all n-grams of 1 to ``order`` characters.
+    """``lang, width, gram, logp, backoff, raw, before`` of all n-grams of 1 to ``order`` characters.
 
     ``backoff`` is the logarithm of the weight that the n-gram, as a context, leaves to the shorter ones. Counts of
-    shorter n-grams are the numbers of characters seen before them. ``keep`` cuts the lineage between the orders.
+    shorter n-grams are the numbers of characters seen before them; ``raw`` says how often the n-gram ends at a scored
+    character and ``before`` how often it stands before one. ``keep`` cuts the lineage between the orders.
     """
-    levels = {order: counted}
+    levels = {order: counted.withColumn("raw", F.col("n"))}
     for width in range(order - 1, 0, -1):
         longer = levels[width + 1]
-        levels[width] = keep(longer.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
+        levels[width] = keep(longer.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"), F.sum("raw").alias("raw")))
     model = None
     lower = None
     for width in range(1, order + 1):
         grams = levels[width].join(F.broadcast(_discounts(levels[width])), "lang")  # one row for each language
         grams = grams.withColumn("d", F.expr("least(n, case n when 1 then d1 when 2 then d2 else d3 end)"))
         grams = grams.withColumn("context", F.expr(f"substring(gram, 1, {width - 1})"))
-        context = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left"), F.count("*").alias("kinds"))
-        rows = grams.join(context, ["lang", "context"])
+        context = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left"), F.count("*").alias("kinds"), F.sum("raw").alias("before"))
+        rows = grams.join(context.drop("before"), ["lang", "context"])
         if width == 1:
             rows = rows.withColumn("below", 1 / (F.col("kinds") + 1))  # one more for what was never seen
         else:
             rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(lower, ["lang", "suffix"])
-        level = keep(rows.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")).alias("p")))
-        weights = context.select("lang", F.col("context").alias("gram"), F.log("left").alias("backoff"))
-        known = level.select("lang", F.lit(width).alias("width"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
-        of_context = weights.select("lang", F.lit(width - 1).alias("width"), "gram", F.lit(None).cast("double").alias("logp"), "backoff")
+        level = keep(rows.select("lang", "gram", "raw", ((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")).alias("p")))
+        weights = context.select("lang", F.col("context").alias("gram"), F.log("left").alias("backoff"), "before")
+        none = F.lit(None)
+        known = level.select("lang", F.lit(width).alias("width"), "gram", F.log("p").alias("logp"), none.cast("double").alias("backoff"), "raw", none.cast("long").alias("before"))
+        of_context = weights.select("lang", F.lit(width - 1).alias("width"), "gram", none.cast("double").alias("logp"), "backoff", none.cast("long").alias("raw"), "before")
         part = known.unionByName(of_context)
         model = part if model is None else model.unionByName(part)
         lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
     # an n-gram's own row and its row as a context meet; the empty context carries the weight of the unseen
-    return model.groupBy("lang", "width", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    return model.groupBy("lang", "width", "gram").agg(*[F.max(c).alias(c) for c in ("logp", "backoff", "raw", "before")])
 
 
 class Scorer:
     """Sorted hash arrays of every order of one language."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], order: int):
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], order: int):
         self.order = order
         empty = np.zeros(0)
-        self.tables = {w: (np.zeros(0, np.uint64), empty, empty) for w in range(order + 1)}
+        self.tables = {w: (np.zeros(0, np.uint64), empty, empty, empty, empty) for w in range(order + 1)}
         self.starts: dict[int, tuple[np.ndarray, np.uint64]] = {}
         self.unseen = 0.0
-        for width, keys, logp, backoff in rows:
+        for width, keys, logp, backoff, raw, before in rows:
             at = np.argsort(keys)
             keys = keys[at]
             # where the keys that begin with each run of bits start
             shift = 64 - max(1, len(keys).bit_length())
             starts = np.searchsorted(keys, np.arange(1 << (64 - shift), dtype=np.uint64) << np.uint64(shift)).astype(np.int32)
-            self.tables[width] = keys, logp[at], np.nan_to_num(backoff[at])
+            self.tables[width] = keys, logp[at], np.nan_to_num(backoff[at]), raw[at], before[at]
             self.starts[width] = starts, np.uint64(shift)
             if width == 0:
                 self.unseen = float(np.nan_to_num(backoff)[0])
         kinds = len(self.tables[1][0])
         self.unseen -= float(np.log(kinds + 1))
+        self.met = np.zeros(max(len(t[0]) for t in self.tables.values()), np.int32)  # all zero between two uses
 
     def _find(self, width: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.tables[width][0]
@@ -238,27 +241,53 @@ class Scorer:
         at = np.minimum(at, len(keys) - 1)
         return at, keys[at] == hashes
 
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """Logarithms of the probability of each character after its ``order - 1`` forerunners."""
+    def _elsewhere(self, counts: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Which hits count more often than this text alone has them, ``at`` being all its places that are still open.
+
+        Places that a longer n-gram settled need not be counted: that n-gram is another text's, and so is its end.
+        """
+        own = at[hit]
+        np.add.at(self.met, own, 1)
+        out = hit.copy()
+        out[hit] = counts[own] > self.met[own]
+        self.met[own] = 0
+        return out
+
+    def logs(self, codes: np.ndarray, apart: bool = False, found: tuple | None = None) -> np.ndarray:
+        """Logarithms of the probability of each character after its ``order - 1`` forerunners.
+
+        ``apart`` takes n-grams and contexts that no other text holds as unseen; the text must be one of those counted.
+        """
         n = max(0, len(codes) - self.order + 1)
-        at, hit = self._find(self.order, gram_hashes(codes, self.order))
-        if hit.all():
-            return self.tables[self.order][1][at]
         out, open_ = np.zeros(n), np.arange(n)
         for width in range(self.order, 0, -1):
             if len(open_) == 0:
                 return out
-            hashes = gram_hashes(codes, width)[self.order - width :]
-            at, hit = self._find(width, hashes[open_])
-            out[open_[hit]] += self.tables[width][1][at[hit]]
+            keys, logp, _, raw, _ = self.tables[width]
+            if width == self.order and found:
+                at, hit = found
+            else:
+                hashes = gram_hashes(codes, width)[self.order - width :]
+                at, hit = self._find(width, hashes[open_])
+            if apart:
+                hit = self._elsewhere(raw, at, hit)
+            out[open_[hit]] += logp[at[hit]]
             open_ = open_[~hit]
             if width > 1 and len(open_):
+                _, _, backoff, _, before = self.tables[width - 1]
                 contexts = gram_hashes(codes, width - 1)[self.order - width : self.order - width + n]
                 at, hit = self._find(width - 1, contexts[open_])
-                out[open_[hit]] += self.tables[width - 1][2][at[hit]]
+                if apart:
+                    hit = self._elsewhere(before, at, hit)
+                out[open_[hit]] += backoff[at[hit]]
         out[open_] += self.unseen
         return out
 
+    def losses(self, codes: np.ndarray) -> tuple[float, float]:
+        """Minus the mean logarithm of a character's probability, with the text's own n-grams and apart from them."""
+        found = self._find(self.order, gram_hashes(codes, self.order))
+        return tuple(-float(self.logs(codes, apart, found).mean(dtype=np.float64)) for apart in (False, True))
+
 
 def _arrays(model: DataFrame) -> dict[str, list]:
     """The model as arrays; hashes are computed where the rows are."""
@@ -272,51 +301,78 @@ def _arrays(model: DataFrame) -> dict[str, list]:
                 own = np.flatnonzero(widths == width)
                 codes = code_points("".join(grams[i] for i in own.tolist())).reshape(len(own), -1)
                 keys[own] = hashed([codes[:, i] for i in range(width)])
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("width"), pa.array(keys.view(np.int64)), batch.column("logp"), batch.column("backoff")], names)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("width"), pa.array(keys.view(np.int64)), *[batch.column(c) for c in names[3:]]], names)
 
-    names = ["lang", "width", "key", "logp", "backoff"]
-    got = model.mapInArrow(run, "lang string, width int, key long, logp double, backoff double").toArrow()
+    names = ["lang", "width", "key", "logp", "backoff", "raw", "before"]
+    # no text is long enough for a count beyond 31 bits to matter
+    counts = [F.least(F.coalesce(c, F.lit(0)), F.lit(2**31 - 1)).cast("int").alias(c) for c in names[5:]]
+    slim = model.select("lang", "width", "gram", *[F.col(c).cast("float").alias(c) for c in names[3:5]], *counts)
+    got = slim.mapInArrow(run, "lang string, width int, key long, logp float, backoff float, raw int, before int").toArrow()
     named = got["lang"].combine_chunks().dictionary_encode()
     langs, widths = named.indices.to_numpy(), got["width"].to_numpy()
     keys = got["key"].to_numpy().view(np.uint64)
-    logp, backoff = got["logp"].to_numpy(), got["backoff"].to_numpy()
+    values = [got[c].to_numpy() for c in names[3:]]
     out: dict[str, list] = {}
     for number, lang in enumerate(named.dictionary.to_pylist()):
         out[lang] = []
         for width in np.unique(widths).tolist():
             own = (langs == number) & (widths == width)
-            out[lang].append((width, keys[own], logp[own].astype(np.float32), backoff[own].astype(np.float32)))
+            out[lang].append((width, keys[own], *[v[own] for v in values]))
     return out
 
 
 def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_ROWS) -> DataFrame:
     """The columns of STATS with ``doc_id``, ``lang`` and ``loss``: minus the mean logarithm of a character's probability.
 
-    ``loss`` is null for a text of fewer than ``order`` characters. Null texts count as empty, a null language is a
+    ``apart`` is the same with every n-gram that no other text of the model holds taken as unseen. Both are null for a text of fewer than ``order`` characters. Null texts count as empty, a null language is a
     language of its own; repeated rows give repeated rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(_arrays(model)) if model.count() <= send_rows else None
-    schema = f"doc_id {kind}, lang string, digest long, {', '.join(f'{c} long' for c in STATS)}, loss double"
+    schema = f"doc_id {kind}, lang string, digest long, {', '.join(f'{c} long' for c in STATS)}, loss double, apart double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = {lang: Scorer(rows, order) for lang, rows in sent.value.items()} if sent else {}
         for batch in slices(batches, size=2 << 20):
             several, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            loss: list[float | None] = [None] * len(several)
+            losses: list[tuple[float | None, float | None]] = [(None, None)] * len(several)
             for i, lang in enumerate(langs if sent else []):
                 own = spelled(several[i])
                 if len(own) >= order:
                     scorer = scorers.get(lang) or scorers.setdefault(lang, Scorer([], order))
-                    loss[i] = -float(scorer.logs(code_points(own)).mean(dtype=np.float64))
+                    losses[i] = scorer.losses(code_points(own))
             stats = [pa.array(c) for c in text_stats(several)]
             known = [batch.column(c) for c in ("doc_id", "lang", "digest")]
-            yield pa.RecordBatch.from_arrays([*known, *stats, pa.array(loss, pa.float64())], ["doc_id", "lang", "digest", *STATS, "loss"])
+            yield pa.RecordBatch.from_arrays([*known, *stats, *[pa.array(c, pa.float64()) for c in zip(*losses, strict=True)]], ["doc_id", "lang", "digest", *STATS, "loss", "apart"])
 
     digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
     named = texts(docs, F.coalesce("lang", F.lit("")).alias("lang"), digest).select("doc_id", "lang", "digest", "text")
     scored = named.mapInArrow(run, schema)
-    return (scored if sent else _joined(named, scored.drop("loss"), model, order)).drop("digest")
+    return (scored if sent else _joined(named, scored.drop("loss", "apart"), model, order)).drop("digest")
+
+
+def _settled(rows: list[dict], kinds: int, order: int) -> tuple[float, float]:
+    """Both losses of a text from its distinct n-grams; ``levels`` has the model's rows from the longest n-gram down."""
+    out = []
+    times = np.array([r["n"] for r in rows], np.int64)
+    for apart in (False, True):
+        logs, open_ = np.zeros(len(rows)), np.arange(len(rows))
+        for level in range(2 * order):
+            width, context = order - level // 2, level % 2
+            own = [rows[i]["gram"][order - width : order - context] for i in open_.tolist()]
+            met = [rows[i]["levels"][level] for i in open_.tolist()]
+            known = np.array([m is not None and m["logp"] is not None for m in met], bool)
+            if apart and level < 2 * order - 1:  # the empty context is everyone's
+                sums: Counter = Counter()
+                for gram, n in zip(own, times[open_].tolist(), strict=True):
+                    sums[gram] += n
+                known &= np.array([k and m["n"] > sums[g] for g, m, k in zip(own, met, known.tolist(), strict=True)], bool)
+            logs[open_[known]] += [m["logp"] for m, k in zip(met, known.tolist(), strict=True) if k]
+            if not context:
+                open_ = open_[~known]
+        logs[open_] -= np.log(kinds + 1)
+        out.append(-float((logs * times).sum() / times.sum()))
+    return out[0], out[1]
 
 
 def _joined(named: DataFrame, stats: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -337,27 +393,30 @@ def _joined(named: DataFrame, stats: DataFrame, model: DataFrame, order: int) ->
     kind = named.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang string, digest long, gram string, n long"
     held = named.dropDuplicates(["doc_id", "lang", "digest"]).mapInArrow(run, schema)
-    grams = held.select("lang", "gram").distinct().withColumn("logp", F.lit(0.0)).withColumn("open", F.lit(True))
+    grams = held.select("lang", "gram").distinct()
     for width in range(order, 0, -1):
         tail = F.expr(f"substring(gram, {order - width + 1}, {width})")
-        own = model.where(F.col("width") == width).select("lang", F.col("gram").alias("tail"), F.col("logp").alias("own"))
-        context = model.where(F.col("width") == width - 1).select("lang", F.col("gram").alias("before"), F.col("backoff").alias("weight"))
-        grams = (
-            grams.withColumn("tail", tail)
-            .join(own, ["lang", "tail"], "left")
-            .withColumn("before", F.expr(f"substring(gram, {order - width + 1}, {width - 1})"))
-            .join(context, ["lang", "before"], "left")
-            .select(
-                "lang",
-                "gram",
-                F.expr("logp + case when not open then 0 when own is not null then own else coalesce(weight, 0) end").alias("logp"),
-                F.expr("open and own is null").alias("open"),
-            )
-        )
+        context = F.expr(f"substring(gram, {order - width + 1}, {width - 1})")
+        of = model.where(F.col("width") == width).select("lang", F.col("gram").alias("tail"), F.struct("logp", F.col("raw").alias("n")).alias(f"own{width}"))
+        over = model.where(F.col("width") == width - 1).select("lang", F.col("gram").alias("context"), F.struct(F.col("backoff").alias("logp"), F.col("before").alias("n")).alias(f"context{width}"))
+        grams = grams.withColumn("tail", tail).join(of, ["lang", "tail"], "left").withColumn("context", context).join(over, ["lang", "context"], "left").drop("tail", "context")
     kinds = model.where("width = 1 and logp is not null").groupBy("lang").agg(F.count("*").alias("kinds"))
-    grams = grams.join(kinds, "lang", "left").select("lang", "gram", F.expr("logp - case when open then ln(coalesce(kinds, 0) + 1) else 0 end").alias("logp"))
+    levels = [f"{kind}{width}" for width in range(order, 0, -1) for kind in ("own", "context")]
+    found = F.struct("gram", "n", F.array(*levels).alias("levels"))
+    grams = grams.join(kinds, "lang", "left")
     text = [F.col("doc_id").alias("of"), "lang", "digest"]
-    losses = held.join(grams, ["lang", "gram"]).groupBy(*text).agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("loss"))
+    # as long as the document
+    whole = held.join(grams, ["lang", "gram"]).groupBy(*text).agg(F.max("kinds").alias("kinds"), F.collect_list(found).alias("grams"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            losses = []
+            for kinds, rows in zip(batch.column("kinds").to_pylist(), batch.column("grams"), strict=True):
+                losses.append(_settled(rows.as_py(), kinds or 0, order))
+            known = [batch.column(c) for c in ("of", "lang", "digest")]
+            yield pa.RecordBatch.from_arrays([*known, *[pa.array(c, pa.float64()) for c in zip(*losses, strict=True)]], ["of", "lang", "digest", "loss", "apart"])
+
+    losses = whole.mapInArrow(settle, f"of {kind}, lang string, digest long, loss double, apart double")
     losses = losses.withColumnsRenamed({"lang": "of_lang", "digest": "of_digest"})
     same = stats["doc_id"].eqNullSafe(losses["of"]) & (stats["lang"] == losses["of_lang"]) & (stats["digest"] == losses["of_digest"])
     return stats.join(losses, same, "left").drop("of", "of_lang", "of_digest")
@@ -366,22 +425,46 @@ def _joined(named: DataFrame, stats: DataFrame, model: DataFrame, order: int) ->
 # Verdict
 
 
-def judge(scored: DataFrame, keep, spread: float = 12.0, floor: float = 0.5) -> DataFrame:
-    """Add ``base_failed``, the language's ``lower`` and ``upper`` loss and ``kept``.
+#: For each loss the share of documents beyond a tail, that share's place on the normal curve, and the band's deviations.
+BANDS = {"loss": (0.1, 1.2816, 4.0), "apart": (0.05, 1.6449, 6.0)}
+LEAST = 0.5  # nats by which a character's logarithm spreads at least: equal texts must not close a band
+
+
+def judge(scored: DataFrame, keep, bands: dict[str, tuple[float, float, float]] = BANDS, least: float = LEAST) -> DataFrame:
+    """Add ``base_failed``, ``lower`` and ``upper`` loss and ``kept``; ``apart`` goes.
 
-    The band lies ``spread`` robust deviations (from the quartiles), and ``floor`` at least, around the language's
-    median loss, taken over all documents that pass the base rules. A document outside its band goes; one without a
-    loss has no band to leave. A text unlike any other leaves by the lower bound if the model was counted over it too,
-    since then it is known by heart, and by the upper one if not.
+    Each loss has a band around its language's median over the documents that pass the base rules. A mean over n
+    characters strays by a root of n less than one character, so a band reaches so many robust deviations of the distance
+    times the root of n, divided by the root of the document's n: short texts have room, long ones do not. The deviation
+    of a side is that of the quartiles or of its tail, whichever is more, so a language tag that covers several kinds of
+    text has room for each; junk that makes up more than a tail's share of a language widens its band. A text that is all repetition, or known by heart, leaves by the lower bound; one unlike
+    the others leaves by the upper bound of ``apart``, where its own n-grams do not speak for it. ``loss``, ``lower``
+    and ``upper`` of a row are those of the first loss out of its band, else of ``apart``. A document without a loss
+    has no band to leave.
     """
     based = scored.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+    sound = based.where("not base_failed")
     # sketches of bounded size over every document; one row for each language, whose size Spark knows as it is written
-    quartiles = based.where("not base_failed").groupBy("lang").agg(F.percentile_approx("loss", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    low, middle, high = (F.col("q")[i] for i in range(3))
-    width = F.greatest((high - low) * (spread / 1.349), F.lit(floor))
-    bands = keep(quartiles.select("lang", (middle - width).alias("lower"), (middle + width).alias("upper")))
-    inside = F.coalesce(F.expr("loss between lower and upper"), F.lit(True))
-    return based.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    middles = keep(sound.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_middle") for c in bands]))
+    root = F.sqrt(F.greatest(F.col("word_chars") + F.col("n_words"), F.lit(1)))
+    far = {c: (F.col(c) - F.col(f"{c}_middle")) * root for c in bands}
+    cuts = {c: [tail, 0.25, 0.75, 1 - tail] for c, (tail, _, _) in bands.items()}
+    quantiles = sound.join(middles, "lang").groupBy("lang").agg(*[F.percentile_approx(d, cuts[c], 10_000).alias(c) for c, d in far.items()])
+    sides = []
+    for c, (_, normal, _) in bands.items():
+        both = (F.col(c)[2] - F.col(c)[1]) / 1.349
+        sides.append(F.greatest(both, -F.col(c)[0] / normal, F.lit(least)).alias(f"{c}_below"))
+        sides.append(F.greatest(both, F.col(c)[3] / normal, F.lit(least)).alias(f"{c}_above"))
+    out = based.join(middles, "lang", "left").join(keep(quantiles.select("lang", *sides)), "lang", "left")
+    row, inside = {}, {}
+    for c, (_, _, deviations) in bands.items():
+        low, high = (F.col(f"{c}_middle") + sign * deviations * F.col(f"{c}_{side}") / root for sign, side in ((-1, "below"), (1, "above")))
+        row[c] = F.struct(F.col(c).alias("loss"), low.alias("lower"), high.alias("upper"))
+        inside[c] = F.coalesce(F.col(c).between(low, high), F.lit(True))
+    out = out.withColumn("__row", F.when(~inside["loss"], row["loss"]).otherwise(row["apart"]))
+    shown = [F.col("__row")[c].alias(c) for c in ("loss", "lower", "upper")]
+    out = out.select(*[c for c in based.columns if c not in bands], *shown)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.expr("loss between lower and upper"), F.lit(True)))
 
 
 def quality_rules(docs: DataFrame, keep, order: int = ORDER, send_rows: int = SEND_ROWS) -> DataFrame:

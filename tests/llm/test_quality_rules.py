@@ -104,6 +104,56 @@ def test_bands_reject_only_what_is_far_off(documents, keep, corpus):
     assert all(got[i].kept for i in range(len(sound)))
 
 
+def words(draw, syllables, n):
+    return " ".join("".join(draw.choice(syllables) for _ in range(draw.randint(1, 3))) for _ in range(n))
+
+
+@pytest.mark.parametrize("send_rows", [1 << 30, 0])
+def test_planted_junk_leaves_the_band_and_short_clean_texts_do_not(documents, keep, send_rows):
+    draw = random.Random(8)
+    english, foreign = ["the", "er", "in", "on", "an", "sh", "tion", "ea"], ["ñü", "zß", "kö", "äch", "pf", "üj"]
+    clean = [(i, words(draw, english, draw.choice([20, 25, 40, 150, 600]))) for i in range(150)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [
+        (1000, " ".join("".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(60))),
+        (1001, words(draw, foreign, 80)),
+        (1002, " ".join("".join(draw.choice("0123456789abcdef") for _ in range(32)) for _ in range(30))),
+        (1003, words(draw, ["the", "er"], 900)),  # half of the vocabulary is missing: too easy for its length
+    ]
+    got = {r.doc_id: r for r in q.quality_rules(documents(clean + junk), keep, send_rows=send_rows).collect()}
+    assert all(not got[i].base_failed and not got[i].kept for i, _ in junk)
+    assert all(got[i].loss > got[i].upper for i in (1000, 1001, 1002)) and got[1003].loss < got[1003].lower
+    assert all(got[i].kept for i, _ in clean)
+
+
+@pytest.mark.parametrize("send_rows", [1 << 30, 0])
+def test_own_grams_do_not_speak_for_a_text(documents, keep, send_rows):
+    """``apart`` against a plain search: an n-gram or context counts if some other text holds it where it is scored."""
+    draw = random.Random(9)
+    texts = [words(draw, ["ab", "c", "de"], 12) for _ in range(6)] + ["zzz zab zab", "abc"]
+    docs = documents(list(enumerate(texts)))
+    model = keep(q.kneser_ney(keep(q.count_grams(docs, 3)), 3, keep))
+    table = {r.gram: r for r in model.collect()}
+    spelled = [q.spelled(t) for t in texts]
+
+    def held(i, gram, before):
+        """Does another text hold ``gram`` at the end (or just before the end) of a scored n-gram?"""
+        ends = [t[k - before - len(gram) : k - before] for j, t in enumerate(spelled) if j != i for k in range(3, len(t) + 1)]
+        return gram in ends
+
+    def logp(i, gram):
+        if not gram:
+            return table[""].backoff - math.log(sum(len(g) == 1 and r.logp is not None for g, r in table.items()) + 1)
+        if held(i, gram, 0):
+            return table[gram].logp
+        known = len(gram) > 1 and held(i, gram[:-1], 1)
+        return (table[gram[:-1]].backoff if known else 0.0) + logp(i, gram[1:])
+
+    got = {r.doc_id: r.apart for r in q.score(docs, model, 3, send_rows).collect()}
+    for i, t in enumerate(spelled):
+        assert got[i] == pytest.approx(-sum(logp(i, t[k : k + 3]) for k in range(len(t) - 2)) / (len(t) - 2), rel=1e-5)
+
+
 def test_repeated_rows_and_empty_table(documents, keep):
     rows = [(1, "a b c " * 20), (1, "a b c " * 20), (None, "x")]
     assert len(q.quality_rules(documents(rows), keep).collect()) == 3
