@@ -22,8 +22,14 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def budget(length: int, rate: float) -> int:
-    return int(length * rate)
+def budget(length: int, rate: float, least: int = 0) -> int:
+    """Edits that an item may differ by; none under ``least`` characters."""
+    return int(length * rate) if length >= least else 0
+
+
+def bare(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` ends inside no word on either side."""
+    return all(not (text[i - 1].isalnum() and text[i].isalnum()) for i in (start, end) if 0 < i < len(text))
 
 
 def cut(item: str, errors: int) -> list[tuple[int, str]]:
@@ -74,12 +80,13 @@ class Finder:
     (else each half of a run would be over its share), and a chance hit ends at the first level.
     """
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int = 0):
         import ahocorasick
 
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
-        self.errors = [budget(len(t), rate) for t in self.texts]
+        self.errors = [budget(len(t), rate, least) for t in self.texts]
+        self.short = [len(t) < least for t in self.texts]
         self.patterns: dict[tuple[int, int, int], Pattern] = {}
         self.bounds: list[list[int]] = []
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -123,6 +130,10 @@ class Finder:
         for last, owners in self.automaton.iter(text):
             for n, j in owners:
                 start = last + 1 - self.bounds[n][j + 1]
+                if self.short[n]:  # the piece is the whole item
+                    if n not in found and bare(text, start, last + 1):
+                        found[n][start] = 0, last + 1
+                    continue
                 if start not in found[n] and (match := self._verify(text, n, j, start)):
                     found[n][start] = match
         for n, matches in found.items():
@@ -147,22 +158,22 @@ def _blocks(items: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 40) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, least: int = 40, short: bool = False) -> DataFrame:
     """``doc_id, item_id, distance, budget, end_char`` for each document and item that occurs in it.
 
-    An item of n characters may differ by ``rate`` times n edits; items under ``least`` characters prove nothing and
-    are left out. Null and empty texts hold no item; repeated rows give repeated rows; without items the result is
+    An item of n characters may differ by ``rate`` times n edits; one under ``least`` characters is left out or, with
+    ``short``, may differ by none and must not begin or end inside a word. Null and empty texts hold no item; repeated rows give repeated rows; without items the result is
     empty. Items go out in blocks, one scan of the documents each, so no broadcast grows with the benchmark.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, distance int, budget int, end_char long"
     found = None
-    for block in _blocks(items, least):
+    for block in _blocks(items, 1 if short else least):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finder = Finder(sent.value, rate)
+            finder = Finder(sent.value, rate, least)
             of = dict(zip(finder.ids, finder.errors, strict=True))
             for batch in slices(batches):
                 ids, rows = [], []

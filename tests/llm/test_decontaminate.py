@@ -77,6 +77,15 @@ def test_edge_cases(spark, documents, monkeypatch, block):
     assert decontaminate.contaminated(documents(rows), items.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_they_are(spark, documents, tmp_path):
+    item = "What is the boiling point of lead, 39?"
+    spark.createDataFrame([(1, item), (2, "sum 2+2"), (3, " "), (4, "2+2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"before {item.upper()} after"), (2, item.replace("lead", "leed")), (3, "sum  2+2"), (4, "sum 2+23, consum 2+2"), (5, "so (2+2)")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_decontamination"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.budget) for r in got) == [(1, 1, 0, 0), (3, 2, 0, 0), (3, 4, 0, 0), (4, 4, 0, 0), (5, 4, 0, 0)]
+
+
 def test_query_holds_every_exact_copy_and_nothing_else(spark, data, corpus):
     items = {r.item_id: normal(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id): r for r in QUERIES["op4_decontamination"](spark, data).collect()}
