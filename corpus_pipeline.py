@@ -1,12 +1,12 @@
 """From raw documents to token ids: five stages, each over all that the one before it kept.
 
-A document is known by its doc_id; rows that share one stay or go together. Columns beside those of ``documents`` pass
-through unchanged until the last stage.
+A row is judged by itself: it is known by its doc_id, language and text, so rows that share or lack an id do not answer
+for each other. Columns beside those of ``documents`` pass through unchanged until the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from creaseline.llm import decontaminate, pieces, quality_rules, simhash, suffix_dedup
 from creaseline.llm.common import table
@@ -17,22 +17,45 @@ from creaseline.session import materialize, prepare
 ORACLE_SQL = None
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``doc_id`` that tells rows apart unless they are equal in id, language and text. It sorts as the
+    id does, null last."""
+    text = F.coalesce("text", F.lit(""))
+    own = [F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("digest"), F.char_length(text).alias("size")]
+    return docs.withColumn("doc_id", F.struct(*own, F.col("lang").alias("lang")))
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of a named table whose name is listed (``left_semi``) or not (``left_anti``). The list is written first,
+    so that Spark knows whether it is small."""
+    listed = materialize(ids.select(F.col("doc_id").alias("__listed")).distinct())
+    return docs.join(listed, docs["doc_id"] == listed["__listed"], how)
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the listed ids. The list is written first, so that Spark knows whether it is small."""
-    gone = materialize(ids.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of a named table whose name is not listed, under their own ids."""
+    return _only(docs, ids, "left_anti").withColumn("doc_id", F.col("doc_id.id"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules or leave their language's perplexity band go."""
+    docs = _named(docs)
     judged = quality_rules.quality_rules(docs, materialize)
     return _without(docs, judged.where(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs, materialize)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of linked fingerprints one row stays: one with the smallest doc_id, null being the largest."""
+    named = _named(docs)
+    found = materialize(simhash.near_duplicates(named, materialize))
+    first = F.col("doc_id") == F.col("component_id")
+    # equal rows are few; only they are put side by side
+    again = materialize(found.where(first).groupBy("doc_id").count().where("count > 1"))
+    once = _without(named, found.where(~first).select("doc_id").unionByName(again.select("doc_id")))
+    several = _only(named, again, "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*[f"`{c.replace('`', '``')}`" for c in docs.columns])))
+    one = several.withColumn("__number", F.row_number().over(order)).where("__number = 1").drop("__number")
+    return once.unionByName(one.withColumn("doc_id", F.col("doc_id.id")))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +71,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to its error budget, go."""
+    docs = _named(docs)
     return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True))
 
 

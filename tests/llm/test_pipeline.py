@@ -93,6 +93,23 @@ def test_odd_documents(spark, data, documents):
             assert docs.columns == [*COLUMNS, "kept", "record", "__gone", "rest", "digest"]
 
 
+def test_rows_answer_for_themselves(spark, data, documents):
+    """Rows without an id, or with a shared one, stay or go by their own text; one row of a group stays."""
+    _, *stages = corpus_pipeline.STAGES
+    first = corpus_pipeline.quality
+    sound = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").where("lang = 'en' and n_chars > 600").orderBy("doc_id").limit(30).collect()]
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first().text
+    alone = [(None, "too few words", "en"), (None, sound[0], "en"), (7, "too few again", "en"), (7, sound[1], "en")]
+    got = first(spark, documents(alone), data).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, sound[0]), (7, sound[1])])
+    rows = [(1, sound[2]), (None, sound[2]), (None, sound[3]), (None, sound[3]), (None, sound[4]), (5, sound[5]), (5, sound[5])]
+    got = dict(stages)["simhash_near_dedup"](spark, documents(rows), data).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, sound[3]), (0, sound[4]), (1, sound[2]), (5, sound[5])])
+    rows = [(None, f"so {item} it is"), (None, "nothing of that kind")]
+    got = dict(stages)["benchmark_decontamination"](spark, documents(rows), data).collect()
+    assert [r.text for r in got] == ["nothing of that kind"]
+
+
 def test_run_equals_its_stages(spark, data, tables):
     last = sorted(map(tuple, tables[-1].drop("ids").collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, data).drop("ids").collect())) == last
