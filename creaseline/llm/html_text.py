@@ -23,7 +23,16 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANK = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+DECLARATION = re.compile(r"""((?:[^;"'(]|"[^"]*"|'[^']*'|\([^)]*\)|["'(])+)""")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Values of the two properties that decide what is seen; a declaration with another value counts for nothing.
+CSS_VALUES = {
+    "display": re.compile(
+        r"none|contents|inherit|initial|unset|revert|revert-layer|(?:inline-)?(?:block|flex|grid|table)|inline|flow-root|list-item"
+        r"|(?:block|inline) (?:flow|flow-root|flex|grid|table)|table-[a-z-]+|ruby[a-z-]*|-(?:webkit|moz|ms)-[a-z-]+"
+    ),
+    "visibility": re.compile(r"visible|hidden|collapse|inherit|initial|unset|revert|revert-layer"),
+}
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
@@ -143,6 +152,28 @@ def parse(html: str) -> Node:
                 stack.append(node)
 
 
+def declared(style: str) -> dict[str, str]:
+    """The values of the properties of CSS_VALUES in a style: the last one, or the last important one."""
+    found: dict[str, tuple[bool, str]] = {}
+    for one in DECLARATION.findall(CSS_COMMENT.sub("", style)):
+        name, _, value = one.partition(":")
+        name, (value, mark, important) = name.strip().lower(), value.lower().partition("!")
+        value = " ".join(value.split())
+        if name not in CSS_VALUES or not CSS_VALUES[name].fullmatch(value) or (mark and important.strip() != "important"):
+            continue
+        if mark or not found.get(name, (False,))[0]:
+            found[name] = bool(mark), value
+    return {name: value for name, (_, value) in found.items()}
+
+
+def seen_in(node: Node, inherited: bool) -> bool:
+    """Whether the text of ``node`` itself is visible; a descendant may be where its parent is not."""
+    if "style" not in node.attrs.lower():
+        return inherited
+    value = declared(node.attributes().get("style", "")).get("visibility", "inherit")
+    return inherited if value in ("inherit", "unset", "revert", "revert-layer") else value in ("visible", "initial")
+
+
 def hidden(node: Node | str, parent: Node | None) -> bool:
     closed = parent is not None and parent.tag == "details" and "open" not in parent.attributes()
     if isinstance(node, str):
@@ -154,7 +185,7 @@ def hidden(node: Node | str, parent: Node | None) -> bool:
     own = node.attributes()
     if "hidden" in own or (node.tag == "dialog" and "open" not in own) or (node.tag == "input" and own.get("type", "").lower() == "hidden"):
         return True
-    return bool(UNSEEN.search(own.get("style", "")))
+    return "style" in own and declared(own["style"]).get("display") == "none"
 
 
 class Lines:
@@ -261,21 +292,23 @@ def render(root: Node) -> str:
     tables: list[list[list]] = []
     lists: list[list[int | None]] = []  # next number of each open list, none for bullets
     keep = 0
-    stack: list[tuple[Node | str, Node | None, bool]] = [(root, None, False)]
+    stack: list[tuple[Node | str, Node | None, bool, bool]] = [(root, None, False, True)]
     while stack:
-        node, parent, leaving = stack.pop()
+        node, parent, leaving, seen = stack.pop()
         out = flows[-1]
         if isinstance(node, str):
             # white space between rows and cells is nothing
-            if not (hidden(node, parent) or (parent.tag in ("table", "tr", *GROUPS) and node.isspace())):
+            if seen and not (hidden(node, parent) or (parent.tag in ("table", "tr", *GROUPS) and node.isspace())):
                 out.text(node, keep > 0)
             continue
         tag = node.tag
         if not leaving:
             if hidden(node, parent):
                 continue
+            seen = seen_in(node, seen)
             if tag == "br":
-                out.break_line()
+                if seen:
+                    out.break_line()
                 continue
             if tag in ("ul", "ol", "menu"):
                 first = _span(node, "start", 1 << 31) if tag == "ol" else None
@@ -298,8 +331,8 @@ def render(root: Node) -> str:
                 keep += 1
                 if node.children and isinstance(node.children[0], str):
                     node.children[0] = node.children[0].removeprefix("\n")
-            stack.append((node, parent, True))
-            stack += [(child, node, False) for child in reversed(node.children)]
+            stack.append((node, parent, True, seen))
+            stack += [(child, node, False, seen) for child in reversed(node.children)]
             continue
         if tag in ("pre", "textarea", "xmp"):
             keep -= 1
@@ -312,6 +345,8 @@ def render(root: Node) -> str:
             mark = "- " if number is None else f"{number}. "
             if number is not None:
                 lists[-1][0] = number + 1
+            if not seen:  # nor is its mark
+                mark = ""
             flows[-1].put([(mark if i == 0 else " " * len(mark) if line else "") + line for i, line in enumerate(lines)], 0)
         elif tag in CELLS:
             lines = flows.pop().done()

@@ -37,6 +37,23 @@ def test_layout(html):
     assert visible_text(html) == CASES[html]
 
 
+SEEN = {
+    "<p style='backface-visibility: hidden'>a</p><p style='-webkit-backface-visibility:hidden'>b": "a\n\nb",
+    "<p style='--display: none; --my-visibility:hidden'>a</p><p style='background:url(x;display:none)'>b": "a\n\nb",
+    "<div style='visibility:hidden'>no<p style='visibility: Visible'>yes</p>no</div>": "yes",
+    "<div style='visibility:hidden'>no<b style='color:red'>no<i style='visibility:initial'>yes</i></b></div>": "yes",
+    "<div style='display:none'>no<p style='visibility:visible;display:block'>no</p></div>yes": "yes",
+    "<p style='display:none;display:block'>a</p><p style='display:none!important;display:block'>no</p>b": "a\n\nb",
+    "<p style='/* display:none */color:red'>a</p><p style='display:none;display:bogus'>no</p>": "a",
+    "<ol><li>a<li style='visibility:collapse'>no<li>c</ol>": "1. a\n3. c",
+}
+
+
+@pytest.mark.parametrize("html", SEEN)
+def test_what_is_seen(html):
+    assert visible_text(html) == SEEN[html]
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 30_000 + "deep" + "</div>" * 30_000) == "deep"
     assert visible_text("<b>" * 3000 + "x") == "x"
