@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from creaseline.llm import (
     decontaminate,
+    fill_middle,
     html_text,
     pieces,
     quality_rules,
@@ -125,3 +126,34 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scores = quality_trees.quality_scores(docs, labels, materialize)
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+_DRAWN = ", ".join(f"cast('0x' || substr(h, {8 * i + 1}, 8) as bigint) as h{i + 1}" for i in range(4))
+
+ORACLES["op12_fill_middle"] = f"""
+with t as (
+  select doc_id, coalesce(text, '') as x, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u from documents),
+d as (select doc_id, x, u, cast(len(u) as bigint) as n, {_DRAWN} from t),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (
+  select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf from c)
+select doc_id, n, form,
+  case when form = 'plain' then null else length(pre) end as prefix_chars,
+  case when form = 'plain' then null else length(mid) end as middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+    else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(x) as restored_sha256
+from p
+"""
