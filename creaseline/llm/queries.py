@@ -15,6 +15,7 @@ from creaseline.llm import (
     quality_trees,
     shards,
     simhash,
+    substring_dedup,
     suffix_dedup,
     token_counts,
     warc,
@@ -157,3 +158,26 @@ select doc_id, n, form,
   sha256(x) as restored_sha256
 from p
 """
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_passages(table(spark, sf_dir, "documents"), materialize))
+
+
+ORACLES["op13_substring_dedup"] = """
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from t),
+l as (
+  select doc_id, i, word, count(*) over own as size,
+    string_agg(word, ' ' order by i) over (partition by doc_id order by i rows between current row and 34 following) as seq
+  from u window own as (partition by doc_id order by i rows between current row and 34 following)),
+r as (select seq from l where size = 35 group by seq having count(*) > 1),
+m as (select doc_id, i, word, size = 35 and seq in (select seq from r) as hit from l),
+c as (
+  select doc_id, i, word, max(cast(hit as int)) over (partition by doc_id order by i rows between 34 preceding and current row) = 1 as gone
+  from m),
+k as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as rest from c group by doc_id)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256
+from documents left join k using (doc_id)
+"""
