@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from creaseline.llm import (
     decontaminate,
+    divergence,
     fill_middle,
     html_text,
     pieces,
@@ -181,3 +182,40 @@ k as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, s
 select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256
 from documents left join k using (doc_id)
 """
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), materialize)
+
+
+_SHARE = "1 + cast(1000000000 as hugeint) * ({n} + 1) // ({total} + v)"
+
+ORACLES["op11_divergence"] = f"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+k as (select lang, term, count(*) as n from w group by all having count(distinct r) >= 3),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(term) as v, coalesce(sum(n), 0) as total from (select distinct lang from g) left join k using (lang) group by lang),
+t as (select lang, source, coalesce(sum(n), 0) as total from g left join c using (lang, source) group by all),
+p as (
+  select t.lang, t.source, k.term, coalesce(c.n, 0) as n, cast({_SHARE.format(n="coalesce(c.n, 0)", total="t.total")} as bigint) as p,
+    cast({_SHARE.format(n="k.n", total="v.total")} as bigint) as q
+  from t join v using (lang) join k on k.lang = t.lang left join c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+f as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (
+  select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // q as bigint) as value from p where n > 0 and p > q),
+ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+  from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 200
+"""
