@@ -19,9 +19,10 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,89 +32,195 @@ from creaseline.llm.common import slices
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
 FIRST = 4  # bytes of the first level's prefixes; each further level doubles them
 BITS = 25  # logarithm of the bit table's size: 4 MB
-HELD = 200_000  # distinct counts that a task holds before it sends them on
+HELD = 400_000  # distinct counts that a task holds before it sends them on
 BLOCK = 1 << 16  # shares that are compared at a time
 
 #: Bytes of terms, A-Z lower-cased; all others end a term.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def terms(raw: bytes) -> list[bytes]:
-    """The terms of a text in UTF-8, in their order."""
-    return raw.translate(_FOLD).split()
-
-
-def _alive(lang: str, prefixes: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Which prefixes have their bit, by the hash that Spark gives to language and prefix."""
-    from xxhash import xxh64_intdigest
-
-    seed = xxh64_intdigest(lang.encode(), 42)
-    places = np.array([xxh64_intdigest(p, seed) for p in prefixes], np.uint64) & np.uint64((1 << BITS) - 1)
-    return (table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _by(batch: pa.RecordBatch, names: list[str]) -> dict[tuple, list[list[bytes]]]:
-    """Terms of each text of a batch, under the values of the named columns."""
-    out = defaultdict(list)
-    keys = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
-    for key, raw in zip(keys, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        out[key].append(terms(raw))
-    return out
-
-
-def _sent(counts: dict[tuple, Counter], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for key, counter in counts.items():
-        if counter:
-            same = [pa.array([k] * len(counter), pa.string()) for k in key]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(counter.keys(), pa.binary()), pa.array(counter.values(), pa.int64())], names)
+U = np.uint64
+#: The bytes of a little-endian word that belong to its first 0 to 8 bytes.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+WORDS = 16  # words of a term that are compared as numbers; what is behind them is compared as it is
+
+
+class Terms:
+    """The terms of some texts in UTF-8: where each stands in ``joined``, its length and its text."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.joined = b" ".join(raw).translate(_FOLD) + b" " * 8
+        codes = np.frombuffer(self.joined, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], codes != 0x20]).view(np.int8)))
+        self.starts = edges[::2]
+        self.sizes = edges[1::2] - self.starts
+        begin = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+        self.owner = np.repeat(np.arange(len(raw)), np.diff(np.append(np.searchsorted(self.starts, begin), len(self.starts))))
+
+    def only(self, wanted: np.ndarray) -> None:
+        self.starts, self.sizes, self.owner = self.starts[wanted], self.sizes[wanted], self.owner[wanted]
+
+    def marks(self, length: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """A hash of each term or of its first ``length`` bytes, and the words that tell these apart."""
+        sizes = self.sizes if length is None else np.minimum(self.sizes, length)
+        view = np.ndarray(len(self.joined) - 7, "<u8", self.joined, strides=(1,))
+        marks, words, more = np.zeros(len(sizes), U), [], np.arange(len(sizes))
+        for i in range(WORDS):
+            more = more[sizes[more] > 8 * i]
+            if len(more) == 0:
+                break
+            word = np.zeros(len(sizes), U)
+            word[more] = view[self.starts[more] + 8 * i] & _FIRST_BYTES[np.minimum(sizes[more] - 8 * i, 8)]
+            marks[more] = _mix(marks[more] ^ word[more])
+            words.append(word)
+        else:
+            more = more[sizes[more] > 8 * WORDS]
+            known: dict[bytes, int] = {}
+            word = np.zeros(len(sizes), U)
+            for k in more.tolist():
+                rest = self.joined[self.starts[k] + 8 * WORDS : self.starts[k] + sizes[k]]
+                word[k] = known.setdefault(rest, len(known) + 1)
+                marks[k] ^= U(int.from_bytes(blake2b(rest, digest_size=8).digest(), "little"))
+            words.append(word)
+        return marks, words
+
+    def groups(self, length: int | None = None) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each term's group of equal terms (equal in the first ``length`` bytes), and the groups' terms."""
+        marks, words = self.marks(length)
+        codes, first = _numbered(marks)
+        if any(not np.array_equal(w, w[first][codes]) for w in words):  # different ones with one hash
+            _, first, codes = np.unique(np.stack(words), axis=1, return_index=True, return_inverse=True)
+        sizes = self.sizes[first] if length is None else np.minimum(self.sizes[first], length)
+        starts = self.starts[first]
+        return codes, [self.joined[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
+    return h ^ (h >> U(32))
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of equal values, and the first place of each."""
+    codes, uniques = pd.factorize(values)
+    first = np.empty(len(uniques), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, first
+
+
+def _bits(marks: np.ndarray, lang: str) -> np.ndarray:
+    """Places in the bit table."""
+    seed = int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
+    return _mix(marks ^ U(seed)) >> U(64 - BITS)
+
+
+def _alive(marks: np.ndarray, lang: str, table: np.ndarray) -> np.ndarray:
+    places = _bits(marks, lang)
+    return (table[places >> U(3)] >> (places & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], list[str]]]:
+    """Texts and sources of a language, from one batch after the other."""
+    for batch in slices(batches):
+        out = defaultdict(lambda: ([], []))
+        raw = batch.column("text").cast(pa.binary()).to_pylist()
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), raw, strict=True):
+            out[lang][0].append(text)
+            out[lang][1].append(source)
+        for lang, (texts, sources) in out.items():
+            yield lang, texts, sources
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch], length: int, before: int, table: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """``lang, prefix, docs``: documents with a term of that prefix, of terms whose shorter prefix of ``before`` bytes lives."""
-    counts: dict[tuple, Counter] = defaultdict(Counter)
-    for batch in slices(batches):
-        for key, texts in _by(batch, ["lang"]).items():
-            texts = [set(t) for t in texts]
-            longer = [t for t in set().union(*texts) if len(t) >= before]
-            if table is not None and longer:
-                lives = _alive(key[0], [t[:before] for t in longer], table.value)
-                longer = [t for t, lived in zip(longer, lives.tolist(), strict=True) if lived]
-            cut = {t: t[:length] for t in longer}.get
-            for text in texts:
-                counts[key].update(set(map(cut, text)))
-            del counts[key][None]
+    counts: dict[str, Counter] = defaultdict(Counter)
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, counter in counts.items():
+            columns = [pa.array([lang] * len(counter), pa.string()), pa.array(counter.keys(), pa.binary()), pa.array(counter.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "docs"])
+        counts.clear()
+
+    for lang, texts, _ in _by_lang(batches):
+        found = Terms(texts)
+        if table is not None:
+            found.only(found.sizes >= before)
+            found.only(_alive(found.marks(before)[0], lang, table.value))
+        if len(found.starts) == 0:
+            continue
+        codes, prefixes = found.groups(length)
+        once = np.sort(codes * len(texts) + found.owner)
+        once = once[np.append(True, once[1:] != once[:-1])]
+        docs = np.bincount(once // len(texts), minlength=len(prefixes))
+        counts[lang].update(dict(zip(prefixes, docs.tolist(), strict=True)))
         if sum(map(len, counts.values())) > HELD:
-            yield from _sent(counts, ["lang", "prefix", "docs"])
-            counts.clear()
-    yield from _sent(counts, ["lang", "prefix", "docs"])
+            yield from sent()
+    yield from sent()
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.RecordBatch]:
-    """``lang, source, term, n``: occurrences of terms that have their bit."""
-    names = ["lang", "source", "term", "n"]
-    counts: dict[tuple, Counter] = defaultdict(Counter)
-    for batch in slices(batches):
-        found = _by(batch, ["lang", "source"])
-        known: dict[str, set[bytes]] = defaultdict(set)
-        for (lang, _), texts in found.items():
-            known[lang].update(*texts)
-        for lang, held in known.items():
-            listed = list(held)
-            if listed:
-                lives = _alive(lang, listed, table.value).tolist()
-                known[lang] = {t for t, lived in zip(listed, lives, strict=True) if lived}
-        for key, texts in found.items():
-            counts[key].update(filter(known[key[0]].__contains__, chain.from_iterable(texts)))
-        if sum(map(len, counts.values())) > HELD:
-            yield from _sent(counts, names)
-            counts.clear()
-    yield from _sent(counts, names)
+    """``lang, term, counts array<struct<source, n>>``: occurrences of terms that have their bit."""
+    kind = pa.struct([("source", pa.string()), ("n", pa.int64())])
+    numbers: dict[str, dict[bytes, int]] = defaultdict(dict)
+    places: dict[str, dict[str, int]] = defaultdict(dict)
+    held: dict[str, list[np.ndarray]] = defaultdict(list)
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            term, source, n = _summed(np.concatenate(parts, axis=1))
+            names = pa.array(places[lang].keys(), pa.string()).take(pa.array(source))
+            heads = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+            listed = pa.ListArray.from_arrays(pa.array(np.append(heads, len(term)), pa.int32()), pa.StructArray.from_arrays([names, pa.array(n)], fields=list(kind)))
+            own = pa.array(numbers[lang].keys(), pa.binary()).take(pa.array(term[heads]))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(heads), pa.string()), own, listed], ["lang", "term", "counts"])
+        for kept in (numbers, places, held):
+            kept.clear()
+
+    for lang, texts, sources in _by_lang(batches):
+        found = Terms(texts)
+        found.only(_alive(found.marks()[0], lang, table.value))
+        if len(found.starts) == 0:
+            continue
+        codes, names = found.groups()
+        known, listed = numbers[lang], places[lang]
+        number = np.array([known.setdefault(t, len(known)) for t in names])
+        place = np.array([listed.setdefault(s, len(listed)) for s in sources])
+        held[lang].append(_summed(np.stack([number[codes], place[found.owner], np.ones(len(codes), np.int64)])))
+        if sum(p.shape[1] for parts in held.values() for p in parts) > 4 * HELD:
+            yield from sent()
+    yield from sent()
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """``term, source, n`` summed over equal terms and sources, in their order."""
+    wide = rows[1].max() + 1
+    keys = rows[0] * wide + rows[1]
+    if len(keys) == rows[2].sum():  # all ones
+        keys = np.sort(keys)
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.diff(np.append(heads, len(keys)))
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.add.reduceat(rows[2][order], heads)
+    return np.stack([keys[heads] // wide, keys[heads] % wide, n])
 
 
 def _bit_table(listed: DataFrame) -> Broadcast:
     """A bit for each ``lang, prefix``. What the driver gets is a row per 64 bits at most."""
-    place = F.xxhash64("lang", "prefix").bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = listed.select(place.alias("at")).selectExpr("shiftright(at, 6) as word", "shiftleft(1L, cast(at & 63 as int)) as bit")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, prefixes = batch.column("lang").to_pylist(), batch.column("prefix").to_pylist()
+            by = defaultdict(list)
+            for lang, prefix in zip(langs, prefixes, strict=True):
+                by[lang].append(prefix)
+            for lang, own in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array(_bits(Terms(own).marks()[0], lang).astype(np.int64))], ["at"])
+
+    rows = listed.select("lang", "prefix").mapInArrow(places, "at long").selectExpr("shiftright(at, 6) as word", "shiftleft(1L, cast(at & 63 as int)) as bit")
     words = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -125,7 +232,7 @@ def kept_terms(named: DataFrame, keep: Callable[[DataFrame], DataFrame], least:
     ``lang`` and ``text`` without nulls; ``keep`` writes a level's prefixes."""
     length, before, table, done = FIRST, 0, None, []
     while True:
-        rows = named.select("lang", "text").mapInArrow(lambda b, a=(length, before, table): _prefix_rows(b, *a), "lang string, prefix binary, docs long")
+        rows = named.mapInArrow(lambda b, a=(length, before, table): _prefix_rows(b, *a), "lang string, prefix binary, docs long")
         level = keep(rows.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least))
         done.append(level.where(F.octet_length("prefix") < length))
         pending = level.where(F.octet_length("prefix") == length)
@@ -174,7 +281,8 @@ def divergence(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], least: i
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     vocabulary = kept_terms(named, keep, least)
     table = _bit_table(vocabulary)
-    counted = named.mapInArrow(lambda b: _term_rows(b, table), "lang string, source string, term binary, n long")
+    counted = named.mapInArrow(lambda b: _term_rows(b, table), "lang string, term binary, counts array<struct<source:string,n:long>>")
+    counted = counted.repartition("lang", "term").select("lang", "term", F.inline("counts"))  # one row per term and task
     counted = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
     counts = keep(counted.join(vocabulary.select("lang", F.col("prefix").alias("term")), ["lang", "term"], "left_semi"))
 
