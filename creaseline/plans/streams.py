@@ -19,8 +19,9 @@ from creaseline.schemas import LOG_SCHEMA
 from creaseline.session import materialize, shared_folder
 from creaseline.sources import changes
 from creaseline.sources.tables import table
-from creaseline.streaming.ingest import DeadLetterStream, RetryStream, ScoreStream
+from creaseline.streaming.ingest import DeadLetterStream, ScoreStream
 from creaseline.streaming.ledger import Ledger, arrivals, deliver, run_available
+from creaseline.streaming.retries import RetryStream
 from creaseline.streaming.tables import (
     ChangeStream,
     apply_change_table,
@@ -131,6 +132,20 @@ def retry_stream(spark, folder):
     return RetryStream(spark, *injected()).consume(log_slices(spark, folder)).view()
 
 
+@query("st3_retry_late_delivery", RETRY_VIEW_SQL)
+def retry_late_delivery(spark, folder):
+    """The first delivery comes last, and again with the second: nothing is lost, and the view is the same."""
+    first, second, third = log_slices(spark, folder)
+    return RetryStream(spark, *injected()).consume([third, second, first.unionByName(second)]).view()
+
+
+@query("st3_retry_store", SQL_ATTEMPTS + f"SELECT {STORED_SQL}, ts AS event_ts, {TTL_SQL}, due_at AS effective_arrival FROM first_settled")
+def retry_store(spark, folder):
+    """Every ball that any attempt stored, under its first effective arrival, from deliveries out of order."""
+    first, second, third = log_slices(spark, folder)
+    return RetryStream(spark, *injected()).consume([second, first, third]).store().drop("partition", "offset")
+
+
 @query(
     "st3_retry_exhausted",
     SQL_ATTEMPTS + """SELECT event_id, event_sequence, "partition", "offset", due_at AS effective_arrival FROM attempts WHERE status = 'dlt'""",

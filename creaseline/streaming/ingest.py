@@ -1,11 +1,10 @@
-"""The scoring stream: decode, first write wins, live view, notifications, retries, dead letters."""
+"""The scoring stream: decode, first write wins, live view, notifications, dead letters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from creaseline.functions.scalars import event_sequence
-from creaseline.operators import retry
 from creaseline.operators.store import first_arrivals, storable, stored_rows
 from creaseline.operators.view import VIEW_COLUMNS, live_view
 from creaseline.schemas import BALL_COLUMNS, BALL_KEY, LOG_ORDER, LOG_SCHEMA
@@ -141,84 +140,6 @@ class ScoreStream(Stream):
         return self.events.read().drop(BATCH, BUCKET)
 
 
-RETRY_ORDER = ["effective_arrival", "partition", "offset"]
-
-
-class RetryStream(Stream):
-    """Retry tiers as micro-batches: an attempt whose time has not come waits in a pending ledger.
-
-    ``failures`` and ``error_class`` say, per decoded row, how many attempts fail and why.
-    """
-
-    def __init__(self, spark: SparkSession, failures: Column, error_class: Column, root: str | None = None):
-        super().__init__(spark, root)
-        self.failures, self.error_class = failures, error_class
-        settled = T.StructType([*EVENT_SCHEMA.fields, T.StructField("effective_arrival", T.TimestampNTZType())])
-        clock = T.StructType([T.StructField("now", T.TimestampNTZType())])
-        self.pending = Ledger(spark, f"{self.root}/pending", settled)
-        self.events = Ledger(spark, f"{self.root}/events", settled, bucket_by="match_id")
-        self.views = Ledger(spark, f"{self.root}/view", VIEW_SCHEMA)
-        self.dead = Ledger(spark, f"{self.root}/dead", settled)
-        self.poison = Ledger(spark, f"{self.root}/poison", LOG_SCHEMA)
-        self.clock = Ledger(spark, f"{self.root}/clock", clock)
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        both = logs.parsed(batch).persist()
-        try:
-            self._process(both, batch, batch_id)
-        finally:
-            both.unpersist()
-
-    def _process(self, both: DataFrame, batch: DataFrame, batch_id: int) -> None:
-        self.poison.write(both.where("is_poison"), batch_id)
-        ok = both.where(~F.col("is_poison")).select(*LOG_ORDER, F.col("timestamp").alias("arrival"), *logs.ball_fields())
-        failures = F.when(storable(), self.failures).otherwise(retry.MAX_ATTEMPTS)
-        tried = retry.attempts(ok.withColumn("event_sequence", event_sequence()), failures, self.error_class)
-
-        def rows(df: DataFrame) -> DataFrame:
-            return stored_rows(df.withColumn("effective_arrival", F.col("due_at")), *LOG_ORDER, "effective_arrival")
-
-        self.dead.write(rows(retry.exhausted(tried)), batch_id)
-        self.pending.write(rows(retry.settled(tried)), batch_id)
-        self.clock.write(batch.agg(F.max("timestamp").alias("now")), batch_id)
-        self._apply(batch_id)
-
-    def _due(self, batch_id: int) -> DataFrame:
-        """Rows of this batch that are due by its clock, and earlier ones that fell due since the last clock.
-
-        Older pending files are skipped by the range of their due times.
-        """
-        now = self.clock.batch(batch_id).select("now").scalar()
-        last = self.clock.read(before=batch_id).agg(F.max("now")).first()[0]
-        at = F.col("effective_arrival")
-        rows = self.pending.read(before=batch_id + 1)
-        if last is not None:
-            rows = rows.where((F.col(BATCH) == batch_id) | (at > F.lit(last).cast("timestamp_ntz")))
-        return rows.where(F.coalesce(at <= now, F.lit(True)))
-
-    def _apply(self, batch_id: int) -> None:
-        """Store what is due: first write wins, in order of effective arrival."""
-        due = first_arrivals(self._due(batch_id), order=RETRY_ORDER)
-        accepted = due.join(stored_keys(self.events, batch_id, due), BALL_KEY, "left_anti")
-        self.events.write(accepted, batch_id)
-        written = self.events.batch(batch_id).withColumnRenamed("event_ts", "ts")
-        self.views.write(live_view(written, RETRY_ORDER), batch_id)
-
-    def consume(self, deliveries: list[DataFrame]) -> RetryStream:
-        """Work through the deliveries, then let the clock run out for what still waits."""
-        path = f"{self.root}/in"
-        for part in deliveries:
-            deliver(part, path)
-            self.run_available(logs.stream_log(self.spark, path))
-        end = self.clock.read().agg(F.max(BATCH)).first()[0] + 1
-        self.clock.write(self.pending.read().agg(F.max("effective_arrival").alias("now")), end)
-        self._apply(end)
-        return self
-
-    def view(self) -> DataFrame:
-        return self.views.latest(["match_id"])
-
-
 class DeadLetterStream(Stream):
     """Dead letters: notify, then count; every record is consumed."""
 

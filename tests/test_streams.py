@@ -10,8 +10,9 @@ from creaseline.plans import inputs
 from creaseline.plans.streams import CUTS, injected, log_slices
 from creaseline.session import shared_folder
 from creaseline.sources.log import dead_letter_rows, from_broker
-from creaseline.streaming.ingest import RetryStream, ScoreStream
+from creaseline.streaming.ingest import ScoreStream
 from creaseline.streaming.ledger import Stream, arrivals, deliver
+from creaseline.streaming.retries import RetryStream
 
 
 def rows(df):
