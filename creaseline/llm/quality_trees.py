@@ -171,12 +171,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep, fit_rows: int = FIT
         teaching = teaching.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / rows))
     sample = known.join(teaching, "doc_id").orderBy("doc_id").toArrow()
     x = sample["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-    model = spark.sparkContext.broadcast(fit(x, sample["y"].to_numpy().astype(np.float64)))
+    model = fit(x, sample["y"].to_numpy().astype(np.float64))
+    # plain arrays: executors need no class of this package to read them
+    arrays = spark.sparkContext.broadcast((model.base, model.feature, model.threshold, model.leaf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Trees(*arrays.value)
         for batch in batches:
             own = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(own))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(own))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = known.mapInArrow(run, f"doc_id {kind}, score double")

@@ -1,3 +1,4 @@
+import pickle
 import zlib
 
 import numpy as np
@@ -63,3 +64,13 @@ def test_held_out_accuracy(spark):
     good, bad = [s for s, _, y in own if y], [s for s, _, y in own if not y]
     assert np.mean([a > b for a in good for b in bad]) > 0.97
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_the_sent_model_needs_no_package(spark, documents, keep, monkeypatch):
+    sent = []
+    context = spark.sparkContext
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda value: sent.append(pickle.dumps(value)) or broadcast(value))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality long")
+    assert q.quality_scores(documents([(i, f"text {i}") for i in range(20)]), labels, keep).count() == 20
+    assert len(sent) == 1 and b"creaseline" not in sent[0]
