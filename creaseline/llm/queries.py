@@ -82,7 +82,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, pages = shared_folder(spark), table(spark, sf_dir, "pages")
     warc.build_index(warc.write_archives(pages, folder), folder)
-    return warc.page_digests(warc.lookup(pages, folder))
+    return warc.page_digests(warc.lookup(pages, folder), materialize)
 
 
 @query

@@ -18,7 +18,7 @@ import re
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import quote, urlsplit
 
@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from creaseline.llm.common import parts
+
 CAPTURE = "urlkey string, page_id long, file string, offset long, length long"
 ENTRY = "urlkey string, page_id long, file string, offset long, length long"
 ROLL = 256 << 20  # bytes of an archive file
@@ -222,8 +224,8 @@ def _directory(spark: SparkSession, folder: str) -> Iterator[list]:
 def lookup(wanted: DataFrame, folder: str) -> DataFrame:
     """All records of the captures ``(url, page_id)`` in ``wanted``: headers of interest and payload.
 
-    Returns ``page_id, url, record_type, refers_to, payload binary, payload_digest``; payload and its digest are
-    null for a revisit. Keys without a capture give no row, an empty index gives none at all.
+    Returns ``page_id, url, record_type, refers_to, payload binary, payload_digest``; the payload is
+    null for a revisit, the digest is the record's own. Keys without a capture give no row, an empty index gives none at all.
     """
     spark = wanted.sparkSession
     found: DataFrame | None = None
@@ -286,10 +288,11 @@ def _lookup_slice(wanted: DataFrame, folder: str, slice_: list) -> DataFrame:
             for name, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 headers, payload = parse_record(archive.read(name, offset, length))
                 kind = headers["WARC-Type"]
-                own = (payload, payload_digest(payload)) if kind == "response" else (None, None)
-                rows.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], kind, number(headers.get("WARC-Refers-To")), *own))
-                if own[1] and "sha1:" + own[1] != headers["WARC-Payload-Digest"]:
+                digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                if kind == "response" and payload_digest(payload) != digest:
                     raise ValueError(f"damaged record at {offset} of {name}")
+                own = (payload if kind == "response" else None, digest)
+                rows.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], kind, number(headers.get("WARC-Refers-To")), *own))
                 if sum(len(r[4] or b"") for r in rows[-256:]) > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows = []
@@ -297,26 +300,21 @@ def _lookup_slice(wanted: DataFrame, folder: str, slice_: list) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     placed = wanted.select("url", "page_id").distinct().mapInArrow(blocks, "file string, offset long, length long, key string, page_id long")
-    read = placed.repartition("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(captures, "file string, offset long, length long")
+    # as many tasks as the session has for a shuffle: what a task does follows its records, not the bytes of the keys
+    read = placed.repartition(parts(wanted.sparkSession), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(captures, "file string, offset long, length long")
     return read.mapInArrow(records, FOUND)
 
 
-def page_digests(found: DataFrame) -> DataFrame:
-    """One row per record; a revisit shows the payload of the response that it refers to."""
-    rows = found.select(
-        "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest"
-    )
-    # the records are read once for both sides
-    named = rows.withColumn("of", F.coalesce("refers_to", "page_id"))
-    responses = (
-        rows.where("record_type = 'response'")
-        .groupBy(F.col("page_id").alias("of"))
-        .agg(F.min("payload_bytes").alias("full_bytes"), F.min("payload_digest").alias("full_digest"))
-    )
-    return named.join(responses, named["of"].eqNullSafe(responses["of"]), "left").select(
-        "page_id",
-        F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "full_digest").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+def page_digests(found: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row per record; a revisit shows the payload of the response that it refers to.
+
+    That is a record of the page with the revisit's own payload digest: pages that share an id may differ in payload.
+    ``keep`` writes the records' rows, without payloads, so that they are read once.
+    """
+    size = F.octet_length("payload").cast("long").alias("payload_bytes")
+    rows = keep(found.select("page_id", "record_type", "refers_to", size, "payload_digest"))
+    responses = rows.where("record_type = 'response'")
+    sizes = responses.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("with")).agg(F.min("payload_bytes").alias("payload_bytes"))
+    revisits = rows.where("record_type = 'revisit'").drop("payload_bytes")
+    same = revisits["refers_to"].eqNullSafe(sizes["of"]) & (revisits["payload_digest"] == sizes["with"])
+    return responses.unionByName(revisits.join(sizes, same, "left").drop("of", "with")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

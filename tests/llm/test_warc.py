@@ -39,13 +39,13 @@ ROWS += [(i, "http://hot.example.org/", "same") for i in range(60, 90)]
 
 @pytest.mark.parametrize("slice_", [2, 50_000])
 @pytest.mark.parametrize("least", [0, 100])
-def test_round_trip(spark, monkeypatch, least, slice_):
+def test_round_trip(spark, keep, monkeypatch, least, slice_):
     monkeypatch.setattr(warc, "DIRECTORY_SLICE", slice_)
     folder = shared_folder(spark)
     pages, captures, directory = build(spark, ROWS, folder, least=least)
     assert captures.count() == len(ROWS) and directory.count() > 10
     found = warc.lookup(pages, folder)
-    got = warc.page_digests(found).collect()
+    got = warc.page_digests(found, keep).collect()
     assert sorted([tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got], key=str) == want(ROWS, least)
     payloads = {r.page_id: bytes(r.payload).decode() for r in found.collect() if r.record_type == "response"}
     assert all((h or "") == payloads[i] for i, _, h in ROWS if i in payloads)
@@ -78,17 +78,25 @@ def test_keys_without_a_capture(spark):
     assert sorted(r.page_id for r in warc.lookup(wanted, folder).collect()) == [3, 50]
 
 
-def test_null_page_id_and_empty_table(spark):
+def test_null_page_id_and_empty_table(spark, keep):
     folder = shared_folder(spark)
     rows = [(None, "http://a.example/", "q"), (4, "http://b.example/", "q"), (None, "http://c.example/", "only")]
     pages, _, _ = build(spark, rows, folder)
-    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.page_digests(warc.lookup(pages, folder)).collect()}
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.page_digests(warc.lookup(pages, folder), keep).collect()}
     assert got == {(None, "revisit", 4, 1), (4, "response", None, 1), (None, "response", None, 4)}
     empty = shared_folder(spark)
     pages, captures, _ = build(spark, [], empty)
     assert captures.count() == warc.lookup(pages, empty).count() == 0
 
 
+def test_one_page_id_with_two_payloads(spark, keep):
+    rows = [(1, "http://a.example/", "AAAA"), (1, "http://a.example/", "BBBBBBBB"), (2, "http://b.example/", "BBBBBBBB"), (3, "http://c.example/", "AAAA"), (1, "http://d.example/", "AAAA")]
+    folder = shared_folder(spark)
+    pages, _, _ = build(spark, rows, folder)
+    got = warc.page_digests(warc.lookup(pages, folder), keep).collect()
+    assert sorted([tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got], key=str) == want(rows)
+
+
 def test_url_keys():
     assert warc.url_key("HTTPS://User@WWW.Example.COM:8080/A b?z=1&a=2#f") == "com,example,www)/A%20b?a=2&z=1"
     assert warc.url_key("http://example.com") == "com,example)/"
