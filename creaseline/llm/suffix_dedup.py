@@ -9,7 +9,7 @@ hash only decides where strings meet; what is removed follows from the suffix ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from creaseline.llm.common import slices, texts
 from creaseline.llm.suffix_array import common_prefixes, suffix_ranks
+from creaseline.session import materialize
 
 LENGTH = 100
 GRAM = 20
@@ -80,7 +81,7 @@ def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return own.view(np.int64), starts, counts, np.isin(own, twice) if len(twice) else np.zeros(len(own), bool)
 
 
-PLACES = "hash long, doc_id long, place long"
+PLACES = "hash long, doc_id long, more long, place long"
 #: Bits of a hash that are given to flags: the segment is known to repeat; it is not its batch's first.
 KNOWN, LATER = 1, 2
 
@@ -119,8 +120,10 @@ def _places(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
         flags = np.empty(len(base), np.int64)
         flags[order] = np.where(later, LATER, 0) | np.where(later | np.append(later[1:], False), KNOWN, 0)
         flags |= np.where(periodic, KNOWN, 0)
+        owner = pa.array(owner)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(base | flags), batch.column("doc_id").take(pa.array(owner)), pa.array(place)], ["hash", "doc_id", "place"]
+            [pa.array(base | flags), batch.column("doc_id").take(owner), batch.column("more").take(owner), pa.array(place)],
+            ["hash", "doc_id", "more", "place"],
         )
 
 
@@ -132,7 +135,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(batch: pa.RecordBatch, hit: np.ndarray) -> pa.RecordBatch:
         batch = batch.filter(pa.array(hit))
         clean = batch.column("hash").to_numpy(zero_copy_only=False) & ~np.int64(KNOWN | LATER)
-        return pa.RecordBatch.from_arrays([pa.array(clean), batch.column("doc_id"), batch.column("place")], ["hash", "doc_id", "place"])
+        rest = {name: batch.column(name) for name in ("doc_id", "more", "place")}
+        return pa.RecordBatch.from_pydict({"hash": pa.array(clean)} | rest)
 
     for batch in batches:
         if batch.num_rows == 0:
@@ -149,27 +153,33 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held, np.array([True]))
 
 
-SEGMENT = "hash long, doc_id long, place long, bytes binary"
+SEGMENT = "hash long, doc_id long, more long, place long, bytes binary"
 
 
-def _order(doc_id: int | None, place: int) -> tuple:
-    """Which of two places is earlier; a null doc_id is the last."""
-    return doc_id is None, doc_id or 0, place >> START_AT
+def _text(doc_id: int | None, more: int | None, place: int) -> tuple:
+    """Which text a place is in, in the order of the texts; a null doc_id is the last."""
+    return doc_id is None, doc_id or 0, more or 0, place >> TAG_AT
+
+
+def _order(doc_id: int | None, more: int | None, place: int) -> tuple:
+    """Which of two places is earlier."""
+    return *_text(doc_id, more, place), place >> START_AT
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The texts of the listed segments. Of equal segments in a batch all but the first are sent without text: their
     strings start earlier, in the one that is sent."""
-    names, kinds = ["hash", "doc_id", "place", "bytes"], [pa.int64()] * 3 + [pa.binary()]
+    names, kinds = ["hash", "doc_id", "more", "place", "bytes"], [pa.int64()] * 4 + [pa.binary()]
     for batch in slices(batches, "packed", 8 << 20):
         first: dict[tuple[int, bytes], tuple] = {}
         rows = []
-        for doc_id, raw, wanted in zip(batch.column("doc_id").to_pylist(), _unpacked(batch), batch.column("wanted").to_pylist(), strict=True):
+        ids, mores = batch.column("doc_id").to_pylist(), batch.column("more").to_pylist()
+        for doc_id, more, raw, wanted in zip(ids, mores, _unpacked(batch), batch.column("wanted").to_pylist(), strict=True):
             for entry in wanted or []:
                 place, hash_ = entry["place"], entry["hash"]
                 start, strings = place >> START_AT & LAST_START, place & MOST
                 own = raw[start : start + strings + length - 1]
-                mine = doc_id, place
+                mine = doc_id, more, place
                 other = first.setdefault((hash_, own), mine)
                 if other is mine or other == mine:
                     continue
@@ -183,22 +193,22 @@ def _texts_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
 
 #: ``at``: the text's tag and the first byte to go; ``stop``: the byte behind the last.
-RUN = "doc_id long, at long, stop long"
+RUN = "doc_id long, more long, at long, stop long"
 
 
 def shard_repeats(held: list[tuple], length: int) -> Iterator[tuple]:
-    """Runs of bytes to remove, as RUN, for the segments ``(doc_id, place, bytes)`` of a shard."""
-    held = sorted(held, key=lambda r: (r[2], _order(*r[:2])))
+    """Runs of bytes to remove, as RUN, for the segments ``(doc_id, more, place, bytes)`` of a shard."""
+    held = sorted(held, key=lambda r: (r[3], _order(*r[:3])))
     distinct = []
     for row in held:  # an equal segment starts earlier as a whole
-        if distinct and distinct[-1][2] == row[2]:
+        if distinct and distinct[-1][3] == row[3]:
             if row != distinct[-1]:  # a repeated row is the same document
-                yield whole(*row[:2], len(row[2]))
+                yield whole(*row[:3], len(row[3]))
         else:
             distinct.append(row)
-    distinct.sort(key=lambda r: _order(*r[:2]))
-    text = np.frombuffer(b"".join(r[2] for r in distinct), np.uint8)
-    sizes = np.array([len(r[2]) for r in distinct])
+    distinct.sort(key=lambda r: _order(*r[:3]))
+    text = np.frombuffer(b"".join(r[3] for r in distinct), np.uint8)
+    sizes = np.array([len(r[3]) for r in distinct])
     strings = sizes - length + 1
     begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(distinct)), strings)
@@ -209,8 +219,8 @@ def shard_repeats(held: list[tuple], length: int) -> Iterator[tuple]:
     before[order[1:]] = places[order[:-1]]
     shares = common_prefixes(text, places, before, length)
     # earliest string of each group of equal ones; documents are numbered in their order
-    at = np.array([r[1] >> START_AT for r in distinct])
-    documents = np.cumsum([0] + [(a[0], a[1] >> TAG_AT) != (b[0], b[1] >> TAG_AT) for a, b in zip(distinct, distinct[1:], strict=False)])
+    at = np.array([r[2] >> START_AT for r in distinct])
+    documents = np.cumsum([0] + [_text(*a[:3]) != _text(*b[:3]) for a, b in zip(distinct, distinct[1:], strict=False)])
     when = documents[owner] * FAR + (at & LAST_START)[owner] + into
     heads = np.flatnonzero(~shares[order])
     earliest = np.minimum.reduceat(when[order], heads)
@@ -222,11 +232,11 @@ def shard_repeats(held: list[tuple], length: int) -> Iterator[tuple]:
     breaks = np.flatnonzero((np.diff(hits) != 1) | (owner[hits[1:]] != owner[hits[:-1]]))
     for a, b in zip(hits[np.append(0, breaks + 1)].tolist(), hits[np.append(breaks, len(hits) - 1)].tolist(), strict=True):
         first = int(at[owner[a]])
-        yield distinct[owner[a]][0], first + int(into[a]), (first & LAST_START) + int(into[b]) + length
+        yield *distinct[owner[a]][:2], first + int(into[a]), (first & LAST_START) + int(into[b]) + length
 
 
-def whole(doc_id: int | None, place: int, size: int) -> tuple:
-    return doc_id, place >> START_AT, (place >> START_AT & LAST_START) + size
+def whole(doc_id: int | None, more: int | None, place: int, size: int) -> tuple:
+    return doc_id, more, place >> START_AT, (place >> START_AT & LAST_START) + size
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -236,18 +246,18 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterat
 
     def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "at", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "more", "at", "stop"])
 
     for batch in batches:
         done = []
-        for hash_, doc_id, place, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for hash_, doc_id, more, place, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own is None:
-                done.append(whole(doc_id, place, (place & MOST) + length - 1))
+                done.append(whole(doc_id, more, place, (place & MOST) + length - 1))
                 continue
             if total >= size and hash_ != last:
                 done += shard_repeats(held, length)
                 held, total = [], 0
-            held.append((doc_id, place, own))
+            held.append((doc_id, more, place, own))
             total, last = total + len(own), hash_
         yield from packed(done)
     if held:
@@ -275,15 +285,27 @@ def _keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out)
 
 
+def _told_apart(named: DataFrame, keep: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """``named`` with ``more``, a second digest of the text where the doc_id has several texts or is null."""
+    digest = F.xxhash64(F.lit(LENGTH), "text")
+    shared = named.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest")).groupBy(F.col("doc_id").alias("shared"))
+    shared = (keep or materialize)(shared.agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("shared"))
+    if shared.isEmpty():
+        return named.withColumn("more", F.when(F.col("doc_id").isNull(), digest))
+    joined = named.join(shared, named["doc_id"] == shared["shared"], "left")
+    return joined.withColumn("more", F.when(F.col("shared").isNotNull() | F.col("doc_id").isNull(), digest)).drop("shared")
+
+
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, carry: bool = False
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, carry: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """``doc_id, kept binary, spans array<struct<start, stop>>`` of every row of ``docs``.
 
     A byte goes if some string of ``length`` bytes over it also starts earlier: in a smaller doc_id, or earlier in the
     same text. Strings are judged on the input. Texts are compared as UTF-8 bytes, so ``kept`` may begin or end inside a
-    character. Null texts count as empty. Rows equal in doc_id and text are one document and all get its result;
-    different texts under one doc_id are told apart, and ordered, by 21 bits of their digest; a null doc_id comes last.
+    character. Null texts count as empty. Rows equal in doc_id and text are one document and all get its result; a null
+    doc_id comes last. Different texts under one doc_id, or under none, are told apart and ordered by 85 bits of two
+    digests; where an id has one text, the second digest is left out of what is shuffled.
 
     With ``carry`` there are two more columns: ``record``, the row of ``docs`` but for its text, and ``rest``, the kept
     bytes as a text without broken characters. The texts are shuffled once and read by both joins.
@@ -295,29 +317,31 @@ def remove_repeats(
         F.xxhash64("text").bitwiseAND(F.lit(LAST_TAG)).alias("tag"),
         *(["record"] if carry else []),
     )
+    named = _told_apart(named, keep)
     record = f"record {named.schema['record'].dataType.simpleString()}, " if carry else ""
-    packed = named.mapInArrow(_packs, f"doc_id long, tag long, {record}packed binary, size long")
+    packed = named.mapInArrow(_packs, f"doc_id long, tag long, {record}more long, packed binary, size long")
 
     def spread(hash_: F.Column, anywhere: F.Column) -> F.Column:
         """The hash's task, but for rows that need not meet others: a common passage does not gather in one task."""
-        return F.when(anywhere, F.xxhash64("doc_id", "place")).otherwise(hash_)
+        return F.when(anywhere, F.xxhash64("doc_id", "more", "place")).otherwise(hash_)
 
-    placed = named.select("doc_id", "text", "tag").mapInArrow(lambda b: _places(b, length, gram), PLACES)
+    placed = named.select("doc_id", "more", "text", "tag").mapInArrow(lambda b: _places(b, length, gram), PLACES)
     dealt = placed.repartition(spread(F.shiftright("hash", 2), F.col("hash").bitwiseAND(F.lit(LATER)) != 0))
     repeated = dealt.sortWithinPartitions("hash").mapInArrow(_repeated, PLACES)
     wanted = (
-        repeated.groupBy(F.col("doc_id").alias("of"), F.shiftrightunsigned("place", TAG_AT).alias("with"))
+        repeated.groupBy(F.col("doc_id").alias("of"), F.col("more").alias("and"), F.shiftrightunsigned("place", TAG_AT).alias("with"))
         .agg(F.collect_list(F.struct("place", "hash")).alias("wanted"))
     )  # as long as the document
 
     def beside(listed: DataFrame) -> DataFrame:
-        return packed.join(listed, packed["doc_id"].eqNullSafe(listed["of"]) & (packed["tag"] == listed["with"]), "left").drop("of", "with")
+        same = packed["doc_id"].eqNullSafe(listed["of"]) & packed["more"].eqNullSafe(listed["and"]) & (packed["tag"] == listed["with"])
+        return packed.join(listed, same, "left").drop("of", "and", "with")
 
     sent = beside(wanted).mapInArrow(lambda b: _texts_of(b, length), SEGMENT)
     shards = sent.repartition(spread(F.col("hash"), F.col("bytes").isNull())).sortWithinPartitions("hash")
     runs = shards.mapInArrow(lambda b: _shards(b, length, shard), RUN)
     listed = (
-        runs.groupBy(F.col("doc_id").alias("of"), F.shiftrightunsigned("at", TAG_AT - START_AT).alias("with"))
+        runs.groupBy(F.col("doc_id").alias("of"), F.col("more").alias("and"), F.shiftrightunsigned("at", TAG_AT - START_AT).alias("with"))
         .agg(F.collect_list(F.struct("at", "stop")).alias("runs"))
     )
     more = f", {record}rest string" if carry else ""

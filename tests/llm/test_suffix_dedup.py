@@ -106,3 +106,20 @@ def test_query_against_brute_force(spark, data, corpus):
         kept, spans = want[r.doc_id]
         raw = corpus[r.doc_id].encode()
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_thousands_of_texts_under_one_id_or_none(documents, keep, one_id):
+    """Far more texts than their first digest tells apart; each passage of two texts leaves one of them, whichever is first."""
+    draw = random.Random(4)
+    fresh = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=130)) for _ in range(12_000)]
+    shared = ["".join(draw.choices("ABCDEFGH", k=150)) for _ in range(40)]
+    texts = [fresh[i] + "<("[i % 2] + (shared[i // 2] if i < 80 else "") + ">)"[i % 2] + fresh[i][:20] for i in range(len(fresh))]
+    out = suffix_dedup.remove_repeats(documents([(one_id, t) for t in texts] + [(3, texts[-1])]), keep=keep).collect()
+    assert len(out) == len(texts) + 1
+    lost = sorted((s.start, s.stop) for r in out for s in r.spans)
+    whole = len(texts[-1])
+    # the copy under another id is the only one that loses a whole text
+    assert lost.count((0, whole)) == 1 and lost.count((131, 281)) == 40 and len(lost) == 41
+    kept = {bytes(r.kept).decode() for r in out}
+    assert all((t in kept) + (t[:131] + t[281:] in kept) == 1 for t in texts[:80]) and set(texts[80:]) <= kept
