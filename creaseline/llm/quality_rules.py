@@ -284,9 +284,35 @@ class Scorer:
         return out
 
     def losses(self, codes: np.ndarray) -> tuple[float, float]:
-        """Minus the mean logarithm of a character's probability, with the text's own n-grams and apart from them."""
-        found = self._find(self.order, gram_hashes(codes, self.order))
-        return tuple(-float(self.logs(codes, apart, found).mean(dtype=np.float64)) for apart in (False, True))
+        """Minus the mean logarithm of a character's probability, with the text's own n-grams and apart from them.
+
+        Each n-gram is looked up once. What other texts hold is known at all, so the places that are open apart
+        hold those that are open otherwise (``mine``).
+        """
+        n = max(0, len(codes) - self.order + 1)
+        whole, apart = np.zeros(n), np.zeros(n)
+        open_, mine = np.arange(n), np.ones(n, bool)
+        hashes = gram_hashes(codes, self.order)
+        for width in range(self.order, 0, -1):
+            if len(open_) == 0:
+                break
+            _, logp, _, raw, _ = self.tables[width]
+            at, hit = self._find(width, hashes[self.order - width :][open_])
+            own, other = hit & mine, self._elsewhere(raw, at, hit)
+            whole[open_[own]] += logp[at[own]]
+            apart[open_[other]] += logp[at[other]]
+            stay = ~other
+            open_, mine = open_[stay], (mine & ~hit)[stay]
+            if width > 1 and len(open_):
+                _, _, backoff, _, before = self.tables[width - 1]
+                hashes = gram_hashes(codes, width - 1)  # of the contexts here, of the n-grams in the next round
+                at, hit = self._find(width - 1, hashes[self.order - width :][open_])
+                own, other = hit & mine, self._elsewhere(before, at, hit)
+                whole[open_[own]] += backoff[at[own]]
+                apart[open_[other]] += backoff[at[other]]
+        whole[open_[mine]] += self.unseen
+        apart[open_] += self.unseen
+        return -float(whole.mean(dtype=np.float64)), -float(apart.mean(dtype=np.float64))
 
 
 def _arrays(model: DataFrame) -> dict[str, list]:
@@ -321,13 +347,16 @@ def _arrays(model: DataFrame) -> dict[str, list]:
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_ROWS) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_ROWS, carry: bool = False) -> DataFrame:
     """The columns of STATS with ``doc_id``, ``lang`` and ``loss``: minus the mean logarithm of a character's probability.
 
     ``apart`` is the same with every n-gram that no other text of the model holds taken as unseen. Both are null for a text of fewer than ``order`` characters. Null texts count as empty, a null language is a
-    language of its own; repeated rows give repeated rows.
+    language of its own; repeated rows give repeated rows. With ``carry`` there are ``text`` and ``record``, the row of
+    ``docs`` but for its text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    others = [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns if c != "text"]
+    record = [F.struct(*others).alias("record")] if carry else []
     sent = docs.sparkSession.sparkContext.broadcast(_arrays(model)) if model.count() <= send_rows else None
     schema = f"doc_id {kind}, lang string, digest long, {', '.join(f'{c} long' for c in STATS)}, loss double, apart double"
 
@@ -342,11 +371,17 @@ def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_R
                     scorer = scorers.get(lang) or scorers.setdefault(lang, Scorer([], order))
                     losses[i] = scorer.losses(code_points(own))
             stats = [pa.array(c) for c in text_stats(several)]
-            known = [batch.column(c) for c in ("doc_id", "lang", "digest")]
-            yield pa.RecordBatch.from_arrays([*known, *stats, *[pa.array(c, pa.float64()) for c in zip(*losses, strict=True)]], ["doc_id", "lang", "digest", *STATS, "loss", "apart"])
+            known, more = ([batch.column(c) for c in names] for names in (("doc_id", "lang", "digest"), carried))
+            yield pa.RecordBatch.from_arrays(
+                [*known, *stats, *[pa.array(c, pa.float64()) for c in zip(*losses, strict=True)], *more], ["doc_id", "lang", "digest", *STATS, "loss", "apart", *carried]
+            )
 
+    carried = ["text", "record"] if carry else []
     digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
-    named = texts(docs, F.coalesce("lang", F.lit("")).alias("lang"), digest).select("doc_id", "lang", "digest", "text")
+    named = texts(docs, F.coalesce("lang", F.lit("")).alias("lang"), digest, *record)
+    if carry:
+        schema += f", text string, record {named.schema['record'].dataType.simpleString()}"
+    named = named.select("doc_id", "lang", "digest", "text", *(["record"] if carry else []))
     scored = named.mapInArrow(run, schema)
     return (scored if sent else _joined(named, scored.drop("loss", "apart"), model, order)).drop("digest")
 
@@ -467,10 +502,11 @@ def judge(scored: DataFrame, keep, bands: dict[str, tuple[float, float, float]]
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.expr("loss between lower and upper"), F.lit(True)))
 
 
-def quality_rules(docs: DataFrame, keep, order: int = ORDER, send_rows: int = SEND_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, keep, order: int = ORDER, send_rows: int = SEND_ROWS, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: STATS, ``loss``, ``base_failed``, ``lower``, ``upper``, ``kept``.
 
-    ``keep`` writes a table to shared storage and reads it back.
+    ``keep`` writes a table to shared storage and reads it back. With ``carry`` each row has its ``text`` and, as ``record``,
+    its other columns, so that a verdict needs no join to be put into effect.
     """
     model = keep(kneser_ney(keep(count_grams(docs, order)), order, keep))
-    return judge(keep(score(docs, model, order, send_rows)), keep)
+    return judge(keep(score(docs, model, order, send_rows, carry)), keep)
