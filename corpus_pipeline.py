@@ -25,23 +25,22 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.struct(*own, F.col("lang").alias("lang")))
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def _only(docs: DataFrame, ids: DataFrame, how: str, hint: str | None = None) -> DataFrame:
     """The rows of a named table whose name is listed (``left_semi``) or not (``left_anti``). The list is written first,
     so that Spark knows whether it is small."""
     listed = materialize(ids.select(F.col("doc_id").alias("__listed")).distinct())
-    return docs.join(listed, docs["doc_id"] == listed["__listed"], how)
+    return docs.join(listed.hint(hint) if hint else listed, docs["doc_id"] == listed["__listed"], how)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, ids: DataFrame, hint: str | None = None) -> DataFrame:
     """The rows of a named table whose name is not listed, under their own ids."""
-    return _only(docs, ids, "left_anti").withColumn("doc_id", F.col("doc_id.id"))
+    return _only(docs, ids, "left_anti", hint).withColumn("doc_id", F.col("doc_id.id"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules or leave their language's perplexity band go."""
-    docs = _named(docs)
-    judged = quality_rules.quality_rules(docs, materialize)
-    return _without(docs, judged.where(~F.col("kept")))
+    kept = quality_rules.quality_rules(docs, materialize, carry=True).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("record").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.col("doc_id") == F.col("component_id")
     # equal rows are few; only they are put side by side
     again = materialize(found.where(first).groupBy("doc_id").count().where("count > 1"))
-    once = _without(named, found.where(~first).select("doc_id").unionByName(again.select("doc_id")))
+    # the list of copies grows with the corpus, so both sides are shuffled at every size
+    once = _without(named, found.where(~first).select("doc_id").unionByName(again.select("doc_id")), "merge")
     several = _only(named, again, "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*[f"`{c.replace('`', '``')}`" for c in docs.columns])))
     one = several.withColumn("__number", F.row_number().over(order)).where("__number = 1").drop("__number")
