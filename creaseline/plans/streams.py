@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from creaseline.operators import retry
+from creaseline.operators.buckets import BucketTable
 from creaseline.operators.replay import replay_log
 from creaseline.operators.store import first_arrivals
 from creaseline.operators.view import live_view
@@ -230,7 +231,8 @@ APPLIED_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o
 @query("st7_change_apply", APPLIED_SQL)
 def change_apply(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return apply_change_table(orders, changes.order_changes(orders).where("sequence > 0"))
+    stored = BucketTable.create(orders, ["o_orderkey"])
+    return apply_change_table(stored, changes.order_changes(orders).where("sequence > 0")).read()
 
 
 @query("st7_change_apply_stream", APPLIED_SQL)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creaseline.operators import retry, writes
+from creaseline.operators.buckets import BucketTable
 from creaseline.operators.replay import replay_log
 from creaseline.operators.store import accept, first_arrivals, stored_rows, to_items
 from creaseline.operators.transfers import guarded_transfers
-from creaseline.operators.view import live_view, upsert_view
+from creaseline.operators.view import live_view
 from creaseline.plans import inputs
 from creaseline.plans.inputs import SQL_ACCEPTED, SQL_BALLS, SQL_FEED, SQL_LOG, SQL_VIEW
 from creaseline.plans.registry import query
@@ -95,7 +96,9 @@ def against_store(spark, folder):
 def live_view_upsert(spark, folder):
     stored, batch = halves(spark, folder)
     accepted, _ = accept(batch, stored, order=ARRIVAL_ORDER)
-    return upsert_view(live_view(stored, ARRIVAL_ORDER), live_view(accepted, ARRIVAL_ORDER))
+    view = BucketTable.create(live_view(stored, ARRIVAL_ORDER), ["match_id"])
+    view.upsert(live_view(accepted, ARRIVAL_ORDER))
+    return view.read()
 
 
 RETRY_FAILURES = "CASE WHEN src_id % 97 = 0 THEN 4 WHEN src_id % 31 = 0 THEN 2 ELSE 0 END"
@@ -235,7 +238,9 @@ def document_upsert(spark, folder):
     titled = feed.select(F.col("change_key").alias("match_key"), "sequence", "op", F.col("after.o_orderstatus").alias("status")).join(
         docs.select("match_key", "title"), "match_key"
     )
-    return materialize(writes.apply_changes(docs, titled, "match_key", "sequence", ["title", "status"]))
+    stored = BucketTable.create(docs, ["match_key"])
+    stored.apply_changes(titled, "sequence", ["title", "status"])
+    return stored.read()
 
 
 def layout(spark, folder, df, by, measures):
@@ -330,13 +335,20 @@ def export_items(spark, folder):
 STORE_SHORT = "match_id, event_sequence, event_id"
 
 
+def event_table(spark, folder):
+    """The event store in buckets of its matches."""
+    return BucketTable.create(store(spark, folder), ["match_id"])
+
+
 @query(
     "k12_delete_by_key",
     SQL_ACCEPTED + f"SELECT {STORE_SHORT} FROM accepted WHERE NOT (match_id = '{MATCH}' AND event_sequence = '1#03#4')",
 )
 def delete_by_key(spark, folder):
     key = (F.col("match_id") == MATCH) & (F.col("event_sequence") == "1#03#4")
-    return materialize(writes.delete_where(store(spark, folder), key)).select("match_id", "event_sequence", "event_id")
+    events = event_table(spark, folder)
+    events.delete_where(key)
+    return events.read().select("match_id", "event_sequence", "event_id")
 
 
 @query(
@@ -348,26 +360,30 @@ def delete_by_key(spark, folder):
 def delete_key_list(spark, folder):
     errors = table(spark, folder, "events").where("event_type = 'error' AND value > 150")
     keys = errors.select(F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("match_id"))
-    kept = materialize(writes.delete_keys(store(spark, folder), keys, ["match_id"]))
-    return kept.select("match_id", "event_sequence", "event_id")
+    events = event_table(spark, folder)
+    events.delete_keys(keys)
+    return events.read().select("match_id", "event_sequence", "event_id")
 
 
 @query("k12_delete_conditional", SQL_ACCEPTED + f"SELECT {STORE_SHORT} FROM accepted WHERE extras IS NULL OR extras <> 2")
 def delete_conditional(spark, folder):
-    kept = materialize(writes.delete_where(store(spark, folder), F.col("extras") == 2))
-    return kept.select("match_id", "event_sequence", "event_id")
+    events = event_table(spark, folder)
+    events.delete_where(F.col("extras") == 2)
+    return events.read().select("match_id", "event_sequence", "event_id")
 
 
 @query("k12_delete_match", SQL_ACCEPTED + f"SELECT {STORE_SHORT} FROM accepted WHERE match_id <> '{MATCH}'")
 def delete_match(spark, folder):
-    kept = materialize(writes.delete_where(store(spark, folder), F.col("match_id") == MATCH))
-    return kept.select("match_id", "event_sequence", "event_id")
+    events = event_table(spark, folder)
+    events.delete_keys(spark.range(1).select(F.lit(MATCH).alias("match_id")))
+    return events.read().select("match_id", "event_sequence", "event_id")
 
 
 @query("k12_delete_by_status", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
 def delete_by_status(spark, folder):
-    orders = materialize(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"))
-    return materialize(writes.delete_where(orders, F.col("o_orderstatus") == "F"))
+    orders = BucketTable.create(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    orders.delete_where(F.col("o_orderstatus") == "F")
+    return orders.read()
 
 
 @query(
@@ -376,9 +392,10 @@ def delete_by_status(spark, folder):
     FROM orders""",
 )
 def bulk_update(spark, folder):
-    orders = materialize(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"))
+    orders = BucketTable.create(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderkey"])
     old = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
-    return materialize(writes.update_where(orders, old, {"o_orderstatus": F.lit("ARCHIVED")})).drop("o_orderdate")
+    orders.update_where(old, {"o_orderstatus": F.lit("ARCHIVED")})
+    return orders.read().drop("o_orderdate")
 
 
 @query(
@@ -388,8 +405,9 @@ def bulk_update(spark, folder):
 )
 def update_in_list(spark, folder):
     keys = table(spark, folder, "lineitem").where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    return materialize(writes.update_keys(orders, keys, "o_orderkey", {"o_orderstatus": F.lit("BULK")}))
+    orders = BucketTable.create(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    orders.update_keys(keys, {"o_orderstatus": F.lit("BULK")})
+    return orders.read()
 
 
 def versioned_orders(spark, folder):
@@ -412,8 +430,9 @@ VERSION_SQL = "o_orderkey % 5 = 0 AND o_orderkey % 3 = o_orderkey % 4"
     CASE WHEN {VERSION_SQL} THEN 'X' ELSE o_orderstatus END AS value FROM orders""",
 )
 def versioned_update(spark, folder):
-    new, _ = writes.versioned_update(versioned_orders(spark, folder), order_updates(spark, folder), "o_orderkey", "version")
-    return materialize(new)
+    orders = BucketTable.create(versioned_orders(spark, folder), ["o_orderkey"])
+    orders.versioned_update(order_updates(spark, folder), "version")
+    return orders.read()
 
 
 @query(
@@ -422,10 +441,8 @@ def versioned_update(spark, folder):
     CASE WHEN {VERSION_SQL} THEN 'applied' ELSE 'rejected' END AS outcome FROM orders WHERE o_orderkey % 5 = 0""",
 )
 def update_outcomes(spark, folder):
-    _, outcomes = writes.versioned_update(
-        versioned_orders(spark, folder), order_updates(spark, folder), "o_orderkey", "version"
-    )
-    return outcomes
+    orders = BucketTable.create(versioned_orders(spark, folder), ["o_orderkey"])
+    return orders.versioned_update(order_updates(spark, folder), "version")
 
 
 @query("k15_guarded_transfer")
@@ -456,7 +473,9 @@ def soft_delete(spark, folder):
         "c_custkey", "c_acctbal", F.lit(False).alias("deleted"), F.lit(None).cast("timestamp_ntz").alias("deleted_at")
     )
     gone = {"deleted": F.lit(True), "deleted_at": F.lit("2024-02-01").cast("timestamp_ntz")}
-    return materialize(writes.update_where(rows, F.col("c_acctbal") < 0, gone)).drop("c_acctbal")
+    customers = BucketTable.create(rows, ["c_custkey"])
+    customers.update_where(F.col("c_acctbal") < 0, gone)
+    return customers.read().drop("c_acctbal")
 
 
 @query(
@@ -467,4 +486,6 @@ def in_place_migration(spark, folder):
     rows = table(spark, folder, "customer").select(
         "c_custkey", F.col("c_name").alias("email"), (F.col("c_custkey") % 4 == 0).alias("migrated")
     )
-    return materialize(writes.update_where(rows, ~F.col("migrated"), {"email": F.lower("email"), "migrated": F.lit(True)}))
+    customers = BucketTable.create(rows, ["c_custkey"])
+    customers.update_where(~F.col("migrated"), {"email": F.lower("email"), "migrated": F.lit(True)})
+    return customers.read()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from creaseline.operators import writes
+from creaseline.operators.buckets import BucketTable
 from creaseline.session import shared_folder
 from creaseline.sources import changes
 from creaseline.streaming.ledger import Ledger, Stream, deliver, run_available
@@ -129,8 +129,8 @@ def refresh_days(spark: SparkSession, old: DataFrame, new: DataFrame, summarize:
     return spark.read.schema(first.schema).parquet(path)
 
 
-def apply_change_table(df: DataFrame, log: DataFrame) -> DataFrame:
-    """Batch form of the change feed, onto a table with the same key."""
+def apply_change_table(stored: BucketTable, log: DataFrame) -> BucketTable:
+    """Batch form of the change feed, onto a stored table with the same key; only buckets of changed keys are written."""
     decoded = changes.read_changes(log).select(
         F.col("change_key").alias("o_orderkey"),
         "sequence",
@@ -138,4 +138,5 @@ def apply_change_table(df: DataFrame, log: DataFrame) -> DataFrame:
         F.col("after.o_orderstatus").alias("o_orderstatus"),
         F.col("after.o_totalprice").alias("o_totalprice"),
     )
-    return writes.apply_changes(df, decoded, "o_orderkey", "sequence", ["o_orderstatus", "o_totalprice"])
+    stored.apply_changes(decoded, "sequence", ["o_orderstatus", "o_totalprice"])
+    return stored
