@@ -2,13 +2,18 @@
 
 The cache is a Parquet table ``(content_digest, tokenizer_digest, n_tokens)``. Only contents that it lacks are
 encoded, each distinct one once, and appended; counts come from joining the documents' digests with the table.
+
+A byte-level tokenizer cuts a text into pieces and encodes these one by one, so a task asks the library for the count of
+each distinct piece once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import importlib.metadata
+import json
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,6 +36,64 @@ def tokenizer_digest(tokenizer: str) -> str:
     return hashlib.sha256(f"{library} {importlib.metadata.version(library)} {content}".encode()).hexdigest()
 
 
+#: The rule by which a byte-level tokenizer cuts a text into pieces that it then encodes one by one.
+PIECE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that are tried one by one; texts with others go to the library whole.
+TRIED = [*range(0x300), *range(0x2000, 0x2070), *range(0x20A0, 0x20C0)]
+
+
+class PieceCounts:
+    """Token counts of texts from those of their distinct pieces, at most ``limit`` of which are kept between texts.
+
+    Only for a tokenizer that encodes pieces one by one, and for texts of characters that it cuts by the rule; other
+    texts, and those with a special string, are encoded whole.
+    """
+
+    def __init__(self, library, limit: int = 300_000):
+        import regex
+
+        self.library, self.limit = library, limit
+        self.known: dict[str, int] = {}
+        self.pieces = regex.compile(PIECE).findall
+        self.whole = None
+        if self._piecewise(json.loads(library.to_str())):
+            same = "".join(chr(c) for c in TRIED if self._cut_alike(chr(c)))
+            special = [regex.escape(token.content) for token in library.get_added_tokens_decoder().values()]
+            self.whole = regex.compile("|".join([f"[^{regex.escape(same, special_only=False)}]", *special])).search if same else None
+
+    @staticmethod
+    def _piecewise(spec: dict) -> bool:
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+        bytes_ = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        return spec["normalizer"] is None and bool(bytes_) and model["type"] == "BPE" and plain
+
+    def _cut_alike(self, c: str) -> bool:
+        probe = f"a{c}{c} {c}b 1{c}2 '{c}  {c}\n{c}"
+        own = list(accumulate((len(p) for p in self.pieces(probe)), initial=0))
+        return [at for _, at in self.library.pre_tokenizer.pre_tokenize_str(probe)] == list(zip(own, own[1:], strict=False))
+
+    def _encoded(self, several: list[str]) -> list[int]:
+        return [len(x) for x in self.library.encode_batch_fast(several, add_special_tokens=False)]
+
+    def __call__(self, several: list[str]) -> list[int]:
+        if self.whole is None:
+            return self._encoded(several)
+        if len(self.known) > self.limit:
+            self.known = {}
+        out: list[int | None] = [None] * len(several)
+        cut = [None if self.whole(text) else self.pieces(text) for text in several]
+        new = list(set().union(*filter(None, cut)) - self.known.keys())
+        self.known.update(zip(new, self._encoded(new), strict=True))
+        for i, own in enumerate(cut):
+            if own is not None:
+                out[i] = sum(map(self.known.__getitem__, own))
+        rest = [i for i, n in enumerate(out) if n is None]
+        for i, n in zip(rest, self._encoded([several[i] for i in rest]), strict=True):
+            out[i] = n
+        return out
+
+
 def _counter(tokenizer: str):
     if library_of(tokenizer) == "tokenizers":
         import os
@@ -41,7 +104,7 @@ def _counter(tokenizer: str):
         library = Tokenizer.from_file(tokenizer)
         library.no_truncation()
         library.no_padding()
-        return lambda several: [len(x) for x in library.encode_batch_fast(several, add_special_tokens=False)]
+        return PieceCounts(library)
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer)

@@ -48,3 +48,21 @@ def test_cache_is_used_and_grows(spark, documents, count):
 
 def test_empty_table(spark, documents):
     assert token_counts.token_counts(documents([]), BYTES, shared_folder(spark)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_counts_by_pieces_equal_the_library(name, corpus):
+    import random
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer(name))
+    counts = token_counts.PieceCounts(library, limit=500)
+    assert (counts.whole is not None) == (name == "byte_bpe_50k.json")
+    draw = random.Random(3)
+    letters = "aB1 '\n\té—“€s t're\u0085\x1c 日́𝒳_<|>  \n"
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(3000)]
+    texts += ["", "<|endoftext|>", "a <|endoftext|>b", " 's 'll''ve", "x" * 100_000, " " * 10_000, *list(corpus.values())[:100]]
+    for i in range(0, len(texts), 250):
+        part = texts[i : i + 250]
+        assert counts(part) == [len(x) for x in library.encode_batch_fast(part, add_special_tokens=False)]
