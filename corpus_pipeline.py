@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from creaseline.llm import decontaminate, pieces, quality_rules, simhash, suffix_dedup
 from creaseline.llm.common import table
 from creaseline.llm.queries import tokenizer
-from creaseline.session import materialize, prepare
+from creaseline.session import materialize, prepare, shared_folder
 
 #: No SQL: perplexity, XXH64 and the tokenizer have none. Tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -37,9 +37,16 @@ def _without(docs: DataFrame, ids: DataFrame, hint: str | None = None) -> DataFr
     return _only(docs, ids, "left_anti", hint).withColumn("doc_id", F.col("doc_id.id"))
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """Written once and read back, packed harder than usual: the table holds texts and stays while the stages run."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules or leave their language's perplexity band go."""
-    kept = quality_rules.quality_rules(docs, materialize, carry=True).where("kept")
+    kept = quality_rules.quality_rules(docs, _packed, carry=True).where("kept")
     return kept.select(*[F.col("text") if c == "text" else F.col("record").getField(c).alias(c) for c in docs.columns])
 
 
