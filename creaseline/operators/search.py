@@ -1,6 +1,6 @@
 """Text search as batch jobs over a document table.
 
-Texts are analysed whole and in place; only the inverted index shuffles tokens.
+Texts are analysed whole and in place. Searches that a stored index answers are in ``textindex``.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creaseline.session import materialize
-
 WORD_BREAK = r"[^\w]+"
 # Stop words, one-way synonyms (target: alternatives) and character mappings.
 STOP_WORDS = ["a", "an", "the", "and", "or"]
@@ -36,6 +34,7 @@ HTML_RULES = [
     (r"(?i)</?(" + "|".join(INLINE) + r")(\s[^>]*)?/?>", ""),
     (r"(?s)<[^>]*>", "\n"),
 ]
+# The parameters of BM25.
 K1, B = 1.2, 0.75
 
 
@@ -71,40 +70,33 @@ def analyze(html: Column, rules: dict[str, list[str]] | None = None, stop: list[
     return F.filter(F.split(joined, " "), lambda w: (w != "") & ~w.isin(kept))
 
 
-def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(term, document) with frequency and positions.
+def postings(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep`` columns, ``dl`` (words of the text) and ``postings``: term, frequency and positions of each distinct word.
 
     A document is one row, so its postings are grouped inside the row: words are sorted with their
     positions, and every run of equal words becomes one posting. Nothing is shuffled.
     """
     placed = F.transform(tokens(F.col(text)), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-    sorted_words = df.select(doc, F.array_sort(placed).alias("w"))
+    sorted_words = df.select(*keep, F.array_sort(placed).alias("w"))
 
     def starts_run(x: Column, i: Column) -> Column:
         return (i == 0) | (F.get("w", i - 1)["term"] != x["term"])
 
     indexed = F.transform("w", lambda x, i: F.when(starts_run(x, i), i))
-    runs = sorted_words.withColumn("s", F.array_compact(indexed)).withColumn("size", F.size("w"))
+    runs = sorted_words.withColumn("s", F.array_compact(indexed)).withColumn("dl", F.size("w"))
 
     def posting(start: Column, n: Column) -> Column:
-        length = F.coalesce(F.get("s", n + 1), F.col("size")) - start
+        length = F.coalesce(F.get("s", n + 1), F.col("dl")) - start
         positions = F.transform(F.slice("w", start + 1, length), lambda x: x["pos"])
         return F.struct(F.get("w", start)["term"].alias("term"), length.cast("long").alias("frequency"), positions.alias("positions"))
 
-    postings = runs.select(doc, F.explode(F.transform("s", posting)).alias("p"))
-    return postings.select("p.term", doc, "p.frequency", "p.positions")
-
+    return runs.select(*keep, "dl", F.transform("s", posting).alias("postings"))
 
-def match(df: DataFrame, text: str, query: list[str]) -> DataFrame:
-    """Documents that share a token with the query, with the number of distinct tokens shared."""
-    shared = F.size(F.array_intersect(tokens(F.col(text)), F.array(*[F.lit(q) for q in query])))
-    return df.withColumn("matched", shared).where("matched > 0")
 
-
-def match_phrase(df: DataFrame, text: str, phrase: list[str]) -> DataFrame:
-    """Documents with the tokens of the phrase at consecutive positions."""
-    padded = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
-    return df.where(F.contains(padded, F.lit(" " + " ".join(phrase) + " ")))
+def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(term, document) with frequency and positions. ``textindex`` stores the same with block bounds."""
+    rows = postings(df, text, doc).select(doc, F.explode("postings").alias("p"))
+    return rows.select("p.term", doc, "p.frequency", "p.positions")
 
 
 def edits_allowed(term: str) -> int:
@@ -120,10 +112,6 @@ def fuzzy_hits(words: Column, query: list[str]) -> Column:
     return reduce(add, [found(q) for q in query])
 
 
-def term_count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
-
-
 def best_field(fields: dict[str, float], query: list[str]) -> Column:
     """Highest boosted field score."""
     scores = [fuzzy_hits(tokens(F.col(c)), query) * F.lit(float(boost)) for c, boost in fields.items()]
@@ -134,34 +122,6 @@ def multi_match(df: DataFrame, fields: dict[str, float], query: list[str]) -> Da
     return df.withColumn("score", best_field(fields, query)).where("score > 0")
 
 
-def bm25(df: DataFrame, doc: str, text: str, query: list[str]) -> DataFrame:
-    """BM25 of every document for the query terms.
-
-    Texts are tokenised once into a narrow table (length and term counts); collection statistics
-    and scores both read that table.
-    """
-    words = tokens(F.col(text))
-    counts = [term_count(F.col("words"), q).alias(f"tf_{i}") for i, q in enumerate(query)]
-    analysed = df.select(doc, words.alias("words")).select(doc, F.size("words").alias("dl"), *counts)
-    table = materialize(analysed)
-    stats = table.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("dl").alias("avgdl"),
-        *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(query))],
-    )
-
-    def stat(name: str) -> Column:
-        return stats.select(name).scalar()
-
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / stat("avgdl"))
-    score = F.lit(0.0)
-    for i in range(len(query)):
-        tf, freq = F.col(f"tf_{i}"), stat(f"df_{i}")
-        idf = F.log(1 + (stat("n") - freq + 0.5) / (freq + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + norm)
-    return table.select(doc, score.alias("score")).where("score > 0")
-
-
 def gauss_decay(value: Column, origin: float, scale: float, offset: float, decay: float = 0.5) -> Column:
     distance = F.greatest(F.abs(value - origin) - offset, F.lit(0.0))
     return F.exp(distance * distance * F.lit(math.log(decay) / (scale * scale)))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from creaseline.operators import scans, search
+from creaseline.operators import search, textindex
 from creaseline.plans.registry import query
 from creaseline.sources.tables import table, texts
 
@@ -34,6 +34,25 @@ def synonyms_sql(text: str, rules: dict[str, list[str]]) -> str:
 
 
 PAGE_TEXT_SQL = f"replace(replace({html_sql('html')}, '&', 'and'), '@', 'at')"
+_indexes: dict[tuple, textindex.TextIndex] = {}
+
+
+def stored_index(spark, folder: str, name: str, doc: str, text: str, fuzzy: bool = False) -> textindex.TextIndex:
+    """The index of a text column, built once per session and state of the table's files."""
+    files = table(spark, folder, name).select(
+        F.xxhash64("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").alias("file")
+    )
+    version = files.distinct().agg(F.bit_xor("file")).first()[0]
+    key = (spark.sparkContext.applicationId, folder, name, version, doc, text, fuzzy)
+    if key not in _indexes:
+        _indexes[key] = textindex.build(texts(spark, folder, name), doc, text, fuzzy)
+    return _indexes[key]
+
+
+def documents_index(spark, folder: str) -> textindex.TextIndex:
+    return stored_index(spark, folder, "documents", "doc_id", "text")
+
+
 RULES = {"widget": ["gizmo"], "roadster": ["hot rod"], "band": ["ring"]}
 GROUPS = [["bolt", "rod", "small ring"]]
 
@@ -56,7 +75,8 @@ def analyzer(spark, folder):
     SELECT term, doc_id, count(*) AS frequency, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM p GROUP BY 1, 2""",
 )
 def inverted_index(spark, folder):
-    index = search.inverted_index(texts(spark, folder, "documents"), "doc_id", "text")
+    """Every posting of the stored index; its rows were analysed in parallel, whatever the files of the texts."""
+    index = documents_index(spark, folder).postings.select("term", F.col("doc").alias("doc_id"), "frequency", "positions")
     return index.withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
 
 
@@ -69,9 +89,8 @@ def inverted_index(spark, folder):
 def term_postings(spark, folder):
     """The index as a table in the order of its terms: a lookup skips the files of other terms, and a term of
     many documents fills several."""
-    index = search.inverted_index(texts(spark, folder, "documents"), "doc_id", "text")
-    stored = scans.laid_out(index, "term", "doc_id")
-    return stored.where("term = 'ening'").select("term", "doc_id", "frequency")
+    stored = documents_index(spark, folder).postings
+    return stored.where("term = 'ening'").select("term", F.col("doc").alias("doc_id"), "frequency")
 
 
 @query("t3_term", "SELECT doc_id FROM documents WHERE lang = 'fr'")
@@ -85,8 +104,7 @@ def term(spark, folder):
     FROM documents WHERE matched > 0""",
 )
 def match(spark, folder):
-    found = search.match(texts(spark, folder, "documents"), "text", ["ening", "edre", "tion"])
-    return found.select("doc_id", "matched")
+    return textindex.match(documents_index(spark, folder), ["ening", "edre", "tion"])
 
 
 @query(
@@ -94,7 +112,7 @@ def match(spark, folder):
     f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({tokens_sql('text')}, ' ') || ' ', ' of the ')",
 )
 def match_phrase(spark, folder):
-    return search.match_phrase(texts(spark, folder, "documents"), "text", ["of", "the"]).select("doc_id")
+    return textindex.match_phrase(documents_index(spark, folder), ["of", "the"])
 
 
 def hits_sql(field: str, terms: list[str]) -> str:
@@ -110,15 +128,15 @@ def hits_sql(field: str, terms: list[str]) -> str:
     FROM part WHERE score > 0""",
 )
 def multi_field_match(spark, folder):
-    found = search.multi_match(table(spark, folder, "part"), {"p_name": 2.0, "p_type": 1.0}, ["blu", "wigdet", "standart"])
-    return found.select("p_partkey", "score")
+    boosts = {"p_name": 2.0, "p_type": 1.0}
+    fields = [(stored_index(spark, folder, "part", "p_partkey", f, fuzzy=True), boost) for f, boost in boosts.items()]
+    return textindex.multi_match(fields, ["blu", "wigdet", "standart"])
 
 
 BM25_TERMS = ["tion", "the", "ening"]
 
 
-@query(
-    "t5_bm25",
+BM25_SQL = (
     f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS words FROM documents),
     c AS (SELECT doc_id, len(words) AS dl, """
     + ", ".join(f"len(list_filter(words, lambda w: w = '{q}')) AS tf{i}" for i, q in enumerate(BM25_TERMS))
@@ -131,13 +149,23 @@ BM25_TERMS = ["tion", "the", "ening"]
         f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
         for i in range(len(BM25_TERMS))
     )
-    + """ AS score FROM c, s) SELECT doc_id, round(score, 6) AS score FROM r WHERE score > 0""",
+    + " AS score FROM c, s)"
 )
+
+
+@query("t5_bm25", f"{BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM r WHERE score > 0")
 def bm25(spark, folder):
-    scored = search.bm25(texts(spark, folder, "documents"), "doc_id", "text", BM25_TERMS)
+    scored = textindex.bm25(documents_index(spark, folder), BM25_TERMS)
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("t5_bm25_top", f"{BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM r WHERE score > 0 ORDER BY r.score DESC, doc_id LIMIT 10")
+def bm25_top(spark, folder):
+    """The ten best, from the blocks whose bounds reach the tenth of a first look."""
+    best = textindex.bm25_top(documents_index(spark, folder), BM25_TERMS, 10)
+    return best.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "t6_function_score",
     """SELECT p_partkey, round(CASE WHEN p_size > 40 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN p_size / 10.0::DOUBLE >= 4.5 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END
