@@ -10,7 +10,9 @@ import re
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from creaseline.operators.scans import laid_out
 
 WORD_BREAK = r"[^\w]+"
 # Stop words, one-way synonyms (target: alternatives) and character mappings.
@@ -154,9 +156,20 @@ def highlight(text: Column, terms: list[str]) -> Column:
     return F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])", "<em>$1</em>")
 
 
-def suggestions(df: DataFrame, name: str, prefix: str, size: int = 10) -> DataFrame:
-    names = df.where(F.lower(name).startswith(prefix.lower())).select(name).distinct()
-    return names.orderBy(name).limit(size)
+def completions(df: DataFrame, name: str, size: int = 10) -> DataFrame:
+    """``prefix, number, name``: the first ``size`` distinct names of every lower-case prefix, the empty one included, in
+    the order of prefixes. Map tasks keep no more than that of a prefix. A name gives as many rows as it has characters,
+    so this is for names, not for texts; null names have no prefix."""
+    names = df.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct().withColumn("lowered", F.lower("name"))
+    lengths = F.sequence(F.lit(0), F.char_length("lowered"))
+    rows = names.select(F.explode(F.transform(lengths, lambda n: F.substr("lowered", F.lit(1), n))).alias("prefix"), "name")
+    number = F.row_number().over(Window.partitionBy("prefix").orderBy("name"))
+    return laid_out(rows.withColumn("number", number).where(F.col("number") <= size).select("prefix", "number", "name"), "prefix", "number")
+
+
+def suggestions(stored: DataFrame, prefix: str) -> DataFrame:
+    """Names of one prefix of ``completions``, in order; the filter reaches the files."""
+    return stored.where(F.col("prefix") == prefix.lower()).orderBy("number").select("name")
 
 
 def expand(query: str, groups: list[list[str]]) -> list[str]:

@@ -204,7 +204,8 @@ def highlight(spark, folder):
 
 @query("t9_prefix_suggestions", "SELECT DISTINCT p_name FROM part WHERE starts_with(lower(p_name), 're') ORDER BY p_name LIMIT 10")
 def prefix_suggestions(spark, folder):
-    return search.suggestions(table(spark, folder, "part"), "p_name", "Re")
+    stored = search.completions(table(spark, folder, "part"), "p_name")
+    return search.suggestions(stored, "Re").withColumnRenamed("name", "p_name")
 
 
 CROSS_TERMS = ["red", "nation_7"]

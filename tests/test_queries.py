@@ -69,6 +69,7 @@ def test_query_with_keys_over_many_slots(spark, data, con, many_slots, key):
         ("f4_over_lookup", "GreaterThanOrEqual(event_sequence,"),
         ("f14_unexpired", "GreaterThan(ttl,"),
         ("t2_term_postings", "EqualTo(term,"),
+        ("t9_prefix_suggestions", "EqualTo(prefix,"),
     ],
 )
 def test_reads_of_the_store_reach_its_files(spark, data, key, pushed):

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from creaseline.operators import textindex
+from creaseline.operators import search, textindex
 from creaseline.operators.search import edits_allowed
 from creaseline.plans import search as plans
 from creaseline.plans.registry import QUERIES
@@ -129,6 +129,20 @@ def test_near_terms_are_those_within_the_distance(spark):
     assert scores == {listed.index(t): 2.0 * n for t, n in Counter(t for _, t in expected).items()}
 
 
+def test_suggestions_of_every_prefix(spark):
+    draw = random.Random(4)
+    names = [None, "", "Red Bolt"] + ["".join(draw.choices("aAbB ", k=draw.randint(1, 6))) for _ in range(300)]
+    stored = search.completions(spark.createDataFrame([(n,) for n in names], "label string"), "label", size=4)
+    got = {}
+    for r in stored.orderBy("prefix", "number").collect():
+        got.setdefault(r["prefix"], []).append(r["name"])
+    known = sorted({n for n in names if n is not None})
+    prefixes = {n.lower()[:i] for n in known for i in range(len(n) + 1)}
+    assert got == {p: [n for n in known if n.lower().startswith(p)][:4] for p in prefixes}
+    assert [r["name"] for r in search.suggestions(stored, "RED").collect()] == ["Red Bolt"]
+    assert search.suggestions(stored, "redder").count() == 0
+
+
 def test_empty_table(spark):
     index = textindex.build(spark.createDataFrame([], "doc_id int, text string"), "doc_id", "text", fuzzy=True)
     assert textindex.bm25(index, ["a"]).count() == textindex.bm25_top(index, ["a"], 3).count() == 0
