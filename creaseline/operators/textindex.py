@@ -22,10 +22,11 @@ from functools import reduce
 from math import log
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creaseline.operators.search import B, K1, edits_allowed, postings
-from creaseline.session import materialize
+from creaseline.session import materialize, shared_folder
 
 #: Terms up to this length are found by deletions (at most about 800 a term); longer ones are compared one by one.
 LONG = 40
@@ -36,6 +37,7 @@ SLACK = 1e-9
 @dataclass(frozen=True)
 class TextIndex:
     doc: str
+    folder: str
     lengths: DataFrame
     postings: DataFrame
     blocks: DataFrame
@@ -44,6 +46,15 @@ class TextIndex:
     avgdl: float
     near: DataFrame | None = None
 
+    def kept(self) -> bool:
+        """Whether the tables are still there; whoever cleans the shared folder need not know of indexes."""
+        names = ["analysed", "postings", "blocks", "terms"] + (["near"] if self.near else [])
+        try:
+            self.terms.sparkSession.read.schema("term string").parquet(*[f"{self.folder}/{n}" for n in names])
+        except AnalysisException:
+            return False
+        return True
+
 
 def impact(frequency: Column, dl: Column, avgdl: float) -> Column:
     """BM25 of one term without its idf: rises with the frequency, falls with the length."""
@@ -53,9 +64,9 @@ def impact(frequency: Column, dl: Column, avgdl: float) -> Column:
 def build(df: DataFrame, doc: str, text: str, fuzzy: bool = False, bits: int = 10) -> TextIndex:
     """Index of a text column. Texts are analysed once, dealt evenly over the session's shuffle partitions, whatever the
     files they come from; a document without words counts in the statistics and has no postings."""
-    spark = df.sparkSession
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     dealt = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    analysed = materialize(postings(dealt, "text", "doc"))
+    analysed = materialize(postings(dealt, "text", "doc"), f"{folder}/analysed")
     lengths = analysed.select("doc", "dl")
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     avgdl = size["avgdl"] or 1.0
@@ -64,14 +75,15 @@ def build(df: DataFrame, doc: str, text: str, fuzzy: bool = False, bits: int = 1
     placed = rows.withColumn("impact", impact(F.col("frequency"), F.col("dl"), avgdl)).repartitionByRange(*order).sortWithinPartitions(*order)
     # ids count up within a partition, so a shifted id numbers runs of neighbouring rows
     block = F.shiftright(F.monotonically_increasing_id(), bits).alias("block")
-    stored = materialize(placed.select("term", "doc", "frequency", "dl", "positions", block))
+    stored = materialize(placed.select("term", "doc", "frequency", "dl", "positions", block), f"{folder}/postings")
     # highest frequency and shortest document apart would bound a block of equal impacts far too high
     highest = F.max(impact(F.col("frequency"), F.col("dl"), avgdl)).alias("impact")
     bounds = stored.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), highest)
-    blocks = materialize(bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
+    blocks = materialize(bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), f"{folder}/blocks")
     counted = blocks.groupBy("term").agg(F.sum("n").alias("df")).withColumn("length", F.char_length("term"))
-    terms = materialize(counted.repartitionByRange("length", "term").sortWithinPartitions("length", "term"))
-    return TextIndex(doc, lengths, stored, blocks, terms, size["n"], avgdl, neighbourhood(terms) if fuzzy else None)
+    terms = materialize(counted.repartitionByRange("length", "term").sortWithinPartitions("length", "term"), f"{folder}/terms")
+    near = neighbourhood(terms, f"{folder}/near") if fuzzy else None
+    return TextIndex(doc, folder, lengths, stored, blocks, terms, size["n"], avgdl, near)
 
 
 def of_terms(rows: DataFrame, query: list[str]) -> DataFrame:
@@ -183,7 +195,7 @@ def _shortened(word: Column) -> Column:
     return F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
 
 
-def neighbourhood(terms: DataFrame) -> DataFrame:
+def neighbourhood(terms: DataFrame, folder: str) -> DataFrame:
     """``length, deletions, key, term``: digests of what 0, 1 and 2 deletions leave of each term up to ``LONG`` characters."""
     short = terms.where(F.col("length") <= LONG).select("length", "term", F.array("term").alias("d0"))
     once = short.withColumn("d1", F.array_distinct(_shortened(F.col("term"))))
@@ -194,7 +206,7 @@ def neighbourhood(terms: DataFrame) -> DataFrame:
 
     levels = [level(i) for i in range(3)]
     rows = twice.select("length", "term", F.explode(F.concat(*levels)).alias("v")).select("length", "v.*", "term")
-    return materialize(rows.repartitionByRange("length", "key").sortWithinPartitions("length", "key"))
+    return materialize(rows.repartitionByRange("length", "key").sortWithinPartitions("length", "key"), folder)
 
 
 def _deleted(word: str, most: int) -> set[str]:

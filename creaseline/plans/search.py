@@ -44,7 +44,7 @@ def stored_index(spark, folder: str, name: str, doc: str, text: str, fuzzy: bool
     )
     version = files.distinct().agg(F.bit_xor("file")).first()[0]
     key = (spark.sparkContext.applicationId, folder, name, version, doc, text, fuzzy)
-    if key not in _indexes:
+    if key not in _indexes or not _indexes[key].kept():
         _indexes[key] = textindex.build(texts(spark, folder, name), doc, text, fuzzy)
     return _indexes[key]
 

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,5 +167,6 @@ def test_the_index_is_kept_until_the_files_change(spark, tmp_path):
     write([(1, "a bat")])
     first = plans.documents_index(spark, str(tmp_path))
     assert plans.documents_index(spark, str(tmp_path)) is first
+    assert first.kept() and not replace(first, folder=f"{tmp_path}/gone").kept()
     write([(1, "a bat"), (2, "a ball")])
     assert textindex.match(plans.documents_index(spark, str(tmp_path)), ["ball"]).count() == 1
