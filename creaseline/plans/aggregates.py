@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creaseline.operators import aggregates as agg, ingest, sharding
+from creaseline.operators import aggregates as agg, ingest, sharding, sketches
 from creaseline.operators.hotkeys import paged_lists
 from creaseline.operators.view import live_view, live_view_by_sequence
 from creaseline.plans import inputs
@@ -12,6 +12,7 @@ from creaseline.plans.inputs import SQL_ACCEPTED, SQL_FEED, SQL_VIEW
 from creaseline.plans.registry import query
 from creaseline.plans.scalars import AS_OF, hash_sql
 from creaseline.schemas import BALL_KEY, LOG_ORDER
+from creaseline.session import materialize
 from creaseline.functions.scalars import event_sequence
 from creaseline.operators.store import first_arrivals, storable
 from creaseline.sources import log as logs
@@ -129,6 +130,35 @@ def latency_percentiles_approx(spark, folder):
     return ranked.select("operation", "n", *[close(i, p) for i, p in enumerate(points)])
 
 
+LATENCY_SPAN = "CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
+
+
+@query(
+    "a3_latency_span_sketch",
+    f"""SELECT event_type AS operation, count(*) AS n, true AS p50_close, true AS p95_close, true AS p99_close
+    FROM events WHERE {LATENCY_SPAN} GROUP BY 1""",
+)
+def latency_span_sketch(spark, folder):
+    """Percentiles of some days from sketches kept by day, n from them too. What follows the roll-up is the check alone: the
+    rows below and up to each percentile."""
+    rows = table(spark, folder, "events").select(
+        F.to_date("ts").alias("day"), F.col("event_type").alias("operation"), F.floor(F.col("value") * 10).cast("int").alias("latency_ms")
+    )
+    kept = sketches.SketchTable(spark, rows.schema, "day", ["operation"], [], ["latency_ms"], buckets=8)
+    early = F.col("day") < F.lit("2024-01-12")
+    kept.refresh(rows.where(early), 1)
+    kept.refresh(rows.where(~early), 2)
+    first, last = (F.lit(d).cast("date") for d in ("2024-01-05", "2024-01-20"))
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    at = kept.rollup(first, last).select("operation", "n", *[sketches.quantile("latency_ms", p).alias(name) for name, p in points.items()])
+    at = materialize(at)
+    value = F.col("latency_ms")
+    ranks = [c for name in points for c in (F.count_if(value < F.col(name)).alias(f"{name}_below"), F.count_if(value <= F.col(name)).alias(f"{name}_up_to"))]
+    ranked = rows.where(F.col("day").between(first, last)).join(at, "operation").groupBy("operation", "n").agg(*ranks)
+    close = [sketches.rank_close(F.col(f"{n}_below"), F.col(f"{n}_up_to"), F.col("n"), p).alias(f"{n}_close") for n, p in points.items()]
+    return ranked.select("operation", "n", *close)
+
+
 @query(
     "a4_on_demand_score",
     SQL_ACCEPTED
@@ -309,6 +339,48 @@ def daily_users_approx(spark, folder):
     return counted.withColumn("sketch_close", off <= F.col("users") * 0.1 + 1).drop("sketch")
 
 
+USERS_90_DAYS = "CAST(ts AS DATE) BETWEEN DATE '2024-01-20' - INTERVAL 89 DAY AND DATE '2024-01-20'"
+
+
+@query(
+    "a11_users_90_days_sketch",
+    f"SELECT event_type, count(*) AS n, true AS users_close FROM events WHERE {USERS_90_DAYS} GROUP BY 1",
+)
+def users_90_days_sketch(spark, folder):
+    """Users of ninety days per type from sketches kept by day; the events are read again for the check alone."""
+    kept = activity_sketches(spark, folder)
+    last = F.lit("2024-01-20").cast("date")
+    first = F.date_sub(last, 89)
+    found = kept.rollup(first, last).select("event_type", "n", sketches.distinct_count("user_id").alias("users"))
+    exact = table(spark, folder, "events").where(F.to_date("ts").between(first, last))
+    exact = exact.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    close = sketches.distinct_close(F.col("users"), F.col("exact")).alias("users_close")
+    return found.join(exact, "event_type").select("event_type", "n", close)
+
+
+def activity_sketches(spark, folder):
+    """Sketches per day and type, built by a first batch, late rows of the same days and a batch that runs twice."""
+    events = table(spark, folder, "events").select(F.to_date("ts").alias("day"), "event_type", "user_id", "event_id")
+    late = F.col("event_id") % 50 == 0
+    kept = sketches.SketchTable(spark, events.schema, "day", ["event_type"], ["user_id"], [], buckets=8)
+    kept.refresh(events.where(~late), 1)
+    kept.refresh(events.where(late), 2)
+    kept.refresh(events.where(late), 2)
+    return kept
+
+
+@query(
+    "st11_sketch_refresh",
+    "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, true AS users_close FROM events GROUP BY 1, 2",
+)
+def sketch_refresh(spark, folder):
+    """Each day after the refreshes, its late rows in and none twice."""
+    found = activity_sketches(spark, folder).rollup(by=["day", "event_type"]).select("day", "event_type", "n", sketches.distinct_count("user_id").alias("users"))
+    exact = table(spark, folder, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.countDistinct("user_id").alias("exact"))
+    close = sketches.distinct_close(F.col("users"), F.col("exact")).alias("users_close")
+    return found.join(exact, ["day", "event_type"]).select("day", "event_type", "n", close)
+
+
 @query(
     "a12_group_by_having",
     f"""SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS {DEC})) AS DECIMAL(28,2)) AS total FROM orders

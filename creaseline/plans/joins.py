@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creaseline.operators import joins
+from creaseline.operators.digests import compare_laid_out, lay_out
 from creaseline.operators.view import reconcile
 from creaseline.plans import inputs
 from creaseline.plans.inputs import SQL_FEED, SQL_VIEW
@@ -180,3 +181,19 @@ def restore_counts(spark, folder):
     copy = orders.where("o_totalprice <= 495000")
     tagged = orders.select(F.lit(0).alias("side")).unionAll(copy.select(F.lit(1).alias("side")))
     return tagged.agg(F.count_if(F.col("side") == 0).alias("n_left"), F.count_if(F.col("side") == 1).alias("n_right"))
+
+
+@query(
+    "j11_restore_digest_tree",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 1::BIGINT AS n_left, 0::BIGINT AS n_right FROM orders
+    WHERE o_orderkey % 499 = 0 OR o_custkey = 7 AND o_orderstatus <> 'X'
+    UNION ALL SELECT o_orderkey, o_custkey, 'X', o_totalprice, 0, 1 FROM orders
+    WHERE o_orderkey % 499 <> 0 AND o_custkey = 7 AND o_orderstatus <> 'X'""",
+)
+def restore_digest_tree(spark, folder):
+    """A copy that lost an order in some five hundred and changed those of one customer; rows are read below differing
+    digests only."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    status = F.when(F.col("o_custkey") == 7, "X").otherwise(F.col("o_orderstatus"))
+    copy = orders.where("o_orderkey % 499 <> 0").withColumn("o_orderstatus", status)
+    return compare_laid_out(lay_out(orders, ["o_orderkey"]), lay_out(copy, ["o_orderkey"]))
