@@ -76,10 +76,13 @@ def salted_key(key: Column, spread: Column, salts: int = 10) -> Column:
     return F.concat(key, F.lit("#"), F.pmod(spread, F.lit(salts)).cast("string"))
 
 
+EARTH_KM = 6371.0
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * 6371.0) * F.asin(F.sqrt(a))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(a))
 
 
 def instant_text(ts: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from creaseline.operators import aggregates as agg, ingest, sharding, sketches
+from creaseline.operators import aggregates as agg, geo, ingest, sharding, sketches
 from creaseline.operators.hotkeys import paged_lists
 from creaseline.operators.view import live_view, live_view_by_sequence
 from creaseline.plans import inputs
@@ -680,6 +680,18 @@ def geo_grid(spark, folder):
     return places(spark, folder).groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "a28_geo_cell_density",
+    """SELECT CAST(least(floor((c_custkey % 181) / 180 * 16), 15) AS INTEGER) AS lat_cell,
+    CAST(least(floor((c_custkey * 7 % 361) / 360 * 16), 15) AS INTEGER) AS lon_cell, count(*) AS n FROM customer GROUP BY 1, 2""",
+)
+def geo_cell_density(spark, folder):
+    """Density from the cell numbers of a laid-out table."""
+    from creaseline.plans.filters import places
+
+    return geo.density(geo.lay_out(places(spark, folder), "lat", "lon"), 4)
+
+
 # Alarm thresholds of error rate, message loss, dead letters per hour and latency.
 SLO = {"error_rate": 0.001, "loss_rate": 0.0, "dlt_per_hour": 10, "p99_ms": 1000}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creaseline.functions.scalars import haversine_km
-from creaseline.operators import ingest, predicates, retry
+from creaseline.operators import geo, ingest, predicates, retry
 from creaseline.operators.hotkeys import paged_lists
 from creaseline.operators.store import unexpired
 from creaseline.operators.view import active_matches
@@ -312,6 +312,29 @@ def bounding_box(spark, folder):
     return places(spark, folder).where(box).select("c_custkey")
 
 
+@query(
+    "f16_geo_radius_cells",
+    f"""WITH p AS (SELECT c_custkey, CAST({LAT_SQL} AS DOUBLE) AS lat, CAST({LON_SQL} AS DOUBLE) AS lon FROM customer),
+    d AS (SELECT c_custkey, 12742.0 * asin(sqrt(pow(sin(radians(lat + 15) / 2), 2)
+      + cos(radians(-15)) * cos(radians(lat)) * pow(sin(radians(lon - 175) / 2), 2))) AS km FROM p)
+    SELECT c_custkey, round(km, 4) AS km FROM d WHERE km <= 2500""",
+)
+def geo_radius_cells(spark, folder):
+    """A circle over the date line, read from ranges of cells."""
+    laid = geo.lay_out(places(spark, folder), "lat", "lon")
+    hits = geo.within(laid, "lat", "lon", (-15.0, 175.0), 2500)
+    return hits.select("c_custkey", F.round("km", 4).alias("km")).orderBy("km", "c_custkey")
+
+
+@query(
+    "f16_bounding_box_cells",
+    f"SELECT c_custkey FROM customer WHERE {LAT_SQL} BETWEEN -20 AND 35 AND ({LON_SQL} >= 150 OR {LON_SQL} <= -160)",
+)
+def bounding_box_cells(spark, folder):
+    laid = geo.lay_out(places(spark, folder), "lat", "lon")
+    return geo.in_box(laid, "lat", "lon", -20, 35, 150, -160).select("c_custkey")
+
+
 @query("f17_subtype_filter", "SELECT event_id, value AS click_value FROM events WHERE event_type IN ('click', 'view') AND value > 20")
 def subtype_filter(spark, folder):
     kinds = table(spark, folder, "events").where(F.col("event_type").isin("click", "view"))

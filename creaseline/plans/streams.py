@@ -20,6 +20,7 @@ from creaseline.schemas import LOG_SCHEMA
 from creaseline.session import materialize, shared_folder
 from creaseline.sources import changes
 from creaseline.sources.tables import table
+from creaseline.streaming.anomalies import AnomalyStream
 from creaseline.streaming.ingest import DeadLetterStream, ScoreStream
 from creaseline.streaming.ledger import Ledger, arrivals, deliver, run_available
 from creaseline.streaming.retries import RetryStream
@@ -264,15 +265,15 @@ def tumbling_1_minute(spark, folder):
     return metrics.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
-@query(
-    "st9_bucketed_anomalies",
-    """WITH b AS (SELECT event_type, epoch_us(ts) // 3600000000 AS step, count(*) AS n FROM events GROUP BY 1, 2),
+ANOMALY_SQL = """WITH b AS (SELECT event_type, epoch_us(ts) // 3600000000 AS step, count(*) AS n FROM events GROUP BY 1, 2),
     t AS (SELECT *, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd, count(*) OVER w AS seen FROM b
       WINDOW w AS (PARTITION BY event_type ORDER BY step ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
     a AS (SELECT event_type, step, n, coalesce(seen >= 8 AND n > mean + 1.9876::DOUBLE * sd, false) AS anomaly FROM t),
     r AS (SELECT *, CAST(sum(anomaly::INTEGER) OVER (PARTITION BY event_type ORDER BY step RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM a)
-    SELECT event_type, step, n, anomaly, recent, recent > 1 AS alert FROM r""",
-)
+    SELECT event_type, step, n, anomaly, recent, recent > 1 AS alert FROM r"""
+
+
+@query("st9_bucketed_anomalies", ANOMALY_SQL)
 def bucketed_anomalies(spark, folder):
     """Buckets that lie far above the trailing day, and an alert when they cluster.
 
@@ -289,6 +290,17 @@ def bucketed_anomalies(spark, folder):
     return flagged.withColumn("recent", recent).withColumn("alert", F.col("recent") > 1)
 
 
+@query("st9_anomaly_stream", ANOMALY_SQL)
+def anomaly_stream(spark, folder):
+    """The same buckets from a stream that is stopped and opened again between its deliveries."""
+    root = shared_folder(spark)
+    for part in event_slices(spark, folder):
+        seen = AnomalyStream(spark, "1 hour", root=root)
+        seen.consume([part.select(F.col("event_type").alias("host"), "ts")])
+    seen.close_all()
+    return seen.buckets.read().select(F.col("host").alias("event_type"), F.expr("period div 3600").alias("step"), "n", "anomaly", "recent", "alert")
+
+
 @query("st10_processed_feed", SQL_ACCEPTED + "SELECT match_id, event_sequence, event_id, total_runs FROM accepted")
 def processed_feed(spark, folder):
     return full_stream(spark, folder).feed.read().drop("batch_id")
