@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from creaseline.llm.common import slices, texts
 
 ORDER = 5
 SEND_ROWS = 4_000_000  # n-grams of a model that is sent to the tasks: 16 bytes each
+PART_ROWS = 500_000  # n-grams that pass through the driver at a time, or one language's if it has more
 SYMBOLS = list(b"#*$%&|<>")
 BLANKS = list(b" \t\n\v\f\r")
 WINDOW = 8
@@ -347,6 +349,24 @@ def _arrays(model: DataFrame) -> dict[str, list]:
     return out
 
 
+def _sent(model: DataFrame, sizes: dict[str, int]) -> dict[str, Broadcast]:
+    """The arrays of each language, broadcast in parts: the driver holds one part at a time and gives its memory back."""
+    parts: list[list[str]] = []
+    room = 0
+    for lang in sorted(sizes):
+        if not parts or sizes[lang] > room:
+            parts.append([])
+            room = PART_ROWS
+        parts[-1].append(lang)
+        room -= sizes[lang]
+    out = {}
+    for langs in parts:
+        one = model.sparkSession.sparkContext.broadcast(_arrays(model.where(F.col("lang").isin(langs))))
+        pa.default_memory_pool().release_unused()
+        out |= dict.fromkeys(langs, one)
+    return out
+
+
 def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_ROWS, carry: bool = False) -> DataFrame:
     """The columns of STATS with ``doc_id``, ``lang`` and ``loss``: minus the mean logarithm of a character's probability.
 
@@ -357,19 +377,22 @@ def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_R
     kind = docs.schema["doc_id"].dataType.simpleString()
     others = [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns if c != "text"]
     record = [F.struct(*others).alias("record")] if carry else []
-    sent = docs.sparkSession.sparkContext.broadcast(_arrays(model)) if model.count() <= send_rows else None
+    sizes = {r.lang: r.n for r in model.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = sum(sizes.values()) <= send_rows
+    sent = _sent(model, sizes) if whole else {}
     schema = f"doc_id {kind}, lang string, digest long, {', '.join(f'{c} long' for c in STATS)}, loss double, apart double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = {lang: Scorer(rows, order) for lang, rows in sent.value.items()} if sent else {}
+        scorers: dict[str, Scorer] = {}
         for batch in slices(batches, size=2 << 20):
             several, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             losses: list[tuple[float | None, float | None]] = [(None, None)] * len(several)
-            for i, lang in enumerate(langs if sent else []):
+            for i, lang in enumerate(langs if whole else []):
                 own = spelled(several[i])
                 if len(own) >= order:
-                    scorer = scorers.get(lang) or scorers.setdefault(lang, Scorer([], order))
-                    losses[i] = scorer.losses(code_points(own))
+                    if lang not in scorers:
+                        scorers[lang] = Scorer(sent[lang].value[lang] if lang in sent else [], order)
+                    losses[i] = scorers[lang].losses(code_points(own))
             stats = [pa.array(c) for c in text_stats(several)]
             known, more = ([batch.column(c) for c in names] for names in (("doc_id", "lang", "digest"), carried))
             yield pa.RecordBatch.from_arrays(
@@ -383,7 +406,7 @@ def score(docs: DataFrame, model: DataFrame, order: int, send_rows: int = SEND_R
         schema += f", text string, record {named.schema['record'].dataType.simpleString()}"
     named = named.select("doc_id", "lang", "digest", "text", *(["record"] if carry else []))
     scored = named.mapInArrow(run, schema)
-    return (scored if sent else _joined(named, scored.drop("loss", "apart"), model, order)).drop("digest")
+    return (scored if whole else _joined(named, scored.drop("loss", "apart"), model, order)).drop("digest")
 
 
 def _settled(rows: list[dict], kinds: int, order: int) -> tuple[float, float]:
