@@ -7,14 +7,28 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+from collections.abc import Iterator
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from creaseline.operators.scans import laid_out
 
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WORD_BREAK = r"[^\w]+"
+#: The same by bytes of UTF-8, of which words hold only ASCII ones, and their lower case.
+WORD_BYTES = np.array([b < 128 and (chr(b).isalnum() or chr(b) == "_") for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+SLICE_BYTES = 4 << 20  # of texts taken at once
+POSTING = T.StructType().add("dl", T.IntegerType()).add("term", T.StringType()).add("frequency", T.LongType()).add("positions", T.ArrayType(T.IntegerType()))
 # Stop words, one-way synonyms (target: alternatives) and character mappings.
 STOP_WORDS = ["a", "an", "the", "and", "or"]
 SYNONYMS = {
@@ -72,33 +86,59 @@ def analyze(html: Column, rules: dict[str, list[str]] | None = None, stop: list[
     return F.filter(F.split(joined, " "), lambda w: (w != "") & ~w.isin(kept))
 
 
-def postings(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """``keep`` columns, ``dl`` (words of the text) and ``postings``: term, frequency and positions of each distinct word.
+def _posted(batch: pa.RecordBatch, text: str, keep: list[str]) -> pa.RecordBatch:
+    """Postings of a batch: the bytes of words are copied out, coded, and sorted by document and code at once."""
+    column = pc.fill_null(batch.column(text), "").cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = WORD_BYTES[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = ends[:-1][ends[:-1] < len(data)]
+    begins[edges] = inside[edges]  # words do not go on into the next text
+    offsets = np.append(np.flatnonzero(begins[inside]), inside.sum()).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(LOWER[data[inside]])).dictionary_encode()
+    codes = words.indices.to_numpy().astype(np.int64)
+    row = np.searchsorted(ends, np.flatnonzero(begins), "right") - 1
+    dl = np.bincount(row, minlength=len(column)).astype(np.int32)
+    places = (np.arange(len(row)) - (np.cumsum(dl) - dl)[row]).astype(np.int32)
+    key = row * max(len(words.dictionary), 1) + codes
+    order = np.argsort(key, kind="stable")
+    runs = np.flatnonzero(np.diff(key[order], prepend=-1))
+    first, bounds = order[runs], np.append(runs, len(order))
+    n, rows = len(column), pa.array(np.append(np.arange(len(column)), row[first]))
+    lengths = pa.array(dl, mask=batch.column(text).is_null().to_numpy(zero_copy_only=False))
+    positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(places[order]))
+    out = [batch.column(c).take(rows) for c in keep] + [lengths.take(rows)]
+    for values in (words.dictionary.take(pa.array(codes[first])), pa.array(np.diff(bounds), pa.int64()), positions):
+        out.append(pa.concat_arrays([pa.nulls(n, values.type), values]))
+    return pa.RecordBatch.from_arrays(out, [*keep, "dl", "term", "frequency", "positions"])
 
-    A document is one row, so its postings are grouped inside the row: words are sorted with their
-    positions, and every run of equal words becomes one posting. Nothing is shuffled.
-    """
-    placed = F.transform(tokens(F.col(text)), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-    sorted_words = df.select(*keep, F.array_sort(placed).alias("w"))
 
-    def starts_run(x: Column, i: Column) -> Column:
-        return (i == 0) | (F.get("w", i - 1)["term"] != x["term"])
+def postings(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep`` columns, ``dl`` (words of the text; null for a null text), ``term``, ``frequency`` and ``positions``: one row
+    per distinct word of a text, and one with a null term per text.
 
-    indexed = F.transform("w", lambda x, i: F.when(starts_run(x, i), i))
-    runs = sorted_words.withColumn("s", F.array_compact(indexed)).withColumn("dl", F.size("w"))
+    A document is one row, so its postings are grouped in place. Nothing is shuffled. Words are those of :func:`tokens`.
+    """
+    names, rows = list(keep), df.select(*keep, F.col(text).alias("_text"))
 
-    def posting(start: Column, n: Column) -> Column:
-        length = F.coalesce(F.get("s", n + 1), F.col("dl")) - start
-        positions = F.transform(F.slice("w", start + 1, length), lambda x: x["pos"])
-        return F.struct(F.get("w", start)["term"].alias("term"), length.cast("long").alias("frequency"), positions.alias("positions"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bytes_before = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy())
+            part = bytes_before // SLICE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    yield _posted(batch.slice(low, high - low), "_text", names)
 
-    return runs.select(*keep, "dl", F.transform("s", posting).alias("postings"))
+    return rows.mapInArrow(run, T.StructType([*df.select(*keep).schema, *POSTING]))
 
 
 def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(term, document) with frequency and positions. ``textindex`` stores the same with block bounds."""
-    rows = postings(df, text, doc).select(doc, F.explode("postings").alias("p"))
-    return rows.select("p.term", doc, "p.frequency", "p.positions")
+    return postings(df, text, doc).where("term IS NOT NULL").select("term", doc, "frequency", "positions")
 
 
 def edits_allowed(term: str) -> int:

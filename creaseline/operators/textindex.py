@@ -32,6 +32,8 @@ from creaseline.session import materialize, shared_folder
 LONG = 40
 #: Bounds and scores are sums of doubles; a block is skipped only if it stays this far below the threshold.
 SLACK = 1e-9
+#: Postings that a task sorts, some 100 bytes each.
+SORTED_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -65,14 +67,20 @@ def build(df: DataFrame, doc: str, text: str, fuzzy: bool = False, bits: int = 1
     """Index of a text column. Texts are analysed once, dealt evenly over the session's shuffle partitions, whatever the
     files they come from; a document without words counts in the statistics and has no postings."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
-    dealt = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition(tasks, "doc")
     analysed = materialize(postings(dealt, "text", "doc"), f"{folder}/analysed")
-    lengths = analysed.select("doc", "dl")
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    lengths = analysed.where("term IS NULL").select("doc", "dl")
+    own = F.when(F.col("term").isNull(), F.col("dl"))
+    size = analysed.agg(F.count_if(F.col("term").isNull()).alias("n"), F.avg(own).alias("avgdl"), F.count("term").alias("postings")).first()
     avgdl = size["avgdl"] or 1.0
-    rows = analysed.select("doc", "dl", F.explode("postings").alias("p")).select("p.*", "doc", "dl")
+    rows = analysed.where("term IS NOT NULL").select("term", "frequency", "positions", "doc", "dl")
     order = ["term", F.desc("impact"), "doc"]
-    placed = rows.withColumn("impact", impact(F.col("frequency"), F.col("dl"), avgdl)).repartitionByRange(*order).sortWithinPartitions(*order)
+    weighed = rows.withColumn("impact", impact(F.col("frequency"), F.col("dl"), avgdl))
+    # a sort of more rows than a task's memory holds would be written and read once more
+    needed = size["postings"] // SORTED_ROWS + 1
+    ranged = weighed.repartitionByRange(needed, *order) if needed > tasks else weighed.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order)
     # ids count up within a partition, so a shifted id numbers runs of neighbouring rows
     block = F.shiftright(F.monotonically_increasing_id(), bits).alias("block")
     stored = materialize(placed.select("term", "doc", "frequency", "dl", "positions", block), f"{folder}/postings")

@@ -94,6 +94,32 @@ def test_phrases(index, rows, phrase):
     assert got == expected
 
 
+def test_sorted_parts_grow_in_number_not_in_size(spark, rows, monkeypatch):
+    """A part of the sort is bounded whatever the session's partitions, so that more texts spill no more rows."""
+    monkeypatch.setattr(textindex, "SORTED_ROWS", 500)
+    index = textindex.build(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text", bits=3)
+    parts = [r["count"] for r in index.postings.groupBy(F.input_file_name()).count().collect()]
+    assert len(parts) > int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < 3 * 500
+    assert sum(parts) == sum(len(set(words(t))) for _, t in rows)
+
+
+def test_postings_of_odd_texts(spark, monkeypatch):
+    """Words of ASCII bytes, none over the edge of two texts, in slices of any size."""
+    texts = ["ab", "AB_1 ab", None, "", "é\u212aab\u0130 x", " ,", "last", "First\nlast \U0001f600a", "x" * 200 + " x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    listed = {r["id"]: r["w"] for r in df.select("id", search.tokens(F.col("t")).alias("w")).collect()}
+    for size in (1 << 20, 20):
+        monkeypatch.setattr(search, "SLICE_BYTES", size)
+        found = search.postings(df, "t", "id").collect()
+        assert {r["id"]: r["dl"] for r in found if r["term"] is None} == {i: None if w is None else len(w) for i, w in listed.items()}
+        got = {(r["id"], r["term"]): (r["frequency"], r["positions"]) for r in found if r["term"] is not None}
+        wanted = {}
+        for i, w in listed.items():
+            for place, term in enumerate(w or []):
+                wanted.setdefault((i, term), []).append(place)
+        assert got == {k: (len(p), p) for k, p in wanted.items()} and len(found) == len(got) + len(texts)
+
+
 def test_match_counts_distinct_terms(index, rows):
     query = ["rare", "wicket", "wicket", "absent"]
     expected = {d: len(set(words(t)) & set(query)) for d, t in rows if set(words(t)) & set(query)}
