@@ -94,3 +94,29 @@ def test_guarded_transfers(spark, hot, request):
             balances[src] -= amount
             balances[dst] += amount
         assert got[seq] == passed, seq
+
+
+def test_later_rounds_of_transfers_are_small(spark, monkeypatch):
+    """A chain that waits for each other takes rounds, but what is settled by then is not dealt again."""
+    dealt, spread = [], transfers.spread
+
+    def counted(legs, keys, order):
+        dealt.append(legs.count())
+        return spread(legs, keys, order)
+
+    monkeypatch.setattr(transfers, "spread", counted)
+    # accounts 1000.. pay account 500 at once; 0 to 8 hand on what they are given, each in two halves
+    moves = [(i, 1000 + i, 500, 5) for i in range(200)]
+    moves += [(200 + 2 * i + j, i, i + 1, 50) for i in range(8) for j in (0, 1)]
+    balances = {1000 + i: 10 * (i % 2) for i in range(200)} | {0: 100} | {i: 0 for i in range(1, 9)} | {500: 0}
+    accounts = spark.createDataFrame(list(balances.items()), "account long, balance long")
+    df = spark.createDataFrame([*moves, (999, 0, 500, None)], "seq long, src long, dst long, amount long")
+    got = {r.seq: (r.src, r.dst, r.amount, r.passed) for r in transfers.guarded_transfers(accounts, df).collect()}
+    wanted = {}
+    for seq, src, dst, amount in moves:
+        passed = balances[src] >= amount
+        balances[src] -= amount * passed
+        balances[dst] += amount * passed
+        wanted[seq] = (src, dst, amount, passed)
+    assert got == wanted
+    assert len(dealt) > 3 and sum(dealt[1:]) < dealt[0]
