@@ -116,13 +116,15 @@ class Stream:
         self.root = (root or shared_folder(spark)).rstrip("/")
         self.progress = Ledger(spark, f"{self.root}/progress", PROGRESS)
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
+    def process(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """Write the sinks. A stream whose batch is dear to evaluate returns where it has written its rows, one for one."""
         raise NotImplementedError
 
     def finished(self, batch: DataFrame, batch_id: int) -> None:
         """A batch whose sinks are all written."""
-        self.process(batch, batch_id)
-        self.progress.write(batch.agg(F.count(F.lit(1)).alias("input_rows")), batch_id)
+        written = self.process(batch, batch_id)
+        rows = batch if written is None else written
+        self.progress.write(rows.agg(F.count(F.lit(1)).alias("input_rows")), batch_id)
 
     def run_available(self, stream: DataFrame) -> None:
         run_available(stream, self.finished, f"{self.root}/checkpoint")

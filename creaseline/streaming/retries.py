@@ -154,7 +154,7 @@ class RetryStream(Stream):
         without a time, which the engine cannot take for late."""
         micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
         named = stored_rows(tried, *LOG_ORDER, "arrival", "failures", again.alias("again"))
-        payload = F.to_json(F.struct(*EVENT_SCHEMA.fieldNames()), micros)
+        payload = F.when(F.col("again"), F.to_json(F.struct(*EVENT_SCHEMA.fieldNames()), micros))
         sides = F.when(F.col("again"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
         rows = named.select(
             "match_id",
@@ -182,7 +182,7 @@ class RetryStream(Stream):
         self.spark.createDataFrame([], CLOCK_SCHEMA).coalesce(1).write.mode("append").parquet(path)
         return self.spark.readStream.schema(CLOCK_SCHEMA).parquet(path)
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
+    def process(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """The batch is evaluated once, into the ledger of outcomes; all else reads that."""
         self.outcomes.write(batch, batch_id)
         rows = self.outcomes.batch(batch_id)
@@ -193,6 +193,7 @@ class RetryStream(Stream):
             self.dead.write(rows.where("status = 'dlt'"), batch_id)
         if "ok" in present:
             self._store(rows.where("status = 'ok'"), batch_id)
+        return rows
 
     def _store(self, settled: DataFrame, batch_id: int) -> None:
         """Store what is first so far, and set the views of the matches that got something."""

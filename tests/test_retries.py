@@ -69,6 +69,22 @@ def test_attempts_wait_for_the_clock(spark, slices):
     assert stored.effective_arrival == at + dt.timedelta(seconds=6)
 
 
+def test_a_batch_is_evaluated_once(spark):
+    """The count of a batch comes from what it wrote; to count the batch itself would run its attempts again."""
+    stream = RetryStream(spark, *injected())
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for frame in frames:
+            seen.add(frame.num_rows)
+            yield frame
+
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.outcomes.schema if f.name not in ("batch_id", "status")]
+    made = spark.range(5).select(F.lit("poison").alias("status"), *columns).select(*stream.outcomes.columns)
+    stream.finished(made.mapInArrow(lambda batches: passed(batches), made.schema), 0)
+    assert seen.value == 5 and [r.input_rows for r in stream.progress.read().collect()] == [5]
+
+
 class Timers:
     def __init__(self):
         self.state, self.timers, self.clock = {}, set(), 0
